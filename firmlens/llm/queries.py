@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import mixing, quality, sharding, urlrules
+from firmlens.llm import idfile, mixing, quality, sharding, tokens, urlrules
 from firmlens.llm.common import new_path, table
 
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "ids")
+    idfile.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), out, vocabulary())
+    return idfile.read_ids(spark, out)
+
+
 def op3_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard(docs, 8, new_path(spark, "slot-map"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
