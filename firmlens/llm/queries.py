@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import idfile, mixing, quality, sharding, tokens, urlrules
+from firmlens.llm import idfile, lshforest, mixing, quality, sharding, tokens, urlrules
 from firmlens.llm.common import new_path, table
 
 
@@ -50,6 +50,10 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(pages).select("page_id", "host", "path", "rule", "verdict", "matched")
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
