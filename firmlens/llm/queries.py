@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import idfile, lshforest, mixing, quality, sharding, tokens, urlrules
+from firmlens.llm import idfile, lshforest, mixing, quality, sharding, suffixes, tokens, urlrules
 from firmlens.llm.common import new_path, table
 
 
@@ -45,6 +45,10 @@ def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, max_epochs=2).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "leaf_tokens", "leaf_budget")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.judge(pages).select("page_id", "host", "path", "rule", "verdict", "matched")
