@@ -1,7 +1,57 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
+next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from firmlens.llm import decontaminate, lshforest, mixing, quality, sharding
+from firmlens.llm.common import cut, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: The quality rules are learned and MinHash is hashing: SQL can't express them. tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    # the verdict is computed in a projection and written with it; a filter on it would be pushed
+    # below that projection, and its parts would be computed again
+    judged = quality.judge(docs, rules).select(*docs.columns, "kept")
+    return cut(judged, "judged").filter("kept").drop("kept")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lshforest.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, max_epochs=1).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs, 8).select(*docs.columns, "shard", "slot", "vslot")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("shards", shards),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import idfile, lshforest, mixing, quality, sharding, suffixes, tokens, urlrules
+from firmlens.llm import decontaminate, idfile, lshforest, mixing, quality, sharding, suffixes, tokens, urlrules
 from firmlens.llm.common import new_path, table
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 VOCABULARY = "byte_bpe_50k.json"
 
 
