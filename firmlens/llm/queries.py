@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import decontaminate, idfile, lshforest, mixing, quality, sharding, suffixes, tokens, urlrules
+from firmlens.llm import decontaminate, idfile, lshforest, mixing, pii, quality, sharding, suffixes, tokens, urlrules
 from firmlens.llm.common import new_path, table
 
 
@@ -44,6 +44,10 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("int").alias("rule"))
 
 
+def op6_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix(docs, max_epochs=2).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "leaf_tokens", "leaf_budget")
