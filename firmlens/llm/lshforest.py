@@ -120,8 +120,8 @@ def _groups_of(batches, names: int):
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _leaders(est: np.ndarray, node: np.ndarray):
-    """Edges from each node to the leaders it is near, and the leaders' positions."""
+def _leaders(est: np.ndarray):
+    """Pairs of positions (a row, a leader that it is near), and the leaders' positions."""
     leaders: list[int] = []
     pairs = []
     left = np.arange(len(est))
@@ -130,13 +130,28 @@ def _leaders(est: np.ndarray, node: np.ndarray):
         leaders.append(lead)
         agree = (est == est[lead]).mean(1)
         linked = np.flatnonzero(agree >= LEADER)
-        pairs.append(np.stack([node[linked], np.full(len(linked), node[lead])]))
+        pairs.append(np.stack([linked, np.full(len(linked), lead)]))
         left = left[1:][agree[left[1:]] < NEAR]
     return np.concatenate(pairs, 1), leaders
 
 
+def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n positions the lowest one that the pairs (a, b) connect it with."""
+    low = np.arange(n)
+    while True:
+        m = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, m)
+        np.minimum.at(new, b, m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def _bucket_edges(batches):
-    """Input in the order of (key, salt): key, salt, node, est. Edges u, v; with kind 1 v is the key that u leads."""
+    """Input in the order of (key, salt): key, salt, node, est. Edges u, v: within a bucket, each node and the first
+    one that it is connected with, no more rows than came in. With kind 1, u leads in the bucket with the key v."""
     for t in _groups_of(batches, 2):
         key, salt, node = (t.column(c).to_numpy().astype(np.int64) for c in range(3))
         est = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(len(key), -1)
@@ -144,30 +159,26 @@ def _bucket_edges(batches):
         size = np.diff(np.append(new, len(key)))
         group = np.repeat(np.arange(len(new)), size)
         small = size[group] <= PAIRWISE
-        us, vs, kinds = [], [], []
+        pairs = [np.zeros((2, 0), np.int64)]
         for o in range(1, min(PAIRWISE, int(size.max()))):
             i = np.flatnonzero((group[o:] == group[:-o]) & small[o:])
             for x in range(0, len(i), 50_000):
                 p = i[x : x + 50_000]
                 p = p[(est[p] == est[p + o]).mean(1) >= NEAR]
-                us.append(node[p + o])
-                vs.append(node[p])
-                kinds.append(np.zeros(len(p), np.int8))
+                pairs.append(np.stack([p, p + o]))
         # of small groups each node may lead in the next round
         lead = [np.flatnonzero(small)]
         for g in np.flatnonzero(size > PAIRWISE):
-            at = slice(new[g], new[g] + size[g])
-            pairs, leaders = _leaders(est[at], node[at])
-            us.append(pairs[0])
-            vs.append(pairs[1])
-            kinds.append(np.zeros(pairs.shape[1], np.int8))
+            found, leaders = _leaders(est[new[g] : new[g] + size[g]])
+            pairs.append(new[g] + found)
             lead.append(new[g] + np.array(leaders))
+        low = _lowest(len(key), *np.concatenate(pairs, 1))
+        linked = np.flatnonzero(low != np.arange(len(key)))
         lead = np.concatenate(lead)
         lead = lead[salt[lead] >= 0]  # salt -1: the bucket isn't salted
-        us.append(node[lead])
-        vs.append(key[lead])
-        kinds.append(np.ones(len(lead), np.int8))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, kinds)], ["u", "v", "kind"])
+        u, v = np.concatenate([node[linked], node[lead]]), np.concatenate([node[low[linked]], key[lead]])
+        kind = np.repeat(np.array([0, 1], np.int8), [len(linked), len(lead)])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(kind)], ["u", "v", "kind"])
 
 
 def bucket_edges(rows: DataFrame) -> DataFrame:
@@ -303,7 +314,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one document of each class. Rows that are equal in key and text count as one."""
-    first = near_classes(docs, key, text).filter("is_first").select(F.col(key).alias("_k"), "node").distinct()
+    first = near_classes(docs, key, text).filter("is_first").select(F.col(key).alias("_k"), F.col("node").alias("_node")).distinct()
     rows = docs.withColumn("_n", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    kept = rows.join(first, rows[key].eqNullSafe(F.col("_k")) & (F.col("_n") == F.col("node")), "left_semi")
+    kept = rows.join(first, rows[key].eqNullSafe(F.col("_k")) & (F.col("_n") == F.col("_node")), "left_semi")
     return kept.dropDuplicates([key, "_n"]).drop("_n")

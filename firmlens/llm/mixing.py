@@ -108,7 +108,7 @@ def mix(docs: DataFrame, budget: float | None = None, weight: Callable[[int, str
     known = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     spark = docs.sparkSession
     names = [f"_l{i}" for i in range(len(LEVELS))]
-    df = docs.withColumns({"n_tokens": tokens, "_l0": known(domain), "_l1": known(F.col("lang")), "_l2": known(F.col("source")), "_t": F.xxhash64(text)})
+    df = docs.drop("epoch", "leaf_tokens", "leaf_budget").withColumns({"n_tokens": tokens, "_l0": known(domain), "_l1": known(F.col("lang")), "_l2": known(F.col("source")), "_t": F.xxhash64(text)})
     seeded = F.xxhash64(F.lit(seed), "epoch", key, "_t")
     place = F.struct(seeded.alias("h"), F.col(key).alias("k"), F.col("_t").alias("t"))
     # the texts are read once for their counts; everything up to the last step works on this narrow table
