@@ -112,7 +112,7 @@ def thesis(firms: DataFrame, members: DataFrame, portfolio: DataFrame, as_of: st
     df = df.join(right(stage_counts(portfolio, as_of, by)), key, "left").join(right(emerging_interests(portfolio, as_of, by)), key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     two = lambda c: F.array_join(F.slice(F.split(c, ","), 1, 2), " and ")
-    focus = F.array_join(F.slice(F.transform(F.split("investment_niches", ","), F.trim), 1, 3), ", ")
+    focus = F.array_join(F.slice(F.transform(F.split("investment_niches", ","), lambda x: F.trim(x)), 1, 3), ", ")
     points = F.concat_ws(
         "; ",
         F.when(F.length("investment_niches") > 0, F.concat(F.lit("Focused on "), two("investment_niches"))),
