@@ -59,7 +59,7 @@ def eta(logs: DataFrame) -> DataFrame:
     """Running estimate of the seconds left for each row of a job's log: elapsed / index * remaining."""
     w = Window.partitionBy("job_id").orderBy("created_at", "log_id")
     i, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("job_id"))
-    elapsed = (F.unix_micros("created_at") - F.unix_micros(F.first("created_at").over(w))) / 1e6
+    elapsed = (F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.first(F.col("created_at").cast("timestamp")).over(w))) / 1e6
     return logs.select("job_id", "log_id", i.alias("i"), (elapsed / i * (n - i)).alias("eta_s"))
 
 
