@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose classes agree in the regular expression module and the library.
 SURE = r"\x00-\u0530\u2000-\u206f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
-REMEMBER = 400_000
+REMEMBER = 600_000
 GROUP_CHARS = 2_000_000
 PIECE_CHARS = 2_000_000
 
+_space = re.compile(r"\s")
 _unsure = re.compile(rf"[^{SURE}]")
 _odd_space = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
@@ -67,16 +68,28 @@ def specials(tok) -> list[tuple[str, int]]:
     return [(t.content, i) for i, t in tok.get_added_tokens_decoder().items() if t.content]
 
 
-class _Counts(dict):
-    def __missing__(self, key):
-        self.pending.append(key)
-        return 0
+class _Cache(dict):
+    """Chunk to value in two generations, each of at most `REMEMBER` chunks; what isn't there is noted in `pending`."""
 
+    def __init__(self, nothing):
+        self.nothing, self.old, self.pending = nothing, {}, []
 
-class _Ids(dict):
     def __missing__(self, key):
-        self.pending.append(key)
-        return b""
+        v = self.old.get(key)
+        if v is None:
+            self.pending.append(key)
+            return self.nothing
+        self[key] = v
+        return v
+
+    def take(self) -> list[str]:
+        out, self.pending = self.pending, []
+        return out
+
+    def age(self) -> None:
+        if len(self) > REMEMBER:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -88,30 +101,47 @@ class Encoder:
         self.special = specials(self.tok)
         self.special_re = re.compile("(" + "|".join(re.escape(s) for s, _ in self.special) + ")") if self.special else None
         self.special_id = dict(self.special)
-        self.counts, self.ids = _Counts(), _Ids()
-        self.counts.pending, self.ids.pending = [], []
-
-    def _merge(self, chunks) -> Iterator[tuple[str, list[int]]]:
-        split, rest = {}, set()
-        for c in chunks:
-            split[c] = p = self.pre.findall(c)
-            rest.update(x for x in p if x not in self.whole)
-        rest = list(rest)
-        merged = {x: e.ids for x, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True)} if rest else {}
-        for c, p in split.items():
-            out: list[int] = []
-            for x in p:
-                i = self.whole.get(x)
-                out += merged[x] if i is None else (i,)
-            yield c, out
-
-    def _fill(self, table, value) -> None:
-        todo = set(table.pending)
-        table.pending = []
-        if len(table) + len(todo) > REMEMBER:
-            table.clear()
-        for c, ids in self._merge(todo):
-            table[c] = value(ids)
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.counts, self.ids = _Cache(0), _Cache(b"")
+
+    def _merge(self, rest: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+        """The ids of pre-tokens that aren't whole tokens. Those without whitespace but a first space are encoded in one go, parted by
+        line ends: a line end before or after such a pre-token is always a pre-token of its own."""
+        plain = [x for x in rest if not _space.search(x, 1) and not x.isspace() and (x[0] == ' ' or not x[0].isspace())] if len(self.line) == 1 else []
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            ids = np.array(self.tok.encode("\n".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("pre-tokens can't be parted by line ends in this vocabulary")
+            at = 0
+            for x, e in zip(some, ends, strict=True):
+                yield x, ids[at:e]
+                at = e + 1
+        odd = list(set(rest).difference(plain)) if len(plain) < len(rest) else []
+        for x, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False) if odd else [], strict=True):
+            yield x, np.array(e.ids, np.uint32)
+
+    def _fill(self, table: _Cache, todo: list[str], value, one, total) -> None:
+        """Adds chunks to the cache. value: of an array of ids, one: of an id, total: of several values."""
+        whole, findall = self.whole, self.pre.findall
+        words, split, rest = [], [], set()
+        for c in set(todo):
+            i = whole.get(c)
+            if i is not None:
+                table[c] = one(i)
+            elif c[1:].isalpha() and (c[0] == " " or c[0].isalpha()):
+                words.append(c)  # one pre-token
+            else:
+                p = findall(c)
+                split.append((c, p))
+                rest.update(x for x in p if x not in whole)
+        rest.update(words)
+        merged = {x: value(ids) for x, ids in self._merge(list(rest))}
+        for c in words:
+            table[c] = merged[c]
+        for c, p in split:
+            table[c] = total([one(whole[x]) if x in whole else merged[x] for x in p])
 
     def parts(self, text: str) -> Iterator[tuple[str, object]]:
         """("special", id), ("whole", text for the library) or ("chunks", list) in the text's order."""
@@ -141,34 +171,41 @@ class Encoder:
                 else:
                     n += 1 if kind == "special" else len(self.tok.encode(x, add_special_tokens=False).ids)
             if table.pending:
-                open_.append((k, table.pending))
-                table.pending = []
+                open_.append((k, table.take()))
             out.append(n)
         if open_:
-            table.pending = [c for _, p in open_ for c in p]
-            self._fill(table, len)
+            self._fill(table, [c for _, p in open_ for c in p], len, lambda i: 1, sum)
             for k, p in open_:
                 out[k] += sum(map(get, p))
+            table.age()
         return out
 
+    def _encoded(self, text: str) -> bytes:
+        get, got = self.ids.__getitem__, []
+        for kind, x in self.parts(text):
+            if kind == "chunks":
+                got.append(b"".join(map(get, x)))
+            else:
+                got.append(self._pack([x]) if kind == "special" else self._pack(self.tok.encode(x, add_special_tokens=False).ids))
+        return b"".join(got)
+
+    def _pack(self, ids) -> bytes:
+        return np.asarray(ids).astype(self.dtype).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        pack = lambda ids: np.array(ids, self.dtype).tobytes()
-        table, get = self.ids, self.ids.__getitem__
-        for again in (False, True):
-            out = []
-            for t in texts:
-                got = []
-                for kind, x in self.parts(t):
-                    if kind == "chunks":
-                        got.append(b"".join(map(get, x)))
-                    else:
-                        got.append(pack([x]) if kind == "special" else pack(self.tok.encode(x, add_special_tokens=False).ids))
-                out.append(b"".join(got))
-            if not table.pending:
-                break
-            assert not again, "more distinct words in one group than may be remembered"
-            self._fill(table, pack)
+        out, again, todo = [], [], []
+        for k, t in enumerate(texts):
+            out.append(self._encoded(t))
+            if self.ids.pending:
+                again.append(k)
+                todo += self.ids.take()
+        if again:
+            self._fill(self.ids, todo, self._pack, lambda i: self._pack([i]), b"".join)
+            for k in again:
+                out[k] = self._encoded(texts[k])
+            assert not self.ids.pending
+            self.ids.age()
         return out
 
 
