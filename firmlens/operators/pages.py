@@ -160,22 +160,22 @@ def company_cells(pages: DataFrame) -> DataFrame:
     """First cells of the rows of tables that speak of companies."""
 
     def walk(html, url):
-        w = Walker(html)
-        for t in (x for x in w.items if x["tag"] == "table" and any(k in x["text"].lower() for k in COMPANY_WORDS)):
-            for row in (x for x in w.items if x["tag"] == "tr" and _inside(x, t)):
-                cell = next((x for x in w.items if x["tag"] == "td" and x["up"] is row), None)
-                if cell and _squeeze(cell["text"]):
-                    yield (_squeeze(cell["text"]),)
+        seen = set()
+        for x in Walker(html).items:
+            row = x["up"]
+            if x["tag"] == "td" and row and row["tag"] == "tr" and id(row) not in seen:
+                seen.add(id(row))
+                table = _nearest(x, "table")
+                if table and _squeeze(x["text"]) and any(k in table["text"].lower() for k in COMPANY_WORDS):
+                    yield (_squeeze(x["text"]),)
 
     return _page_job(pages, walk, "name string")
 
 
-def _inside(x: dict, y: dict) -> bool:
-    while x is not None:
-        if x is y:
-            return True
+def _nearest(x: dict, tag: str) -> dict | None:
+    while x is not None and x["tag"] != tag:
         x = x["up"]
-    return False
+    return x
 
 
 def tab_links(pages: DataFrame) -> DataFrame:
