@@ -16,7 +16,8 @@ def _joined(df: DataFrame, seq: str, item) -> DataFrame:
     return df.groupBy("firm_id").agg(F.array_join(F.transform(items, lambda x: x["x"]), "\n").alias("html"))
 
 
-_site = F.concat(F.lit("https://site"), F.col("firm_id").cast("string"), F.lit(".example.com/team"))
+def _site():
+    return F.concat(F.lit("https://site"), F.col("firm_id").cast("string"), F.lit(".example.com/team"))
 
 
 def _s(*parts):
@@ -28,7 +29,7 @@ def team_pages(spark, d) -> DataFrame:
     m = view(spark, d, "members")
     block = _s('<div class="member card"><h3>', F.col("name"), '</h3><p>', F.col("title"), " of the firm, ", F.col("name"), " has been here for years.</p>", '<a href="/team/p', F.col("member_id"), '">', F.col("name"), "</a>", F.when(F.length("linkedin_url") > 0, _s('<a href="', F.col("linkedin_url"), '">profile</a>')).otherwise(""), '<a class="tab" href="/group/', F.col("member_id") % 3, '">group</a></div>')
     html = _joined(m, "member_id", block).withColumn("html", F.concat(F.lit("<html><body><script>load('/api/team/v2')</script>"), "html", F.lit("</body></html>")))
-    return html.select(F.col("firm_id").alias("page_id"), _site.alias("url"), "html")
+    return html.select(F.col("firm_id").alias("page_id"), _site().alias("url"), "html")
 
 
 def portfolio_pages(spark, d) -> DataFrame:
@@ -37,7 +38,7 @@ def portfolio_pages(spark, d) -> DataFrame:
     logos = _joined(p, "company_id", _s('<a href="https://c', F.col("company_id"), '.example.org/home"><img src="/l/x-logo.png" alt="', F.col("portfolio_company"), '"></a>'))
     rows = _joined(p, "company_id", _s("<tr><td>", F.col("portfolio_company"), "</td><td>", F.col("investment_niche"), "</td></tr>")).withColumnRenamed("html", "_t")
     both = logos.join(rows, "firm_id")
-    return both.select(F.col("firm_id").alias("page_id"), _site.alias("url"), F.concat("html", F.lit("<table><tr><th>Portfolio</th></tr>"), "_t", F.lit("</table>")).alias("html"))
+    return both.select(F.col("firm_id").alias("page_id"), _site().alias("url"), F.concat("html", F.lit("<table><tr><th>Portfolio</th></tr>"), "_t", F.lit("</table>")).alias("html"))
 
 
 def listing_pages(spark, d) -> DataFrame:
@@ -53,7 +54,7 @@ def payloads(spark, d) -> DataFrame:
     m = view(spark, d, "members")
     people = F.array_sort(F.collect_list(F.struct("member_id", "name", "title")))
     j = m.groupBy("firm_id").agg(F.to_json(F.struct(people.alias("team"))).alias("html"))
-    return j.select(F.col("firm_id").alias("page_id"), _site.alias("url"), "html")
+    return j.select(F.col("firm_id").alias("page_id"), _site().alias("url"), "html")
 
 
 M, P = with_views("members"), with_views("portfolio")
