@@ -22,10 +22,14 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _in_order(seq: str, c: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(seq, c))), lambda x: x[c])
+
+
 def merge_records(df: DataFrame, key: str, seq: str, fields: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
     """One record for each key: of each field the first value that isn't empty, of each list column the union in order."""
     firsts = [F.min_by(filled(F.col(c)), F.when(filled(F.col(c)).isNotNull(), F.col(seq))).alias(c) for c in fields]
-    unions = [F.array_distinct(F.filter(F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(seq, c))), lambda x, c=c: x[c])), lambda x: F.trim(x)), lambda x: x != "")).alias(c) for c in lists]
+    unions = [F.array_distinct(F.filter(F.transform(F.flatten(_in_order(seq, c)), lambda x: F.trim(x)), lambda x: x != "")).alias(c) for c in lists]
     return df.groupBy(key).agg(*firsts, *unions, F.count(F.lit(1)).alias("records"), F.min(seq).alias("first_seq"))
 
 

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from firmlens.operators.shared import cut
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Writes to the shared folder where the session names one, so that a lost executor costs a read only."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/explore-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, "explore")
 
 
 def explore(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_pages: int = 20) -> DataFrame:
