@@ -13,8 +13,8 @@ from firmlens.streaming import jobs
 
 
 def events(spark, d) -> DataFrame:
-    path = f"{d}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 def _logs(df: DataFrame) -> DataFrame:
