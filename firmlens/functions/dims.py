@@ -56,3 +56,51 @@ def nicknames(spark: SparkSession) -> DataFrame:
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
+
+# Taxonomies with their keywords, niches, profiles, and paths that sites use.
+INVESTOR_TYPES = {
+    "Venture Capital (VC)": ["venture capital", "vc firm", "venture fund", "vc fund", "venture partners"], "Angel Network": ["angel network", "angel group", "angel investors", "angel syndicate"],
+    "Private Equity (PE)": ["private equity", "pe firm", "buyout", "growth equity", "pe fund"], "Accelerator": ["accelerator", "startup accelerator", "cohort", "demo day", "acceleration program"],
+    "Incubator": ["incubator", "startup incubator", "innovation lab", "entrepreneurship center"], "Venture Studio": ["venture studio", "startup studio", "company builder", "venture builder"],
+    "Corporate Venture Capital (CVC)": ["corporate venture", "cvc", "corporate vc", "strategic investment"], "Family Office": ["family office", "single family office", "multi-family office", "private wealth"],
+    "Micro VC": ["micro vc", "micro fund", "emerging manager", "small fund"], "Venture Debt": ["venture debt", "venture lending", "growth debt", "debt financing"],
+    "Crowdfunding Platform": ["crowdfunding", "equity crowdfunding", "crowdfund", "syndicate platform"], "Government Fund": ["government fund", "public investment", "sovereign fund", "innovation fund"],
+}
+INVESTMENT_STAGES = {
+    "Pre-Seed": ["pre-seed", "preseed", "friends and family", "pre seed"], "Seed": ["seed", "seed round", "seed stage", "seed funding"], "Series A": ["series a", "series-a", "round a", "series a round"],
+    "Series B": ["series b", "series-b", "round b", "series b round"], "Series C": ["series c", "series-c", "round c", "series c round"], "Series D+": ["series d", "series e", "series f", "late stage", "late-stage"],
+    "Growth/Expansion": ["growth", "expansion", "growth equity", "growth stage", "scale-up"], "Bridge": ["bridge", "bridge round", "bridge financing", "interim financing"],
+    "Mezzanine": ["mezzanine", "mezzanine financing", "subordinated debt"], "IPO/Public": ["ipo", "public offering", "public markets", "crossover"],
+}
+NICHES = {
+    "Technology / Software": {
+        "Artificial Intelligence (AI) & Machine Learning (ML)": ["Generative AI", "AI-driven Healthcare", "AI in Cybersecurity", "AI in Education (EdTech)", "AI Agents & Autonomous Systems"],
+        "Software as a Service (SaaS)": ["Enterprise Software", "B2B Software"], "Cybersecurity": ["Threat Detection & Response", "Data Security", "Confidential AI"],
+        "Financial Technology (FinTech)": ["Decentralized Finance (DeFi) / Blockchain", "Digital Payments & Lending", "InsurTech"], "Cloud Computing & Infrastructure": [],
+        "Internet & Digital Media": ["E-commerce & Marketplaces", "Social Media & Consumer Tech", "Media & Entertainment"],
+    },
+    "Healthcare & Life Sciences": {"Biotechnology (BioTech)": ["Gene Therapy & Personalized Medicine"], "Digital Health & HealthTech": ["Telemedicine / Remote Healthcare", "Health & Wellness Apps"], "Medical Devices & Equipment": [], "Women's Health (FemTech)": []},
+    "Green Technology & Sustainability": {"Clean Technology (CleanTech)": ["Renewable Energy (Solar, Wind)", "Energy Storage & Battery Technology", "Electric Vehicles (EVs)"], "Sustainability": ["Carbon Capture", "Alternative Proteins & Food Tech", "Circular Economy & Eco-friendly Packaging"], "Agricultural Technology (AgriTech)": ["Vertical Farming"]},
+    "Advanced & Frontier Technologies": {"Advanced Computing": ["Quantum Computing", "Semiconductors"], "Robotics & Automation": ["Cobots (Collaborative Robots)"], "Aerospace & Transportation": [], "Deep Tech": []},
+}
+SPECIALISATIONS = ["fintech", "healthtech", "biotech", "saas", "enterprise", "consumer", "b2b", "b2c", "ai", "ml", "crypto", "web3", "climate", "cleantech", "edtech", "proptech", "marketplace", "infrastructure", "devtools", "security", "cybersecurity"]
+FILING_STRATEGIES = ["venture capital", "early stage", "seed stage", "growth equity", "private equity", "angel investment"]
+FILING_ASSETS = ["technology", "healthcare", "fintech", "saas", "biotech", "consumer", "enterprise software"]
+TEMPLATE_PROFILES = {"vc": "vc", "b2b": "general", "people": "directory_entry", "healthcare": "healthcare", "ecommerce": "ecommerce", "realestate": "general", "local": "general"}
+#: (path, priority) of the pages that are tried in turn.
+WATERFALL_PATHS = [("", 1), ("/about", 2), ("/about-us", 2), ("/team", 3), ("/people", 3), ("/portfolio", 4), ("/investments", 4), ("/companies", 4), ("/focus", 5), ("/investment-focus", 5), ("/thesis", 5), ("/strategy", 5)]
+PORTFOLIO_PATHS = ["/portfolio", "/companies", "/investments", "/portfolio-companies", "/our-companies", "/our-investments", "/our-portfolio", "/ventures", "/current-holdings", "/direct-investments", "/featured", "/portfolio-co", "/what-we-do", "/investment-portfolio", "/fund-investments", "/our-ventures", ""]
+
+
+def niche_labels() -> list[tuple[str, str, str]]:
+    """(category, sub-category, label) of every level, the short name in brackets too."""
+    import re
+
+    out = []
+    for cat, subs in NICHES.items():
+        for sub, leaves in subs.items():
+            for label in (sub, *leaves):
+                out.append((cat, sub, label))
+                if m := re.search(r"\((\w+)\)$", label):
+                    out.append((cat, sub, m[1]))
+    return out
