@@ -69,16 +69,17 @@ def specials(tok) -> list[tuple[str, int]]:
 
 
 class _Cache(dict):
-    """Chunk to value in two generations, each of at most `REMEMBER` chunks; what isn't there is noted in `pending`."""
+    """Chunk to value in two generations, each of at most `REMEMBER` chunks; what isn't there is noted in `pending`
+    and stands for itself, or for `nothing`."""
 
-    def __init__(self, nothing):
+    def __init__(self, nothing=None):
         self.nothing, self.old, self.pending = nothing, {}, []
 
     def __missing__(self, key):
         v = self.old.get(key)
         if v is None:
             self.pending.append(key)
-            return self.nothing
+            return key if self.nothing is None else self.nothing
         self[key] = v
         return v
 
@@ -102,30 +103,38 @@ class Encoder:
         self.special_re = re.compile("(" + "|".join(re.escape(s) for s, _ in self.special) + ")") if self.special else None
         self.special_id = dict(self.special)
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.counts, self.ids = _Cache(0), _Cache(b"")
-
-    def _merge(self, rest: list[str]) -> Iterator[tuple[str, np.ndarray]]:
-        """The ids of pre-tokens that aren't whole tokens. Those without whitespace but a first space are encoded in one go, parted by
-        line ends: a line end before or after such a pre-token is always a pre-token of its own."""
-        plain = [x for x in rest if not _space.search(x, 1) and not x.isspace() and (x[0] == ' ' or not x[0].isspace())] if len(self.line) == 1 else []
+        self.counts, self.ids = _Cache(0), _Cache()
+
+    def _merge(self, words: list[str], rest: list[str], count: bool) -> dict:
+        """Numbers of ids, or ids as bytes, of pre-tokens that aren't whole tokens. words: letters after at most one space. Such pre-tokens,
+        and others without whitespace but a first space, are encoded in one go, parted by line ends: a line end before or after
+        them is always a pre-token of its own."""
+        plain = words + [x for x in rest if not _space.search(x, 1) and not x.isspace() and (x[0] == " " or not x[0].isspace())]
+        plain = plain if len(self.line) == 1 else []
+        out, width = {}, np.dtype(self.dtype).itemsize
         for i in range(0, len(plain), 20_000):
             some = plain[i : i + 20_000]
-            ids = np.array(self.tok.encode("\n".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)).tolist()
+            ids = np.array(self.tok.encode("\n".join(some), add_special_tokens=False).ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
             if len(ends) != len(some):
                 raise ValueError("pre-tokens can't be parted by line ends in this vocabulary")
-            at = 0
-            for x, e in zip(some, ends, strict=True):
-                yield x, ids[at:e]
-                at = e + 1
-        odd = list(set(rest).difference(plain)) if len(plain) < len(rest) else []
+            starts = np.append(0, ends[:-1] + 1)
+            if count:
+                out.update(zip(some, (ends - starts).tolist(), strict=True))
+            else:
+                raw = ids.tobytes()
+                out.update(zip(some, [raw[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)], strict=True))
+        odd = [x for x in (*words, *rest) if x not in out]
         for x, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False) if odd else [], strict=True):
-            yield x, np.array(e.ids, np.uint32)
+            out[x] = len(e.ids) if count else self._pack(e.ids)
+        return out
 
-    def _fill(self, table: _Cache, todo: list[str], value, one, total) -> None:
-        """Adds chunks to the cache. value: of an array of ids, one: of an id, total: of several values."""
+    def _fill(self, table: _Cache, todo: list[str], count: bool) -> None:
+        """Adds chunks to the cache."""
         whole, findall = self.whole, self.pre.findall
-        words, split, rest = [], [], set()
+        one = (lambda i: 1) if count else (lambda i: self._pack([i]))
+        words, split, rest = [], [], {}
+        old = table.old
         for c in set(todo):
             i = whole.get(c)
             if i is not None:
@@ -133,15 +142,18 @@ class Encoder:
             elif c[1:].isalpha() and (c[0] == " " or c[0].isalpha()):
                 words.append(c)  # one pre-token
             else:
-                p = findall(c)
+                # mostly a word and the mark after it
+                p = (c[:-1], c[-1]) if c[-1] in ",.;:!?" and c[1:-1].isalpha() and c[0] == " " else findall(c)
                 split.append((c, p))
-                rest.update(x for x in p if x not in whole)
-        rest.update(words)
-        merged = {x: value(ids) for x, ids in self._merge(list(rest))}
-        for c in words:
-            table[c] = merged[c]
+                for x in p:
+                    if x not in rest:
+                        i = whole.get(x)
+                        rest[x] = one(i) if i is not None else table[x] if x in table else old.get(x)
+        merged = self._merge(words, list({x for x, v in rest.items() if v is None}.difference(words)), count)
+        total = sum if count else b"".join
         for c, p in split:
-            table[c] = total([one(whole[x]) if x in whole else merged[x] for x in p])
+            table[c] = total([merged[x] if rest[x] is None else rest[x] for x in p])
+        table.update(merged)
 
     def parts(self, text: str) -> Iterator[tuple[str, object]]:
         """("special", id), ("whole", text for the library) or ("chunks", list) in the text's order."""
@@ -174,38 +186,36 @@ class Encoder:
                 open_.append((k, table.take()))
             out.append(n)
         if open_:
-            self._fill(table, [c for _, p in open_ for c in p], len, lambda i: 1, sum)
+            self._fill(table, [c for _, p in open_ for c in p], True)
             for k, p in open_:
                 out[k] += sum(map(get, p))
             table.age()
         return out
 
-    def _encoded(self, text: str) -> bytes:
-        get, got = self.ids.__getitem__, []
-        for kind, x in self.parts(text):
-            if kind == "chunks":
-                got.append(b"".join(map(get, x)))
-            else:
-                got.append(self._pack([x]) if kind == "special" else self._pack(self.tok.encode(x, add_special_tokens=False).ids))
-        return b"".join(got)
-
     def _pack(self, ids) -> bytes:
         return np.asarray(ids).astype(self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        out, again, todo = [], [], []
+        out, open_, todo = [], [], []
+        table, get = self.ids, self.ids.__getitem__
         for k, t in enumerate(texts):
-            out.append(self._encoded(t))
-            if self.ids.pending:
-                again.append(k)
-                todo += self.ids.take()
-        if again:
-            self._fill(self.ids, todo, self._pack, lambda i: self._pack([i]), b"".join)
-            for k in again:
-                out[k] = self._encoded(texts[k])
-            assert not self.ids.pending
-            self.ids.age()
+            got = []
+            for kind, x in self.parts(t):
+                if kind == "chunks":
+                    got.extend(map(get, x))
+                else:
+                    got.append(self._pack([x]) if kind == "special" else self._pack(self.tok.encode(x, add_special_tokens=False).ids))
+            if table.pending:  # chunks that weren't there stand for themselves
+                open_.append((k, got))
+                todo += table.take()
+                got = ()
+            out.append(b"".join(got))
+        if open_:
+            self._fill(table, todo, False)
+            for k, got in open_:
+                out[k] = b"".join([v if v.__class__ is bytes else get(v) for v in got])
+            table.age()
         return out
 
 
