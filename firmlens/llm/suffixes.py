@@ -113,7 +113,8 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _emit_anchors(batches):
-    """doc, tie, text -> h, ctx, doc, tie, pos, lr (bytes before * 128 + bytes from the anchor on)."""
+    """doc, tie, text -> h, ctx, doc, tie, pos, lr (bytes before * 128 + bytes from the anchor on). Contexts that a text
+    repeats leave as stretches of it: pos is where one begins and lr its length, negative; h deals them out evenly."""
     for b in batches:
         for i, j in _byte_groups(b.column(2)):
             buf, starts, ends = _buffer(b.column(2).slice(i, j - i))
@@ -125,10 +126,26 @@ def _emit_anchors(batches):
             q, _ = _pows(len(t))
             ctx = _mix((t[at + right] - t[at - left]) * q[at - left] ^ ((left * 128 + right).astype(np.uint64) * _P))
             doc, tie = (b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in range(2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc[row]), pa.array(tie[row]), pa.array((at - starts[row]).astype(np.int32)), pa.array((left * 128 + right).astype(np.int32))],
-                ["h", "ctx", "doc", "tie", "pos", "lr"],
+            pos, lr = (at - starts[row]).astype(np.int32), (left * 128 + right).astype(np.int32)
+            own = _mix(_mix(ctx ^ h * _Q) + row.astype(np.uint64) * _P)
+            order = np.argsort(own, kind="stable")
+            again = np.zeros(len(at), bool)
+            again[order[1:][own[order][1:] == own[order][:-1]]] = True
+            rest, rep = np.flatnonzero(~again), np.flatnonzero(again)
+            lo, hi, r = pos[rep] - left[rep], pos[rep] + right[rep], row[rep]
+            first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (lo[1:] > hi[:-1]))) if len(rep) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(rep)) - 1 if len(rep) else first
+            where = r[first]
+            cols = (
+                (h[rest].view(np.int64), tie[where] ^ lo[first]),
+                (ctx[rest].view(np.int64), lo[first]),
+                (doc[row[rest]], doc[where]),
+                (tie[row[rest]], tie[where]),
+                (pos[rest], lo[first]),
+                (lr[rest], lo[first] - hi[last]),
             )
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t.to_pandas_dtype()), t) for x, t in zip(cols, types, strict=True)], ["h", "ctx", "doc", "tie", "pos", "lr"])
 
 
 def _emit_first_pass(batches):
@@ -140,7 +157,13 @@ def _emit_first_pass(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        h, ctx, doc, tie, pos, lr = (b.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+        every = [b.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+        own, shared = every[5] < 0, every[5] >= 0
+        h, ctx, doc, tie, pos, lr = (x[own] for x in every)
+        yield _batch([(np.zeros(len(h), np.int8), h, doc, tie, pos, -lr)], names)
+        h, ctx, doc, tie, pos, lr = (x[shared] for x in every)
+        if not len(h):
+            continue
         as_before = [x == np.concatenate([[x[0] if last is None else last[k]], x[:-1]]) for k, x in enumerate((h, ctx, doc, tie, pos))]
         same = as_before[0] & as_before[1]
         if last is None:
