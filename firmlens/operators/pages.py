@@ -160,13 +160,15 @@ def company_cells(pages: DataFrame) -> DataFrame:
     """First cells of the rows of tables that speak of companies."""
 
     def walk(html, url):
-        seen = set()
+        seen, fits = set(), {}
         for x in Walker(html).items:
             row = x["up"]
             if x["tag"] == "td" and row and row["tag"] == "tr" and id(row) not in seen:
                 seen.add(id(row))
                 table = _nearest(x, "table")
-                if table and _squeeze(x["text"]) and any(k in table["text"].lower() for k in COMPANY_WORDS):
+                if table and id(table) not in fits:  # a table is searched once, not for each row
+                    fits[id(table)] = any(k in table["text"].lower() for k in COMPANY_WORDS)
+                if table and _squeeze(x["text"]) and fits[id(table)]:
                     yield (_squeeze(x["text"]),)
 
     return _page_job(pages, walk, "name string")
@@ -196,14 +198,18 @@ def tab_links(pages: DataFrame) -> DataFrame:
 
 
 def bio_section(pages: DataFrame, people: DataFrame) -> DataFrame:
-    """The block of text that tells of a person: page_id, name, bio. people: page_id, name."""
-    named = pages.join(people, "page_id").select("page_id", F.col("name").alias("url"), "html")
+    """The block of text that tells of a person: page_id, name, bio. people: page_id, name. A page is read once for all of its people."""
+    asked = people.groupBy("page_id").agg(F.to_json(F.array_sort(F.collect_set("name"))).alias("url"))
+    named = pages.drop("url").join(asked, "page_id").select("page_id", "url", "html")
 
-    def walk(html, name):
+    def walk(html, asked):
         blocks = [_squeeze(x["text"]) for x in Walker(html).items if x["tag"] in ("p", "div", "section", "article", "li")]
-        fit = [b for b in blocks if name.lower() in b.lower() and len(b) > len(name) + 20]
-        if fit:
-            yield name, min(fit, key=len)[:2000]
+        blocks = sorted(((b, b.lower()) for b in blocks), key=lambda b: len(b[0]))
+        for name in json.loads(asked):
+            wanted = _squeeze(name)
+            fit = next((b for b, low in blocks if wanted.lower() in low and len(b) > len(wanted) + 20), None)
+            if fit:
+                yield name, fit[:2000]
 
     return _page_job(named, walk, "name string, bio string").drop("seq")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import dates, dims, names, text, urls
 from firmlens.plans.fixtures import view, with_views
-from firmlens.plans.registry import query
+from firmlens.plans.registry import query, whole
 
 _KEY = r"trim(regexp_replace(regexp_replace(strip_accents(lower(trim(name))), '\s+', ' ', 'g'), '[^a-z0-9\s\-'']', '', 'g'))"
 _SPACED = r"regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9\s]', '', 'g')), '\s+', ' ', 'g')"
@@ -164,10 +164,20 @@ def field_forms(spark, d) -> DataFrame:
     SELECT job_id, CAST(floor(i * n + 0.5) AS BIGINT) AS input_tokens, CAST(floor(o * n + 0.5) AS BIGINT) AS output_tokens, round((i / 1e6 * 0.15 + o / 1e6 * 0.6) * n, 6) AS cost,
     CASE WHEN s >= 3600 THEN CAST(floor(s / 3600) AS INT) || 'h ' || CAST(floor(s % 3600 / 60) AS INT) || 'm' WHEN s >= 60 THEN CAST(floor(s / 60) AS INT) || 'm' ELSE '<1m' END AS duration FROM e""")
 def cost_estimate(spark, d) -> DataFrame:
-    """Tokens, cost and duration, for descriptions of 250 characters on average."""
+    """Tokens, cost and duration, for descriptions of 250 characters on average; a sample of every tenth job."""
+    return _estimates(view(spark, d, "jobs").filter("job_id % 10 = 0"))
+
+
+@query(whole("cost_estimate", " WHERE job_id % 10 = 0"))
+def all_cost_estimates(spark, d) -> DataFrame:
+    """Of every job."""
+    return _estimates(view(spark, d, "jobs"))
+
+
+def _estimates(jobs: DataFrame) -> DataFrame:
     from firmlens.operators.jobs import estimate
 
-    return estimate(view(spark, d, "jobs").filter("job_id % 10 = 0"), F.lit(250.0)).select("job_id", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"), "duration")
+    return estimate(jobs, F.lit(250.0)).select("job_id", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"), "duration")
 
 
 @query("SELECT substr(lang, 1, 2) AS lang, avg(length(text)) AS avg_chars, count(*) AS n FROM documents GROUP BY 1")

@@ -9,7 +9,7 @@ from firmlens.functions import dims, names, text, urls
 from firmlens.operators import aggregate, dedupe, explore, match, pages
 from firmlens.plans.columns import _ABSOLUTE, _H, _KEY, _LINKS, links
 from firmlens.plans.fixtures import view, with_views
-from firmlens.plans.registry import query
+from firmlens.plans.registry import query, whole
 from firmlens.sources import export, firm_list
 
 _K = f"k AS (SELECT *, {_KEY} AS pk FROM members)"
@@ -50,9 +50,20 @@ def unvisited_links(spark, d) -> DataFrame:
 
 @query(f"{with_views('members')}, e AS (SELECT firm_id AS page_id, lower(regexp_replace(name, '\\s+', '.', 'g')) || '@example.com' AS email, member_id AS seq FROM members WHERE member_id % 2 = 0), m AS (SELECT firm_id AS page_id, member_id, list_filter(regexp_split_to_array(trim(lower(name)), '\\s+'), lambda x: x <> '') AS p FROM members), n AS (SELECT page_id, member_id, p[1] AS f, CASE WHEN len(p) > 1 THEN p[-1] ELSE '' END AS l FROM m), j AS (SELECT n.*, e.email, e.seq, string_split(e.email, '@')[1] AS lp FROM n JOIN e USING (page_id)) SELECT page_id, member_id, min_by(email, seq) AS email FROM j WHERE (contains(lp, f) AND contains(lp, l)) OR lp = f OR lp = f || '.' || l OR lp = f || l OR lp = substr(f, 1, 1) || l GROUP BY ALL")
 def email_matches(spark, d) -> DataFrame:
+    """D11, over a sample: the addresses of every second member."""
+    m = view(spark, d, "members")
+    return _email_matches(m, m.filter("member_id % 2 = 0"))
+
+
+@query(whole("email_matches", " WHERE member_id % 2 = 0"))
+def all_email_matches(spark, d) -> DataFrame:
     """D11."""
     m = view(spark, d, "members")
-    e = m.filter("member_id % 2 = 0").select(F.col("firm_id").alias("page_id"), F.concat(F.lower(F.regexp_replace("name", r"\s+", ".")), F.lit("@example.com")).alias("email"), F.col("member_id").alias("seq"))
+    return _email_matches(m, m)
+
+
+def _email_matches(m: DataFrame, owners: DataFrame) -> DataFrame:
+    e = owners.select(F.col("firm_id").alias("page_id"), F.concat(F.lower(F.regexp_replace("name", r"\s+", ".")), F.lit("@example.com")).alias("email"), F.col("member_id").alias("seq"))
     return match.email_of_member(m.select(F.col("firm_id").alias("page_id"), "member_id", "name"), e)
 
 
@@ -87,16 +98,35 @@ def name_variations(spark, d) -> DataFrame:
 
 @query(f"{with_views('members')}, e AS (SELECT firm_id, upper(substr(name, 1, 8)) AS employee FROM members WHERE member_id % 4 = 0) SELECT m.firm_id, m.member_id, e.employee FROM members m JOIN e USING (firm_id) WHERE contains(lower(name), lower(employee)) OR contains(lower(employee), lower(name))")
 def employee_matches(spark, d) -> DataFrame:
+    """D14, over a sample: every fourth member is on the outside list."""
+    m = view(spark, d, "members")
+    return _employee_matches(m, m.filter("member_id % 4 = 0"))
+
+
+@query(whole("employee_matches", " WHERE member_id % 4 = 0"))
+def all_employee_matches(spark, d) -> DataFrame:
     """D14."""
     m = view(spark, d, "members")
-    e = m.filter("member_id % 4 = 0").select("firm_id", F.upper(F.substring("name", 1, 8)).alias("employee"))
-    return match.external_employees(m, e)
+    return _employee_matches(m, m)
+
+
+def _employee_matches(m: DataFrame, listed: DataFrame) -> DataFrame:
+    return match.external_employees(m, listed.select("firm_id", F.upper(F.substring("name", 1, 8)).alias("employee")))
 
 
 @query(f"{with_views('members', 'portfolio')}, t AS (SELECT p.firm_id, p.company_id, 'Round led by ' || m.name AS text FROM portfolio p JOIN members m ON m.firm_id = p.firm_id AND m.member_id % 10 = p.company_id % 10 WHERE p.company_id % 20 = 0) SELECT DISTINCT m.firm_id, m.member_id, t.company_id FROM members m JOIN t USING (firm_id) WHERE contains(lower(text), lower(name)) AND (contains(lower(text), 'led') OR contains(lower(text), 'investment'))")
 def led_investments(spark, d) -> DataFrame:
+    """D17, over a sample: every twentieth company."""
+    return _led_investments(view(spark, d, "members"), view(spark, d, "portfolio").filter("company_id % 20 = 0"))
+
+
+@query(whole("led_investments", " WHERE p.company_id % 20 = 0"))
+def all_led_investments(spark, d) -> DataFrame:
     """D17."""
-    m, p = view(spark, d, "members"), view(spark, d, "portfolio").filter("company_id % 20 = 0")
+    return _led_investments(view(spark, d, "members"), view(spark, d, "portfolio"))
+
+
+def _led_investments(m: DataFrame, p: DataFrame) -> DataFrame:
     told = p.join(m, (p["firm_id"] == m["firm_id"]) & (m["member_id"] % 10 == p["company_id"] % 10)).select(p["firm_id"], "company_id", F.concat(F.lit("Round led by "), "name").alias("text"))
     return match.led_investments(m.select("firm_id", "member_id", "name"), told).distinct()
 

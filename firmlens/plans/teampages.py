@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from firmlens.operators import match, pages
 from firmlens.plans.fixtures import view, with_views
-from firmlens.plans.registry import query
+from firmlens.plans.registry import query, whole
 
 
 def _joined(df: DataFrame, seq: str, item) -> DataFrame:
@@ -32,9 +32,8 @@ def team_pages(spark, d) -> DataFrame:
     return html.select(F.col("firm_id").alias("page_id"), _site().alias("url"), "html")
 
 
-def portfolio_pages(spark, d) -> DataFrame:
+def portfolio_pages(p: DataFrame) -> DataFrame:
     """Logos that link outwards, and a table of companies."""
-    p = view(spark, d, "portfolio").filter("company_id % 50 = 0")
     logos = _joined(p, "company_id", _s('<a href="https://c', F.col("company_id"), '.example.org/home"><img src="/l/x-logo.png" alt="', F.col("portfolio_company"), '"></a>'))
     rows = _joined(p, "company_id", _s("<tr><td>", F.col("portfolio_company"), "</td><td>", F.col("investment_niche"), "</td></tr>")).withColumnRenamed("html", "_t")
     both = logos.join(rows, "firm_id")
@@ -87,14 +86,26 @@ def team_api(spark, d) -> DataFrame:
 
 @query(f"{P} SELECT firm_id AS page_id, 'c' || company_id AS name, 'https://c' || company_id || '.example.org/home' AS link FROM portfolio WHERE company_id % 50 = 0")
 def portfolio_candidates(spark, d) -> DataFrame:
+    """J9, over a sample: every fiftieth company."""
+    return pages.portfolio_candidates(portfolio_pages(view(spark, d, "portfolio").filter("company_id % 50 = 0"))).select("page_id", "name", "link")
+
+
+@query(whole("portfolio_candidates", " WHERE company_id % 50 = 0"))
+def all_portfolio_candidates(spark, d) -> DataFrame:
     """J9."""
-    return pages.portfolio_candidates(portfolio_pages(spark, d)).select("page_id", "name", "link")
+    return pages.portfolio_candidates(portfolio_pages(view(spark, d, "portfolio"))).select("page_id", "name", "link")
 
 
 @query(f"{P} SELECT firm_id AS page_id, portfolio_company AS name FROM portfolio WHERE company_id % 50 = 0")
 def portfolio_cells(spark, d) -> DataFrame:
+    """J10, over a sample: every fiftieth company."""
+    return pages.company_cells(portfolio_pages(view(spark, d, "portfolio").filter("company_id % 50 = 0"))).select("page_id", "name")
+
+
+@query(whole("portfolio_cells", " WHERE company_id % 50 = 0"))
+def all_portfolio_cells(spark, d) -> DataFrame:
     """J10."""
-    return pages.company_cells(portfolio_pages(spark, d)).select("page_id", "name")
+    return pages.company_cells(portfolio_pages(view(spark, d, "portfolio"))).select("page_id", "name")
 
 
 @query(f"{M} SELECT firm_id AS page_id, 'https://list.example.com/profile/p' || member_id AS link, name AS text FROM members UNION ALL SELECT DISTINCT firm_id, 'https://list.example.com/f' || firm_id || '?page=' || (firm_id % 4 + 2), 'Next' FROM members WHERE firm_id % 4 < 3 UNION ALL SELECT DISTINCT firm_id, 'https://firm' || firm_id || '.example.org/', '' FROM members UNION ALL SELECT DISTINCT firm_id, 'https://www.linkedin.com/company/firm' || firm_id, '' FROM members")
@@ -126,11 +137,19 @@ def payload_people(spark, d) -> DataFrame:
 
 @query(f"{M}, r AS (SELECT *, row_number() OVER (PARTITION BY firm_id ORDER BY member_id) AS r FROM members WHERE member_id % 5 = 4) SELECT firm_id AS page_id, name, trim(title || ' of the firm, ' || name || ' has been here for years.') AS bio FROM r WHERE r = 1")
 def team_bios(spark, d) -> DataFrame:
-    """The block that tells of the first member with a name of their own."""
+    """J17, over a sample: the block that tells of the first member with a name of their own."""
     m = view(spark, d, "members").filter("member_id % 5 = 4").groupBy("firm_id").agg(F.min_by("name", "member_id").alias("name"))
     return pages.bio_section(team_pages(spark, d), m.select(F.col("firm_id").alias("page_id"), "name"))
 
 
+@query(f"""{M}, b AS (SELECT firm_id, member_id, name, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS n, trim(regexp_replace(title || ' of the firm, ' || name || ' has been here for years.', '\\s+', ' ', 'g')) AS bio FROM members),
+    r AS (SELECT a.*, o.bio AS told, row_number() OVER (PARTITION BY a.firm_id, a.member_id ORDER BY length(o.bio), o.member_id) AS r FROM b a JOIN b o ON a.firm_id = o.firm_id AND contains(lower(o.bio), lower(a.n)) AND length(o.bio) > length(a.n) + 20) SELECT firm_id AS page_id, member_id, name, told AS bio FROM r WHERE r = 1""")
+def all_team_bios(spark, d) -> DataFrame:
+    """For every member the shortest block that tells of them."""
+    m = view(spark, d, "members").select(F.col("firm_id").alias("page_id"), "member_id", "name")
+    return m.join(pages.bio_section(team_pages(spark, d), m), ["page_id", "name"]).select("page_id", "member_id", "name", "bio")
+
+
 @query(f"{M} SELECT firm_id AS page_id, count(*) AS members, count(DISTINCT nullif(linkedin_url, '')) AS links FROM members GROUP BY firm_id")
 def team_page_counts(spark, d) -> DataFrame:
     """Members and profile links of each team page."""
