@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import dims, names, text, urls
 from firmlens.operators import aggregate, dedupe, explore, match, pages
+from firmlens.operators.shared import cut
 from firmlens.plans.columns import _ABSOLUTE, _H, _KEY, _LINKS, links
 from firmlens.plans.fixtures import view, with_views
 from firmlens.plans.registry import query, whole
@@ -239,9 +240,9 @@ def _edges(spark, d) -> DataFrame:
 
 @query()
 def explored_sites(spark, d) -> DataFrame:
-    """K1: three rounds over the archived links of every site; compared in tests."""
-    e = _edges(spark, d)
-    return explore.explore(e, e.groupBy("firm").agg(F.min("from_url").alias("url")), 2, 3)
+    """K1: the archived links of every site, to the depth and number of pages that are usual; compared in tests."""
+    e = cut(_edges(spark, d), "edges")  # each round reads them
+    return explore.explore(e, e.groupBy("firm").agg(F.min("from_url").alias("url")))
 
 
 @query(f"WITH {_LINKS}, {_ABSOLUTE}, x AS (SELECT page_id, url, link, txt, seq FROM ab QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY seq) = 1) SELECT page_id, {_H} AS site, count(*) AS links FROM x WHERE length(txt) > 1 GROUP BY ALL")

@@ -1,8 +1,12 @@
 """What the queries over samples leave out is in the queries over everything."""
 
+from collections import defaultdict
+
 import pytest
+from firmlens.plans import records
 from firmlens.plans.fixtures import view
 from firmlens.plans.registry import ORACLES, QUERIES
+from test_operators import brute_explore
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +34,19 @@ def test_led_investments_by_hand(spark):
         for leader in (x for x in m if x["firm_id"] == c["firm_id"] and x["member_id"] % 10 == c["company_id"] % 10):
             want |= {(x["firm_id"], x["member_id"], c["company_id"]) for x in m if x["firm_id"] == c["firm_id"] and x["name"].lower() in f"round led by {leader['name'].lower()}"}
     assert {tuple(r) for r in QUERIES["all_led_investments"](spark, SF).select("firm_id", "member_id", "company_id").collect()} == want
+
+
+def test_explored_sites_to_the_usual_bounds(spark, tmp_path):
+    """A chain of 6 pages ends at depth 3, a star of 30 at 20 pages; two small pages are all visited."""
+    a = lambda *to: "".join(f'<a href="{x}">x</a>' for x in to)
+    rows = [(i, f"https://chain.example/{i}", a(f"/{i + 1}")) for i in range(6)] + [(10, "https://star.example/", a(*(f"/s{i:02}" for i in range(30))))] + [(20, "https://two.example/a", a("/b", "/a"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    edges, roots = defaultdict(lambda: defaultdict(list)), {}
+    for r in records._edges(spark, str(tmp_path)).orderBy("seq").collect():
+        edges[r["firm"]][r["from_url"]].append((r["to_url"], r["priority"]))
+        roots[r["firm"]] = min(r["from_url"], roots.get(r["firm"], r["from_url"]))
+    got = defaultdict(list)
+    for r in records.explored_sites(spark, str(tmp_path)).orderBy("visit").collect():
+        got[r["firm"]].append((r["url"], r["depth"]))
+    assert got == {k: brute_explore(edges[k], roots[k], 3, 20) for k in roots}
+    assert [len(got[f"{k}.example"]) for k in ("chain", "star", "two")] == [4, 20, 2]
