@@ -90,6 +90,49 @@ TEMPLATE_PROFILES = {"vc": "vc", "b2b": "general", "people": "directory_entry",
 #: (path, priority) of the pages that are tried in turn.
 WATERFALL_PATHS = [("", 1), ("/about", 2), ("/about-us", 2), ("/team", 3), ("/people", 3), ("/portfolio", 4), ("/investments", 4), ("/companies", 4), ("/focus", 5), ("/investment-focus", 5), ("/thesis", 5), ("/strategy", 5)]
 PORTFOLIO_PATHS = ["/portfolio", "/companies", "/investments", "/portfolio-companies", "/our-companies", "/our-investments", "/our-portfolio", "/ventures", "/current-holdings", "/direct-investments", "/featured", "/portfolio-co", "/what-we-do", "/investment-portfolio", "/fund-investments", "/our-ventures", ""]
+#: Output columns of each template: sheets, and the labels of their fields in order.
+TEMPLATE_SHEETS = {
+    "vc": {
+        "firms": {"company_name": "Firm Name", "website_url": "Website", "description": "Description", "investor_type": "Investor Type", "investment_stages": "Investment Stages", "investment_niches": "Focus Areas", "aum": "AUM", "founded_year": "Founded", "headquarters": "Headquarters", "investment_thesis": "Investment Thesis", "website_verified": "Website Verified"},
+        "team": {"vc_firm": "Firm", "name": "Name", "title": "Title", "decision_maker_tier": "Tier", "linkedin_url": "LinkedIn", "email": "Email", "investment_focus": "Investment Focus", "stage_preference": "Stage Preference", "check_size_range": "Check Size", "geographic_focus": "Geography", "notable_investments": "Notable Investments", "background": "Background"},
+        "portfolio": {"vc_firm": "Investor", "portfolio_company": "Company", "investment_date": "Investment Date", "website_url": "Website", "investment_niche": "Sector", "recency_category": "Recency"},
+    },
+    "b2b": {
+        "firms": {"company_name": "Company Name", "website_url": "Website", "description": "About", "investor_type": "Organization Type", "investment_niches": "Industry Tags", "headquarters": "Location", "founded_year": "Founded", "aum": "Revenue / Size", "sector_focus": "Sectors Served", "geographic_focus": "Markets"},
+        "team": {"vc_firm": "Company", "name": "Name", "title": "Title", "job_function": "Function", "linkedin_url": "LinkedIn", "email": "Email", "specialization": "Specialization", "background": "Background"},
+        "portfolio": {"vc_firm": "Company", "portfolio_company": "Client / Project", "investment_niche": "Industry", "investment_date": "Year", "website_url": "Reference URL"},
+    },
+    "people": {
+        "team": {"name": "Name", "vc_firm": "Organization", "title": "Title / Role", "decision_maker_tier": "Seniority Level", "job_function": "Function", "specialization": "Specialization", "linkedin_url": "LinkedIn", "email": "Email", "geographic_focus": "Location", "background": "Background", "years_experience": "Experience", "notable_investments": "Notable Work"},
+        "firms": {"company_name": "Organization Name", "website_url": "Website", "description": "About", "investor_type": "Type", "headquarters": "Location"},
+    },
+    "healthcare": {
+        "firms": {"company_name": "Organization Name", "website_url": "Website", "description": "Overview", "investor_type": "Facility Type", "investment_niches": "Specialties", "headquarters": "Location", "sector_focus": "Services Offered", "geographic_focus": "Service Area"},
+        "team": {"vc_firm": "Organization", "name": "Name", "title": "Title", "job_function": "Role", "investment_focus": "Medical Specialty", "linkedin_url": "Profile URL", "email": "Contact", "background": "Credentials"},
+    },
+    "ecommerce": {
+        "firms": {"company_name": "Store Name", "website_url": "Website", "description": "About", "investor_type": "Store Type", "investment_niches": "Product Categories", "headquarters": "Location", "geographic_focus": "Ships To", "aum": "Est. Revenue"},
+        "portfolio": {"vc_firm": "Store", "portfolio_company": "Product / Category", "investment_niche": "Category", "website_url": "Listing URL", "investment_date": "Listed"},
+        "team": {"vc_firm": "Store", "name": "Name", "title": "Role", "email": "Email", "linkedin_url": "LinkedIn"},
+    },
+    "realestate": {
+        "firms": {"company_name": "Agency Name", "website_url": "Website", "description": "About", "investor_type": "Agency Type", "investment_niches": "Property Types", "headquarters": "Location", "geographic_focus": "Markets Served", "aum": "Portfolio Size"},
+        "team": {"vc_firm": "Agency", "name": "Agent Name", "title": "Title", "email": "Email", "linkedin_url": "Profile URL", "specialization": "Specialty", "geographic_focus": "Territory", "background": "Experience"},
+        "portfolio": {"vc_firm": "Agency", "portfolio_company": "Property", "investment_niche": "Type", "website_url": "Listing URL", "investment_date": "Listed / Sold"},
+    },
+    "directory": {
+        "firms": {"company_name": "Company Name", "website_url": "Website", "description": "Description", "investment_niches": "Services / Products", "aum": "Team Size", "headquarters": "Location", "founded_year": "Founded", "investor_type": "Key Contact"},
+    },
+    "local": {
+        "firms": {"company_name": "Business Name", "website_url": "Website", "description": "About", "investor_type": "Business Type", "investment_niches": "Categories", "headquarters": "Address", "geographic_focus": "Service Area"},
+        "team": {"vc_firm": "Business", "name": "Contact Name", "title": "Role", "email": "Email", "linkedin_url": "Profile URL"},
+    },
+}
+STANDARD_PATHS = ["/team", "/people", "/about-us", "/leadership", "/our-team", "/partners", "/management", "/professionals", "/portfolio", "/companies", "/investments", "/our-portfolio", "/about", "/about-us"]
+TEAM_PATHS = ["/team", "/people", "/our-team", "/about/team", "/leadership", "/partners", "/about", "/about-us", "/who-we-are", "/our-people"]
+TEAM_FALLBACK_PATHS = ["/team", "/people", "/leadership", "/our-team", "/meet-the-team", "/partners", "/investment-team", "/about/team", "/about/people", "/about", "/about-us", "/who-we-are", ""]
+#: The lists of paths by name.
+PATH_LISTS = {"waterfall": [p for p, _ in WATERFALL_PATHS], "standard": STANDARD_PATHS, "portfolio": PORTFOLIO_PATHS, "team": TEAM_PATHS, "team_fallback": TEAM_FALLBACK_PATHS}
 
 
 def niche_labels() -> list[tuple[str, str, str]]:

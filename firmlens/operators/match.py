@@ -59,6 +59,21 @@ def assign_profiles(members: DataFrame, urls: DataFrame) -> DataFrame:
     return c.groupBy("page_id").applyInPandas(greedy, "page_id long, member_id long, url string, confidence string")
 
 
+def profile_page_of_member(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Every member, with the first link whose normalised name is theirs, or null. members: page_id, member_id, name; links: page_id, link, name, seq."""
+    first = links.groupBy("page_id", names.person_key(F.col("name")).alias("_k")).agg(F.min_by("link", "seq").alias("link"))
+    return members.withColumn("_k", names.person_key(F.col("name"))).join(first, ["page_id", "_k"], "left").select("page_id", "member_id", "link")
+
+
+def registry_attributes(firms: DataFrame, registries: dict[str, DataFrame]) -> DataFrame:
+    """Every firm with the attribute that each registry has under its name, or null. firms: firm_id, company_name;
+    registries: company_name, value. Of several values of a name the least counts."""
+    out = firms.select("firm_id", "company_name")
+    for name, r in registries.items():
+        out = out.join(r.groupBy("company_name").agg(F.min("value").alias(name)), "company_name", "left")
+    return out.select("firm_id", "company_name", *registries)
+
+
 def external_employees(members: DataFrame, employees: DataFrame) -> DataFrame:
     """Employees from an outside list whose name holds a member's or the other way, within a firm."""
     a, b = F.lower("name"), F.lower("employee")

@@ -249,6 +249,15 @@ def next_page(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce(urls.absolute(F.coalesce(rel, rel2, said, md), F.col("url")), by_query, by_path).alias("next_url"))
 
 
+def pagination_links(links: DataFrame) -> DataFrame:
+    """Links to further pages: the link speaks of a page or team, and its text says next, more or page or it ends in a number; each
+    once, where it stands first. links: page_id, href, link, txt, seq."""
+    t = F.lower("txt")
+    spoken = F.col("href").contains("page") | F.col("href").contains("team")
+    further = t.contains("next") | t.contains("more") | t.contains("page") | F.col("href").rlike(r"page=\d+") | F.col("href").rlike(r"/\d+$")
+    return links.filter(spoken & further).groupBy("page_id", "link").agg(F.min("seq").alias("seq"))
+
+
 def own_site(pages: DataFrame) -> DataFrame:
     """On a directory's page of an entry: the first URL that is neither the directory's nor a platform's."""
     found = F.regexp_extract_all("html", F.lit(r"(https?://[^\s\"'<>()]+)"), F.lit(1))

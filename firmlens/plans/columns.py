@@ -66,12 +66,12 @@ _PRI = "CASE cat " + " ".join(f"WHEN '{n}' THEN {p}" for n, p, _, _ in dims.PAGE
 
 
 def links(spark, d) -> DataFrame:
-    """(page_id, url, link, text, seq) of a page's links, absolute."""
+    """(page_id, url, link, text, seq, href) of a page's links, absolute, and as they are written."""
     pages = spark.read.parquet(f"{d}/pages.parquet")
     anchors = F.posexplode(F.regexp_extract_all("html", F.lit(r'(<a [^>]*href="[^"]*"[^>]*>[^<]*<)'), F.lit(1)))
     a = pages.select("page_id", "url", anchors.alias("seq", "_a"))
     href = F.regexp_extract("_a", r'href="([^"]*)"', 1)
-    return a.select("page_id", "url", urls.absolute(href, F.col("url")).alias("link"), F.trim(F.regexp_extract("_a", ">([^<]*)<", 1)).alias("txt"), (F.col("seq") + 1).alias("seq"))
+    return a.select("page_id", "url", urls.absolute(href, F.col("url")).alias("link"), F.trim(F.regexp_extract("_a", ">([^<]*)<", 1)).alias("txt"), (F.col("seq") + 1).alias("seq"), href.alias("href"))
 
 
 @query(f"WITH {_LINKS}, {_ABSOLUTE}, c AS (SELECT *, {_CAT} AS cat FROM ab), f AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY seq) AS r FROM c) SELECT page_id, link, txt AS text, cat AS category, {_PRI} AS priority, seq FROM f WHERE r = 1")

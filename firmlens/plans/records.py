@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.functions import dims, names, text, urls
+from firmlens.functions import dates, dims, names, text, tiers, urls
 from firmlens.operators import aggregate, dedupe, explore, match, pages
 from firmlens.operators.shared import cut
-from firmlens.plans.columns import _ABSOLUTE, _H, _KEY, _LINKS, links
-from firmlens.plans.fixtures import view, with_views
+from firmlens.plans.columns import _ABS, _ABSOLUTE, _CAT, _H, _KEY, _LINKS, _O, _P, _VISIBLE, links
+from firmlens.plans.fixtures import AS_OF, view, with_views
 from firmlens.plans.registry import query, whole
 from firmlens.sources import export, firm_list
 
@@ -202,7 +204,7 @@ def sectioned_csv(spark, d) -> DataFrame:
 
 @query(f"{with_views('members')} SELECT coalesce(vc_firm, '') AS \"VC Firm\", name AS \"Name\", title AS \"Title\", coalesce(linkedin_url, '') AS \"LinkedIn URL\", coalesce(email, '') AS \"Email\", specialization AS \"Specialization\" FROM members")
 def member_export(spark, d) -> DataFrame:
-    """Labelled columns, nulls as empty text."""
+    """Labelled columns, nulls as empty text."""
     return export.labelled(export.clean(view(spark, d, "members").drop("member_id", "firm_id")), export.SHORT_MEMBER)
 
 
@@ -221,7 +223,7 @@ def insert_absent(spark, d) -> DataFrame:
 
 @query(f"{with_views('firms')}, t AS (SELECT company_name, min(firm_id) AS firm_id FROM firms GROUP BY 1) SELECT p.company_id, t.firm_id FROM (SELECT o_orderkey AS company_id, 'Supplier#' || lpad(CAST(o_orderkey % 150 AS VARCHAR), 9, '0') AS company_name FROM orders) p JOIN t USING (company_name)")
 def firm_id_lookup(spark, d) -> DataFrame:
-    """Rows by name to the first id of that name."""
+    """Rows by name to the first id of that name."""
     ids = view(spark, d, "firms").groupBy("company_name").agg(F.min("firm_id").alias("firm_id"))
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("company_id"), F.concat(F.lit("Supplier#"), F.lpad((F.col("o_orderkey") % 150).cast("string"), 9, "0")).alias("company_name"))
     return o.join(ids, "company_name").select("company_id", "firm_id")
@@ -247,12 +249,62 @@ def explored_sites(spark, d) -> DataFrame:
 
 @query(f"WITH {_LINKS}, {_ABSOLUTE}, x AS (SELECT page_id, url, link, txt, seq FROM ab QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY seq) = 1) SELECT page_id, {_H} AS site, count(*) AS links FROM x WHERE length(txt) > 1 GROUP BY ALL")
 def listing_sizes(spark, d) -> DataFrame:
-    """Distinct links of each page that have a text."""
+    """Distinct links of each page that have a text."""
     x = links(spark, d)
     first = x.withColumn("_r", F.row_number().over(Window.partitionBy("page_id", "link").orderBy("seq"))).filter("_r = 1 AND length(txt) > 1")
     return first.groupBy("page_id", urls.host(F.col("url")).alias("site")).agg(F.count(F.lit(1)).alias("links"))
 
 
+@query(rf"WITH {_LINKS}, x AS (SELECT page_id, seq, {_ABS} AS link FROM (SELECT *, {_O} AS o, {_P} AS p FROM l) WHERE (contains(href, 'page') OR contains(href, 'team')) AND (regexp_matches(lower(txt), 'next|more|page') OR regexp_matches(href, 'page=\d+') OR regexp_matches(href, '/\d+$'))) SELECT page_id, link, min(seq) AS seq FROM x GROUP BY ALL")
+def pagination_links(spark, d) -> DataFrame:
+    """J13, over every page."""
+    return pages.pagination_links(links(spark, d))
+
+
+@query(f"""WITH {_LINKS}, {_ABSOLUTE}, c AS (SELECT *, {_CAT} AS category, {_H} AS site FROM ab), f AS (SELECT site, link AS url, category FROM c WHERE site IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site, link ORDER BY page_id, seq) = 1),
+    v AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, {_VISIBLE} AS t FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) = 1), u AS (SELECT url, length(t) >= 200 AND NOT regexp_matches(lower(t), 'checking your browser|captcha|access denied') AS ok FROM v)
+    SELECT site, category, count(*) AS discovered, count(u.url) AS archived, count(*) FILTER (ok) AS usable, count(*) FILTER (ok IS NOT TRUE) AS failed FROM f LEFT JOIN u USING (url) GROUP BY ALL""")
+def crawl_statistics(spark, d) -> DataFrame:
+    """What the pages of each site link to, by category, and how much of it is archived and usable."""
+    first = F.struct("page_id", "seq")
+    found = links(spark, d).withColumn("site", urls.host(F.col("url"))).filter("site IS NOT NULL").withColumn("category", urls.category(F.col("link"), F.col("txt")))
+    found = found.groupBy("site", F.col("link").alias("url")).agg(F.min_by("category", first).alias("category"))
+    p = spark.read.parquet(f"{d}/pages.parquet").groupBy(urls.without_query(F.col("url")).alias("url")).agg(F.min_by("html", "page_id").alias("html"))
+    p = p.select("url", text.visible_text(F.col("html")).alias("content"))
+    usable = (F.length("content") >= 200) & ~F.lower("content").rlike("checking your browser|captcha|access denied")
+    return explore.crawl_statistics(found, p, usable)
+
+
+@query(f"{with_views('firms', 'members', 'portfolio', 'processed')} SELECT f.firm_id, f.company_name, p.v AS status, m.v AS title, c.v AS company FROM firms f LEFT JOIN (SELECT company_name, min(status) AS v FROM processed GROUP BY 1) p USING (company_name) LEFT JOIN (SELECT vc_firm AS company_name, min(title) AS v FROM members GROUP BY 1) m USING (company_name) LEFT JOIN (SELECT vc_firm AS company_name, min(portfolio_company) AS v FROM portfolio GROUP BY 1) c USING (company_name)")
+def registry_attributes(spark, d) -> DataFrame:
+    """Every firm with what three tables have under its name."""
+    of = lambda name, key, value: view(spark, d, name).select(F.col(key).alias("company_name"), F.col(value).alias("value"))
+    return match.registry_attributes(view(spark, d, "firms"), {"status": of("processed", "company_name", "status"), "title": of("members", "vc_firm", "title"), "company": of("portfolio", "vc_firm", "portfolio_company")})
+
+
+@query()
+def template_sheets(spark, d) -> DataFrame:
+    """The rows of each sheet of the 8 templates, under that template's labels; compared in tests."""
+    m = view(spark, d, "members").withColumn("decision_maker_tier", tiers.tier(F.col("title")))
+    p = view(spark, d, "portfolio").withColumn("recency_category", dates.recency_category(F.col("investment_date"), F.lit(AS_OF).cast("date")))
+    tables = {"firms": (view(spark, d, "firms"), "firm_id"), "team": (m, "member_id"), "portfolio": (p, "company_id")}
+    out = []
+    for template, sheets in dims.TEMPLATE_SHEETS.items():
+        for name, labels in sheets.items():
+            df, key = tables[name]
+            cells = export.sheet(df.withColumnRenamed(key, "_key"), labels | {"_key": "_key"})
+            out.append(cells.select(F.lit(template).alias("template"), F.lit(name).alias("sheet"), F.col("_key").cast("long").alias("row_id"), F.to_json(F.struct(*(F.col(f"`{l}`") for l in labels.values()))).alias("cells")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"{with_views('firms')}, w(list, place, path) AS (VALUES {', '.join(f'({n!r}, {i}, {p!r})' for n, l in dims.PATH_LISTS.items() for i, p in enumerate(l, 1))}) SELECT firm_id, list, place, regexp_extract(website_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || path AS url FROM firms, w WHERE website_url LIKE 'http%'")
+def generated_urls(spark, d) -> DataFrame:
+    """The URLs of all five lists of paths, on the origin of each firm's site."""
+    f = view(spark, d, "firms").filter("website_url LIKE 'http%'")
+    paths = F.explode(F.array(*(F.struct(F.lit(n).alias("list"), F.lit(i).alias("place"), F.lit(p).alias("path")) for n, l in dims.PATH_LISTS.items() for i, p in enumerate(l, 1))))
+    return f.select("firm_id", urls.origin(F.col("website_url")).alias("_o"), paths.alias("x")).select("firm_id", "x.list", "x.place", F.concat("_o", "x.path").alias("url"))
+
+
 @query()
 def directory_entries(spark, d) -> DataFrame:
     """J11, A8; compared in tests."""
@@ -287,7 +339,7 @@ def merged_fields(spark, d) -> DataFrame:
 
 @query(f"""{with_views('firms')}, c AS (SELECT firm_id, rtrim(website_url, '/') || p AS url, i FROM firms, (VALUES ('/team', 1), ('/people', 2), ('/about', 3), ('/portfolio', 4), ('/companies', 5)) v(p, i) WHERE website_url LIKE 'http%') SELECT firm_id, url, i AS place FROM c""")
 def candidate_urls(spark, d) -> DataFrame:
-    """URLs made from a site and a list of paths."""
+    """I13, in part: URLs made from a site and a short list of paths; generated_urls has all lists."""
     paths = ["/team", "/people", "/about", "/portfolio", "/companies"]
     f = view(spark, d, "firms").filter("website_url LIKE 'http%'")
     return f.select("firm_id", F.regexp_replace("website_url", "/+$", "").alias("_b"), F.posexplode(F.array(*map(F.lit, paths))).alias("_i", "_p")).select("firm_id", F.concat("_b", "_p").alias("url"), (F.col("_i") + 1).alias("place"))

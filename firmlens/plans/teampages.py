@@ -164,3 +164,10 @@ def team_assignment(spark, d) -> DataFrame:
     m = view(spark, d, "members")
     u = pages.profile_links(team_pages(spark, d)).select("page_id", F.col("link").alias("url"), "near", "context", "seq")
     return match.assign_profiles(m.select(F.col("firm_id").alias("page_id"), "member_id", "name"), u)
+
+
+@query(f"{M}, k AS (SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(trim(name))), '\\s+', ' ', 'g'), '[^a-z0-9\\s\\-'']', '', 'g')) AS pk FROM members) SELECT firm_id AS page_id, member_id, {SITE} || '/team/p' || min(member_id) OVER (PARTITION BY firm_id, pk) AS link FROM k")
+def member_profile_pages(spark, d) -> DataFrame:
+    """D12 over J8: every member with the first page of their name, or none."""
+    m = view(spark, d, "members").select(F.col("firm_id").alias("page_id"), "member_id", "name")
+    return match.profile_page_of_member(m, pages.profile_pages(team_pages(spark, d)))

@@ -23,6 +23,11 @@ def labelled(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(c).alias(l) for c, l in labels.items() if c in df.columns))
 
 
+def sheet(df: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Every column of a template's sheet, as text under its label; empty where the table has no such field."""
+    return df.select(*((text.exported(F.col(c)) if c in df.columns else F.lit("")).alias(l) for c, l in labels.items()))
+
+
 def with_placeholder(df: DataFrame, note: str) -> DataFrame:
     """A table without rows gets one that says so in its first column."""
     marker = df.sparkSession.range(1).select(*((F.lit(note) if i == 0 else F.lit("")).cast("string").alias(c) for i, c in enumerate(df.columns)))

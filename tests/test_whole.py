@@ -1,8 +1,11 @@
 """What the queries over samples leave out is in the queries over everything."""
 
+import json
 from collections import defaultdict
 
 import pytest
+from firmlens.functions import dims
+from firmlens.operators import match, pages
 from firmlens.plans import records
 from firmlens.plans.fixtures import view
 from firmlens.plans.registry import ORACLES, QUERIES
@@ -50,3 +53,33 @@ def test_explored_sites_to_the_usual_bounds(spark, tmp_path):
         got[r["firm"]].append((r["url"], r["depth"]))
     assert got == {k: brute_explore(edges[k], roots[k], 3, 20) for k in roots}
     assert [len(got[f"{k}.example"]) for k in ("chain", "star", "two")] == [4, 20, 2]
+
+
+def test_left_joins_keep_what_is_unmatched(spark):
+    m = spark.createDataFrame([(1, 1, "José  Ramos"), (1, 2, "Bo Lee"), (2, 3, "jose ramos")], "page_id long, member_id long, name string")
+    links = spark.createDataFrame([(1, 5, "u5", "jose ramos"), (1, 4, "u4", "Jose Ramos")], "page_id long, seq long, link string, name string")
+    assert sorted(map(tuple, match.profile_page_of_member(m, links).collect())) == [(1, 1, "u4"), (1, 2, None), (2, 3, None)]
+    f = spark.createDataFrame([(1, "A"), (2, "B"), (3, "A")], "firm_id long, company_name string")
+    r = spark.createDataFrame([("A", "x"), ("A", "w"), ("C", "y")], "company_name string, value string")
+    got = match.registry_attributes(f, {"one": r, "two": r.limit(0)}).orderBy("firm_id").collect()
+    assert list(map(tuple, got)) == [(1, "A", "w", None), (2, "B", None, None), (3, "A", "w", None)]
+
+
+def test_pagination_links(spark):
+    rows = [("/team?page=2", "2"), ("/team?page=2", "Next"), ("/team/3", "3"), ("/team/ann", "Ann"), ("/people/4", "Next"), ("/team/all", "Load More"), ("/page/about", "About")]
+    df = spark.createDataFrame([(1, h, "https://f.example" + h, t, i) for i, (h, t) in enumerate(rows)], "page_id long, href string, link string, txt string, seq int")
+    assert sorted((r["link"][17:], r["seq"]) for r in pages.pagination_links(df).collect()) == [("/team/3", 2), ("/team/all", 5), ("/team?page=2", 0)]
+
+
+def test_templates_and_path_lists(spark):
+    assert [len(dims.PATH_LISTS[k]) for k in ("waterfall", "standard", "portfolio", "team", "team_fallback")] == [12, 14, 17, 10, 13]
+    assert len(dims.TEMPLATE_SHEETS) == 8
+    rows = records.template_sheets(spark, SF).collect()
+    n = {"firms": view(spark, SF, "firms").count(), "team": view(spark, SF, "members").count(), "portfolio": view(spark, SF, "portfolio").count()}
+    assert len(rows) == sum(n[s] for sheets in dims.TEMPLATE_SHEETS.values() for s in sheets)
+    members = {r["member_id"]: r for r in view(spark, SF, "members").collect()}
+    for r in rows:
+        cells = json.loads(r["cells"])
+        assert list(cells) == list(dims.TEMPLATE_SHEETS[r["template"]][r["sheet"]].values())
+        if r["sheet"] == "team":
+            assert cells["Email"] == (members[r["row_id"]]["email"] or "") if "Email" in cells else True
