@@ -355,6 +355,19 @@ def first_usable_pages(spark, d) -> DataFrame:
 
 @query("SELECT page_id % 40 AS site, string_agg(CAST(page_id AS VARCHAR), chr(10) || chr(10) ORDER BY page_id % 3, page_id) AS content FROM pages GROUP BY 1")
 def assembled_content(spark, d) -> DataFrame:
-    """Pages of a site in the order of their category."""
+    """E26, over numbers in place of sites and texts: in the order of a rank. site_content has the pages themselves."""
     p = spark.read.parquet(f"{d}/pages.parquet").select((F.col("page_id") % 40).alias("site"), (F.col("page_id") % 3).alias("rank"), "page_id", F.col("page_id").cast("string").alias("body"))
     return export.ordered_content(p, "site", "rank", "page_id", "body")
+
+
+_PAGE_RANK = f"CASE WHEN {_O} IS NOT NULL AND {_P} = '/' THEN 0 ELSE " + "CASE " + " ".join(f"WHEN regexp_matches(lower(url), '{'|'.join(u)}') THEN {p}" for _, p, u, _ in dims.PAGE_CATEGORIES) + " ELSE 5 END END"
+
+
+@query(f"SELECT {_H} AS site, {_PAGE_RANK} AS rank, page_id // 1000 AS block, coalesce(string_agg({_VISIBLE}, chr(10) || chr(10) ORDER BY page_id), '') AS content FROM pages GROUP BY 1, 2, 3")
+def site_content(spark, d) -> DataFrame:
+    """The text of all pages of a site: the home page, then by category, then as they came. A large site's text doesn't
+    fit one value, so it comes in blocks of at most 1000 page_ids of a category, whose order is (rank, block)."""
+    u = F.col("url")
+    rank = F.when(urls.path(u) == "/", 0).otherwise(urls.category_priority(u, F.lit("")))
+    p = spark.read.parquet(f"{d}/pages.parquet").select(urls.host(u).alias("site"), rank.alias("rank"), F.expr("page_id div 1000").alias("block"), "page_id", text.visible_text(F.col("html")).alias("body"))
+    return export.ordered_content(p, ["site", "rank", "block"], "rank", "page_id", "body")

@@ -109,7 +109,7 @@ def long_values(df: DataFrame, key: str, columns: list[str], most: int = 1000) -
     return rows.select(key, "x.*").filter(F.col("length") > most)
 
 
-def ordered_content(pages: DataFrame, key: str, rank: str, seq: str, body: str) -> DataFrame:
+def ordered_content(pages: DataFrame, key: str | list[str], rank: str, seq: str, body: str) -> DataFrame:
     """Pages of a site joined in the order of their category, then as they came."""
     items = F.array_sort(F.collect_list(F.struct(rank, seq, body)))
     return pages.groupBy(key).agg(F.array_join(F.transform(items, lambda x: x[body]), "\n\n").alias("content"))

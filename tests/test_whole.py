@@ -83,3 +83,12 @@ def test_templates_and_path_lists(spark):
         assert list(cells) == list(dims.TEMPLATE_SHEETS[r["template"]][r["sheet"]].values())
         if r["sheet"] == "team":
             assert cells["Email"] == (members[r["row_id"]]["email"] or "") if "Email" in cells else True
+
+
+def test_site_content_holds_the_text_of_every_page(spark, tmp_path):
+    rows = [(1, "https://a.example/news/1", "<p>news</p>"), (2, "https://A.example/team", "<p>we <b>all</b></p><script>x</script>"), (3, "https://a.example/", "home"), (4, "https://a.example/team/z", "more"), (5, "https://a.example", "home too"), (6, "https://b.example/x", None), (7, "nowhere", "lost"), (2001, "https://a.example/team/y", "late")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = defaultdict(list)
+    for r in records.site_content(spark, str(tmp_path)).orderBy("rank", "block").collect():
+        got[r["site"]].append(r["content"])
+    assert got == {"a.example": ["home\n\nhome too", "we all\n\nmore", "late", "news"], "b.example": [""], None: ["lost"]}
