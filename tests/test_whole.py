@@ -92,3 +92,8 @@ def test_site_content_holds_the_text_of_every_page(spark, tmp_path):
     for r in records.site_content(spark, str(tmp_path)).orderBy("rank", "block").collect():
         got[r["site"]].append(r["content"])
     assert got == {"a.example": ["home\n\nhome too", "we all\n\nmore", "late", "news"], "b.example": [""], None: ["lost"]}
+
+
+@pytest.mark.parametrize("name", ["liveness", "live_progress"])
+def test_streams_end_in_the_shared_folder(spark, name):
+    assert QUERIES[name](spark, SF).inputFiles()
