@@ -170,4 +170,4 @@ def team_assignment(spark, d) -> DataFrame:
 def member_profile_pages(spark, d) -> DataFrame:
     """D12 over J8: every member with the first page of their name, or none."""
     m = view(spark, d, "members").select(F.col("firm_id").alias("page_id"), "member_id", "name")
-    return match.profile_page_of_member(m, pages.profile_pages(team_pages(spark, d)))
+    return match.profile_page_of_member(m, pages.profile_pages(team_pages(spark, d), 2**31))  # no cap
