@@ -31,6 +31,25 @@ ERRORS = [
     ("no_content", "no content|empty page|no text"),
     ("llm_empty", "llm|openai|parse"),
 ]
+#: (message, parts of the error), the first that fits wins: of a check of a site, and of a verification.
+SITE_ERRORS = [
+    ("Domain does not exist or DNS lookup failed", "enotfound|dns"),
+    ("Website timeout - site may be slow or temporarily unavailable", "timeout|etimedout"),
+    ("Connection refused - server may be down", "econnrefused|connection refused"),
+    ("Access blocked - website has anti-bot protection", "403|forbidden"),
+    ("Page not found (404)", "404|not found"),
+    ("Circuit breaker open - domain temporarily blocked due to repeated failures", "circuit breaker"),
+]
+VERIFICATION_ERRORS = [
+    ("Verification temporarily unavailable (rate limit)", "412|429|rate limit|usage exhausted"),
+    ("Verification timed out", "timeout|timed out"),
+    ("Website not accessible (404)", "404|not found"),
+    ("Website blocked access (403)", "403|forbidden"),
+    ("Website server error", "500|502|503"),
+    ("Website domain not found", "enotfound|dns"),
+    ("Website connection refused", "econnrefused|connection refused"),
+]
+PORTFOLIO_WORDS = ["portfolio", "investment", "companies", "holdings"]
 CONFIDENCE = {"High": 90, "Medium": 60}
 OTHER_CONFIDENCE = 30
 #: Tokens of each operation for a firm: (name, input, output, grows with the description's length, how many times).

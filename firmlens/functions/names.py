@@ -57,6 +57,12 @@ def company_slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def linkedin_slug(name: Column) -> Column:
+    """Anything but letters, digits, space and hyphens deleted, spaces as hyphens, single hyphens."""
+    s = F.regexp_replace(F.lower(name), r"[^a-z0-9\s-]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\s+", "-"), "-+", "-"))
+
+
 def names_match(a: Column, b: Column) -> Column:
     """Spaced keys are equal, first and last parts are equal, or one holds the other (4 characters at least)."""
     x, y = spaced_key(a), spaced_key(b)

@@ -47,12 +47,37 @@ def chunk_starts(content: Column, size: int = 15000, overlap: int = 500) -> Colu
     return F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap)))
 
 
-def error_class(message: Column) -> Column:
+def classed(message: Column, rules: list[tuple[str, str]], otherwise: Column) -> Column:
+    """The first class whose pattern the message fits."""
     m = F.lower(message)
     out = F.when(F.lit(False), F.lit(""))
-    for name, p in dims.ERRORS:
+    for name, p in rules:
         out = out.when(m.rlike(p), F.lit(name))
-    return out.otherwise("unknown")
+    return out.otherwise(otherwise)
+
+
+def error_class(message: Column) -> Column:
+    return classed(message, dims.ERRORS, F.lit("unknown"))
+
+
+def site_error(message: Column) -> Column:
+    """What a failed check of a site says."""
+    return classed(message, dims.SITE_ERRORS, F.concat(F.lit("Failed to fetch: "), F.substring(message, 1, 100)))
+
+
+def verification_error(message: Column) -> Column:
+    """What a failed verification says."""
+    return classed(message, dims.VERIFICATION_ERRORS, F.lit("Verification unavailable"))
+
+
+def least_chars(url: Column) -> Column:
+    """The visible characters that a page needs: pages of people more than others."""
+    return F.when(url.contains("/team") | url.contains("/people") | url.contains("/about"), 1000).otherwise(100)
+
+
+def of_portfolio(html: Column) -> Column:
+    """Whether a page speaks of a portfolio."""
+    return F.lower(html).rlike("|".join(dims.PORTFOLIO_WORDS))
 
 
 def log_status(filled: Column, total: Column) -> Column:

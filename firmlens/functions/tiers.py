@@ -33,7 +33,7 @@ OTHER = ("Exclude", "Non-investment role")
 
 def pattern(kind: str, items: list[str]) -> str:
     """One regular expression in the syntax that Java and RE2 share; words end at ASCII boundaries."""
-    any_of = "|".join(re.escape(x).replace("/", "/") for x in items if x == x.strip())
+    any_of = "|".join(re.escape(x) for x in items if x == x.strip())
     return f"({any_of})" if kind == "part" else f"(^|[^a-z0-9_])({any_of})($|[^a-z0-9_])"
 
 

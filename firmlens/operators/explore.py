@@ -57,6 +57,11 @@ def waterfall(candidates: DataFrame, pages: DataFrame, usable, k: int = 1) -> Da
     return got.withColumn("_r", F.row_number().over(Window.partitionBy("site").orderBy("place", "url"))).filter(F.col("_r") <= k).drop("_r")
 
 
+def with_fallback(found: DataFrame, standard: DataFrame) -> DataFrame:
+    """Candidates that were found, and the standard ones of sites without any. Both: site, url, place."""
+    return found.unionByName(standard.join(found.select("site").distinct(), "site", "left_anti").select(*found.columns))
+
+
 def crawl_statistics(candidates: DataFrame, pages: DataFrame, usable) -> DataFrame:
     """Discovered, archived, usable and failed pages of each site and category."""
     df = candidates.join(pages.withColumn("_have", F.lit(True)), "url", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.functions import dates, dims
+from firmlens.operators.shared import cut
 
 
 def estimate(jobs: DataFrame, mean_chars: Column) -> DataFrame:
@@ -56,11 +57,18 @@ def progress(jobs: DataFrame) -> DataFrame:
 
 
 def eta(logs: DataFrame) -> DataFrame:
-    """Running estimate of the seconds left for each row of a job's log: elapsed / index * remaining."""
-    w = Window.partitionBy("job_id").orderBy("created_at", "log_id")
-    i, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("job_id"))
-    elapsed = (F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.first(F.col("created_at").cast("timestamp")).over(w))) / 1e6
-    return logs.select("job_id", "log_id", i.alias("i"), (elapsed / i * (n - i)).alias("eta_s"))
+    """Running estimate of the seconds left for each row of a job's log: elapsed / index * remaining. Rows are numbered by ranges: a job
+    with most of the rows lies in many, and what comes before a range is summed from one row for each job and range."""
+    at = F.col("created_at").cast("timestamp")
+    ranged = cut(logs.select("job_id", "log_id", at.alias("at")).repartitionByRange("job_id", "at", "log_id").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("job_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    job = Window.partitionBy("job_id")
+    before = F.sum("n").over(job.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = parts.select("job_id", "part", F.coalesce(before, F.lit(0)).alias("base"), F.sum("n").over(job).alias("n"), F.min("at").over(job).alias("began"))
+    i = F.col("base") + F.row_number().over(Window.partitionBy("job_id", "part").orderBy("at", "log_id"))
+    numbered = ranged.join(base, ["job_id", "part"]).withColumn("i", i)
+    elapsed = (F.unix_micros("at") - F.unix_micros("began")) / 1e6
+    return numbered.select("job_id", "log_id", F.col("i").cast("int").alias("i"), (elapsed / F.col("i") * (F.col("n") - F.col("i"))).alias("eta_s"))
 
 
 def fetch_metrics(fetches: DataFrame) -> DataFrame:
@@ -78,3 +86,9 @@ def stale(jobs: DataFrame, as_of: Column) -> DataFrame:
 def cost_totals(jobs: DataFrame) -> DataFrame:
     i, o = F.sum("input_tokens"), F.sum("output_tokens")
     return jobs.groupBy("owner_id").agg(i.alias("input_tokens"), o.alias("output_tokens"), F.round(i / 1e6 * dims.PRICE_IN + o / 1e6 * dims.PRICE_OUT, 6).alias("cost"))
+
+
+def latest(logs: DataFrame, n: int = 5) -> DataFrame:
+    """The last n rows of each job's log, the latest first: job_id, log_id, status, place."""
+    w = Window.partitionBy("job_id").orderBy(F.desc("created_at"), F.desc("log_id"))
+    return logs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("job_id", "log_id", "status", "place")

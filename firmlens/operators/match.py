@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.functions import names
+from firmlens.functions import names, text
 
 
 def email_of_member(members: DataFrame, emails: DataFrame, page: str = "page_id") -> DataFrame:
@@ -35,16 +35,16 @@ def profile_of_member(members: DataFrame, urls: DataFrame, page: str = "page_id"
 def assign_profiles(members: DataFrame, urls: DataFrame) -> DataFrame:
     """One to one and greedy, page by page, in member order: the name in the text next to the link (High), the name in
     the wider context (Medium), the slug holds both names (Medium), the slug has the pattern initial-last (Low).
-    A URL that is taken is out. members: page_id, member_id, name; urls: page_id, url, near, context, seq."""
+    A URL that is taken is out. A name of one word is looked for alone. members: page_id, member_id, name; urls: page_id, url, near, context, seq."""
     import pandas as pd
 
     p = names.parts(F.lower(F.trim("name")))
     m = members.withColumns({"_f": F.regexp_replace(p["first"], "[^a-z]", ""), "_l": F.regexp_replace(p["last"], "[^a-z]", "")})
     slug = F.lower(F.regexp_extract("url", r"/in/([^/?#]+)", 1))
     both = lambda c: F.lower(c).contains(F.col("_f")) & F.lower(c).contains(F.col("_l"))
-    pattern = slug.rlike("^[a-z]-") & slug.contains(F.col("_l")) & (F.substring(slug, 1, 1) == F.substring("_f", 1, 1))
+    pattern = (F.col("_l") != "") & slug.rlike("^[a-z]-") & slug.contains(F.col("_l")) & (F.substring(slug, 1, 1) == F.substring("_f", 1, 1))
     rank = F.when(both("near"), 1).when(both("context"), 2).when(slug.contains(F.col("_f")) & slug.contains(F.col("_l")), 3).when(pattern, 4)
-    c = m.join(urls, "page_id").withColumn("rank", rank).filter("rank IS NOT NULL AND _l <> ''").select("page_id", "member_id", "url", "seq", "rank")
+    c = m.join(urls, "page_id").withColumn("rank", rank).filter("rank IS NOT NULL AND _f <> ''").select("page_id", "member_id", "url", "seq", "rank")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -116,3 +116,28 @@ def profile_candidates(people: DataFrame, nicknames: DataFrame, key: str = "memb
     out = out.select(key, (F.col("v") * 100 + F.col("at")).alias("seq"), "c.*")
     out = out.withColumn("_r", F.row_number().over(Window.partitionBy(key, "slug").orderBy("seq"))).filter("_r = 1")
     return out.select(key, F.concat(F.lit("https://www.linkedin.com/in/"), "slug").alias("url"), "confidence", "method", "seq")
+
+
+def simple_profile_candidates(people: DataFrame, key: str = "member_id", name: str = "name") -> DataFrame:
+    """Five patterns and five numbered ones of a name's letters, in order: key, place, url. Names of one word have none."""
+    p = names.parts(F.trim(name))
+    letters = {k: F.regexp_replace(F.lower(c), "[^a-z]", "") for k, c in p.items()}
+    base = people.select(key, letters["first"].alias("f"), letters["middle"].alias("m"), letters["last"].alias("l")).filter("f <> '' AND l <> ''")
+    first, middle, last, dash = F.col("f"), F.col("m"), F.col("l"), F.lit("-")
+    made = [F.concat(first, dash, last), F.concat(first, last), F.when(middle != "", F.concat(first, dash, middle, dash, last)), F.concat(F.substring(first, 1, 1), dash, last), F.concat(first, dash, F.substring(last, 1, 1))]
+    made += [F.concat(first, dash, last, F.lit(f"-{i}")) for i in range(1, 6)]
+    rows = base.select(key, F.posexplode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("at", "slug"))
+    return rows.select(key, (F.col("at") + 1).alias("place"), F.concat(F.lit("https://www.linkedin.com/in/"), "slug").alias("url"))
+
+
+def prefer_profile(members: DataFrame, details: DataFrame) -> DataFrame:
+    """Every member with what their own page says before what the team page says: title, profile, philosophy (as specialisation) and e-mail. A
+    profile from the own page makes the record certain. members: page_id, member_id, name, title, linkedin_url, specialization, email,
+    confidence; details: page_id, seq, name, title, linkedin_url, philosophy, email; of several pages of a name the first counts."""
+    found = details.groupBy("page_id", names.person_key(F.col("name")).alias("_k")).agg(F.min_by(F.struct("title", "linkedin_url", "philosophy", "email"), "seq").alias("_d"))
+    j = members.withColumn("_k", names.person_key(F.col("name"))).join(found, ["page_id", "_k"], "left")
+    own = lambda detail, main: text.first_filled(F.col(f"_d.{detail}"), F.col(main))
+    title = F.when(F.trim("_d.title") != "", F.col("_d.title")).otherwise(F.col("title"))
+    sure = F.coalesce(F.col("_d.linkedin_url") != "", F.lit(False))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return j.select("page_id", "member_id", title.alias("title"), empty(own("linkedin_url", "linkedin_url")).alias("linkedin_url"), empty(own("philosophy", "specialization")).alias("specialization"), empty(own("email", "email")).alias("email"), F.when(sure, "High").otherwise(F.col("confidence")).alias("confidence"))

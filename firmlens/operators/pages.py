@@ -23,34 +23,68 @@ DIRECTORY_HOSTS = ("clutch.co", "crunchbase.com", "f6s.com", "angel.co", "wellfo
 
 
 class Walker(HTMLParser):
-    """A flat list of elements with their depth, attributes, text and the text around them."""
+    """A flat list of elements with their depth, attributes, text and the text around them. All text lies in one list of pieces; an
+    element knows where its own begin and end there, so that a piece is stored once, however many elements are open."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.items: list[dict] = []
-        self.open: list[dict] = []
-        self.scripts: list[tuple[dict, str]] = []
+        self.items: list[Element] = []
+        self.open: list[Element] = []
+        self.of_tag: dict[str, int] = {}  # how many elements of a tag are open
+        self.scripts: list[tuple[Element, str]] = []
+        self.pieces: list[str] = []
         self.feed(html or "")
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        item = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": "", "up": self.open[-1] if self.open else None}
+        item = Element(self.pieces, tag, {k: v or "" for k, v in attrs}, self.open[-1] if self.open else None)
         self.items.append(item)
-        if tag not in VOID:
+        if tag in VOID:
+            item.end = item.begin
+        else:
             self.open.append(item)
+            self.of_tag[tag] = self.of_tag.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
+        while self.of_tag.get(tag):  # each element is closed once
+            item = self.open.pop()
+            item.end = len(self.pieces)
+            self.of_tag[item["tag"]] -= 1
+            if item["tag"] == tag:
                 return
 
     def handle_data(self, data):
         if self.open and self.open[-1]["tag"] in ("script", "style"):
             self.scripts.append((self.open[-1], data))
-            return
-        for x in self.open:
-            x["text"] += data
+        else:
+            self.pieces.append(data)
+
+
+class Element:
+    __slots__ = ("_text", "attrs", "begin", "end", "pieces", "tag", "up")
+
+    def __init__(self, pieces: list[str], tag: str, attrs: dict[str, str], up: Element | None):
+        self.pieces, self.tag, self.attrs, self.up = pieces, tag, attrs, up
+        self.begin, self.end, self._text = len(pieces), None, None
+
+    @property
+    def text(self) -> str:
+        if self._text is None:
+            self._text = "".join(self.pieces[self.begin : self.end])
+        return self._text
+
+    def start(self, n: int) -> str:
+        """At least the first n characters once space is squeezed, or all of the text."""
+        end = len(self.pieces) if self.end is None else self.end
+        out, at = "", self.begin
+        while at < end and len(_squeeze(out)) < n:
+            more = min(end, at + 16)
+            out += "".join(self.pieces[at:more])
+            at = more
+        return out
+
+    def __getitem__(self, name: str):
+        return getattr(self, name)
 
 
 def _squeeze(s: str) -> str:
@@ -60,9 +94,9 @@ def _squeeze(s: str) -> str:
 def _around(x: dict, n: int) -> str:
     """The text of the nearest element around, up to n characters."""
     up = x["up"] or x
-    while up["up"] and len(_squeeze(up["text"])) < 20:
+    while up["up"] and len(_squeeze(up.start(20))) < 20:
         up = up["up"]
-    return _squeeze(up["text"])[:n]
+    return _squeeze(up.start(n))[:n]
 
 
 def _page_job(pages: DataFrame, walk, schema: str) -> DataFrame:
@@ -221,6 +255,12 @@ def contact_of_page(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.coalesce(one(f"mailto:{mail}"), one(mail)).alias("email"), one(f"({PROFILE})").alias("linkedin"), one(r"(https?://(?:www\.)?(?:twitter|x)\.com/[A-Za-z0-9_]+)").alias("twitter"))
 
 
+def profile_urls(pages: DataFrame) -> DataFrame:
+    """All different profile URLs in the text of a page."""
+    found = F.regexp_extract_all("html", F.lit(r"(?i)(https?://(?:www\.)?linkedin\.com/in/[a-zA-Z0-9_-]+)"), F.lit(1))
+    return pages.select("page_id", F.explode(F.array_distinct(found)).alias("link"))
+
+
 def markdown_links(pages: DataFrame) -> DataFrame:
     """[text](url) links, then bare URLs that no link holds; in order."""
     md = r"\[([^\]]+)\]\(([^)\s]+)\)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import dates, dims, names, text, urls
 from firmlens.plans.fixtures import view, with_views
-from firmlens.plans.registry import query, whole
+from firmlens.plans.registry import query
 
 _KEY = r"trim(regexp_replace(regexp_replace(strip_accents(lower(trim(name))), '\s+', ' ', 'g'), '[^a-z0-9\s\-'']', '', 'g'))"
 _SPACED = r"regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9\s]', '', 'g')), '\s+', ' ', 'g')"
@@ -67,7 +67,10 @@ _PRI = "CASE cat " + " ".join(f"WHEN '{n}' THEN {p}" for n, p, _, _ in dims.PAGE
 
 def links(spark, d) -> DataFrame:
     """(page_id, url, link, text, seq, href) of a page's links, absolute, and as they are written."""
-    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return page_anchors(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def page_anchors(pages: DataFrame) -> DataFrame:
     anchors = F.posexplode(F.regexp_extract_all("html", F.lit(r'(<a [^>]*href="[^"]*"[^>]*>[^<]*<)'), F.lit(1)))
     a = pages.select("page_id", "url", anchors.alias("seq", "_a"))
     href = F.regexp_extract("_a", r'href="([^"]*)"', 1)
@@ -129,12 +132,13 @@ def document_emails(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
 
 
-@query("SELECT doc_id, s AS start_at, length(substr(text, s + 1, 1500)) AS chars FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1500 THEN [0] ELSE range(0, length(text), 1450) END) AS s FROM documents) WHERE length(substr(text, s + 1, 1500)) >= 100")
+@query("SELECT doc_id, s AS start_at, length(substr(text, s + 1, 15000)) AS chars, md5(substr(text, s + 1, 15000)) AS digest FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 15000 THEN [0] ELSE range(0, length(text), 14500) END) AS s FROM documents) WHERE length(substr(text, s + 1, 15000)) >= 100")
 def chunks(spark, d) -> DataFrame:
-    """Overlapping chunks (here 1500 characters, 50 shared), the ones under 100 characters dropped."""
+    """Overlapping chunks of 15000 characters, 500 of them shared, the ones under 100 characters dropped; contents as a digest."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    c = docs.select("doc_id", "text", F.explode(text.chunk_starts(F.col("text"), 1500, 50)).alias("start_at"))
-    return c.select("doc_id", F.col("start_at").cast("long"), F.length(F.substr("text", F.col("start_at") + 1, F.lit(1500))).alias("chars")).filter("chars >= 100")
+    c = docs.select("doc_id", "text", F.explode(text.chunk_starts(F.col("text"))).alias("start_at"))
+    c = c.select("doc_id", F.col("start_at").cast("long"), F.substr("text", F.col("start_at") + 1, F.lit(15000)).alias("_c"))
+    return c.select("doc_id", "start_at", F.length("_c").alias("chars"), F.md5("_c").alias("digest")).filter("chars >= 100")
 
 
 _ERR = "CASE " + " ".join(f"WHEN regexp_matches(lower(error_detail), '{p}') THEN '{n}'" for n, p in dims.ERRORS) + " ELSE 'unknown' END"
@@ -142,7 +146,7 @@ _ERR = "CASE " + " ".join(f"WHEN regexp_matches(lower(error_detail), '{p}') THEN
 
 @query(f"{with_views('job_logs')} SELECT {_ERR} AS error_class, count(*) AS n FROM job_logs WHERE error_detail IS NOT NULL GROUP BY 1")
 def error_classes(spark, d) -> DataFrame:
-    """I24."""
+    """I24, in the job log; site_check_errors and verification_errors have the other two."""
     return view(spark, d, "job_logs").filter("error_detail IS NOT NULL").groupBy(text.error_class(F.col("error_detail")).alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -160,24 +164,14 @@ def field_forms(spark, d) -> DataFrame:
     return view(spark, d, "firms").select("firm_id", text.section_key(F.col("investor_type")).alias("section_key"), F.to_json(F.split(n, ", ")).alias("niches_json"), text.csv_field(n).alias("csv"), F.array_contains(F.transform(F.split(n, ","), lambda x: F.trim(x)), "SaaS").alias("has_saas"))
 
 
-@query(f"""{with_views('jobs')}, e AS (SELECT job_id, firm_count AS n, (500+1500+1500+2000+1800+(3000+8000)*1.25::DOUBLE) AS i, (50+100+100+100+90+(800+1500)*1.25::DOUBLE) AS o, greatest(firm_count * 6 / (1000 / 60), ceil(firm_count / 50) * 25) AS s FROM jobs WHERE job_id % 10 = 0)
+@query(f"""{with_views('jobs')}, e AS (SELECT job_id, firm_count AS n, (500+1500+1500+2000+1800+(3000+8000)*1.25::DOUBLE) AS i, (50+100+100+100+90+(800+1500)*1.25::DOUBLE) AS o, greatest(firm_count * 6 / (1000 / 60), ceil(firm_count / 50) * 25) AS s FROM jobs)
     SELECT job_id, CAST(floor(i * n + 0.5) AS BIGINT) AS input_tokens, CAST(floor(o * n + 0.5) AS BIGINT) AS output_tokens, round((i / 1e6 * 0.15 + o / 1e6 * 0.6) * n, 6) AS cost,
     CASE WHEN s >= 3600 THEN CAST(floor(s / 3600) AS INT) || 'h ' || CAST(floor(s % 3600 / 60) AS INT) || 'm' WHEN s >= 60 THEN CAST(floor(s / 60) AS INT) || 'm' ELSE '<1m' END AS duration FROM e""")
 def cost_estimate(spark, d) -> DataFrame:
-    """Tokens, cost and duration, for descriptions of 250 characters on average; a sample of every tenth job."""
-    return _estimates(view(spark, d, "jobs").filter("job_id % 10 = 0"))
-
-
-@query(whole("cost_estimate", " WHERE job_id % 10 = 0"))
-def all_cost_estimates(spark, d) -> DataFrame:
-    """Of every job."""
-    return _estimates(view(spark, d, "jobs"))
-
-
-def _estimates(jobs: DataFrame) -> DataFrame:
+    """Tokens, cost and duration of every job, for descriptions of 250 characters on average."""
     from firmlens.operators.jobs import estimate
 
-    return estimate(jobs, F.lit(250.0)).select("job_id", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"), "duration")
+    return estimate(view(spark, d, "jobs"), F.lit(250.0)).select("job_id", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"), "duration")
 
 
 @query("SELECT substr(lang, 1, 2) AS lang, avg(length(text)) AS avg_chars, count(*) AS n FROM documents GROUP BY 1")

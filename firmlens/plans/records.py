@@ -12,7 +12,7 @@ from firmlens.operators import aggregate, dedupe, explore, match, pages
 from firmlens.operators.shared import cut
 from firmlens.plans.columns import _ABS, _ABSOLUTE, _CAT, _H, _KEY, _LINKS, _O, _P, _VISIBLE, links
 from firmlens.plans.fixtures import AS_OF, view, with_views
-from firmlens.plans.registry import query, whole
+from firmlens.plans.registry import query
 from firmlens.sources import export, firm_list
 
 _K = f"k AS (SELECT *, {_KEY} AS pk FROM members)"
@@ -20,7 +20,7 @@ _K = f"k AS (SELECT *, {_KEY} AS pk FROM members)"
 
 @query(f"""{with_views('members')}, {_K} SELECT firm_id, pk AS person_key, min_by(nullif(title, ''), member_id) FILTER (title <> '') AS title, min_by(linkedin_url, member_id) FILTER (linkedin_url <> '') AS linkedin_url, min_by(email, member_id) FILTER (email <> '') AS email, min_by(specialization, member_id) FILTER (specialization <> '') AS specialization, count(*) AS records, min(member_id) AS first_seq FROM k GROUP BY firm_id, pk""")
 def merged_people(spark, d) -> DataFrame:
-    """One record for each person of a firm, of each field the first value that isn't empty."""
+    """K2, K3, H3: one record for each person of a firm, of each field the first value that isn't empty."""
     m = view(spark, d, "members").withColumn("person_key", names.person_key(F.col("name"))).withColumn("_key", F.struct("firm_id", "person_key"))
     return dedupe.merge_records(m, "_key", "member_id", ["title", "linkedin_url", "email", "specialization"]).select("_key.*", "title", "linkedin_url", "email", "specialization", "records", "first_seq")
 
@@ -51,22 +51,11 @@ def unvisited_links(spark, d) -> DataFrame:
     return links(spark, d).select("link").distinct().join(seen, "link", "left_anti")
 
 
-@query(f"{with_views('members')}, e AS (SELECT firm_id AS page_id, lower(regexp_replace(name, '\\s+', '.', 'g')) || '@example.com' AS email, member_id AS seq FROM members WHERE member_id % 2 = 0), m AS (SELECT firm_id AS page_id, member_id, list_filter(regexp_split_to_array(trim(lower(name)), '\\s+'), lambda x: x <> '') AS p FROM members), n AS (SELECT page_id, member_id, p[1] AS f, CASE WHEN len(p) > 1 THEN p[-1] ELSE '' END AS l FROM m), j AS (SELECT n.*, e.email, e.seq, string_split(e.email, '@')[1] AS lp FROM n JOIN e USING (page_id)) SELECT page_id, member_id, min_by(email, seq) AS email FROM j WHERE (contains(lp, f) AND contains(lp, l)) OR lp = f OR lp = f || '.' || l OR lp = f || l OR lp = substr(f, 1, 1) || l GROUP BY ALL")
+@query(f"{with_views('members')}, e AS (SELECT firm_id AS page_id, lower(regexp_replace(name, '\\s+', '.', 'g')) || '@example.com' AS email, member_id AS seq FROM members), m AS (SELECT firm_id AS page_id, member_id, list_filter(regexp_split_to_array(trim(lower(name)), '\\s+'), lambda x: x <> '') AS p FROM members), n AS (SELECT page_id, member_id, p[1] AS f, CASE WHEN len(p) > 1 THEN p[-1] ELSE '' END AS l FROM m), j AS (SELECT n.*, e.email, e.seq, string_split(e.email, '@')[1] AS lp FROM n JOIN e USING (page_id)) SELECT page_id, member_id, min_by(email, seq) AS email FROM j WHERE (contains(lp, f) AND contains(lp, l)) OR lp = f OR lp = f || '.' || l OR lp = f || l OR lp = substr(f, 1, 1) || l GROUP BY ALL")
 def email_matches(spark, d) -> DataFrame:
-    """D11, over a sample: the addresses of every second member."""
-    m = view(spark, d, "members")
-    return _email_matches(m, m.filter("member_id % 2 = 0"))
-
-
-@query(whole("email_matches", " WHERE member_id % 2 = 0"))
-def all_email_matches(spark, d) -> DataFrame:
     """D11."""
     m = view(spark, d, "members")
-    return _email_matches(m, m)
-
-
-def _email_matches(m: DataFrame, owners: DataFrame) -> DataFrame:
-    e = owners.select(F.col("firm_id").alias("page_id"), F.concat(F.lower(F.regexp_replace("name", r"\s+", ".")), F.lit("@example.com")).alias("email"), F.col("member_id").alias("seq"))
+    e = m.select(F.col("firm_id").alias("page_id"), F.concat(F.lower(F.regexp_replace("name", r"\s+", ".")), F.lit("@example.com")).alias("email"), F.col("member_id").alias("seq"))
     return match.email_of_member(m.select(F.col("firm_id").alias("page_id"), "member_id", "name"), e)
 
 
@@ -99,37 +88,17 @@ def name_variations(spark, d) -> DataFrame:
     return j.filter(names.names_match(F.col("a.name"), F.col("b.name"))).select(F.col("a.firm_id").alias("firm_id"), F.col("a.member_id").alias("a"), F.col("b.member_id").alias("b"))
 
 
-@query(f"{with_views('members')}, e AS (SELECT firm_id, upper(substr(name, 1, 8)) AS employee FROM members WHERE member_id % 4 = 0) SELECT m.firm_id, m.member_id, e.employee FROM members m JOIN e USING (firm_id) WHERE contains(lower(name), lower(employee)) OR contains(lower(employee), lower(name))")
+@query(f"{with_views('members')}, e AS (SELECT firm_id, upper(substr(name, 1, 8)) AS employee FROM members) SELECT m.firm_id, m.member_id, e.employee FROM members m JOIN e USING (firm_id) WHERE contains(lower(name), lower(employee)) OR contains(lower(employee), lower(name))")
 def employee_matches(spark, d) -> DataFrame:
-    """D14, over a sample: every fourth member is on the outside list."""
+    """The outside list has the first letters of every member's name."""
     m = view(spark, d, "members")
-    return _employee_matches(m, m.filter("member_id % 4 = 0"))
+    return match.external_employees(m, m.select("firm_id", F.upper(F.substring("name", 1, 8)).alias("employee")))
 
 
-@query(whole("employee_matches", " WHERE member_id % 4 = 0"))
-def all_employee_matches(spark, d) -> DataFrame:
-    """D14."""
-    m = view(spark, d, "members")
-    return _employee_matches(m, m)
-
-
-def _employee_matches(m: DataFrame, listed: DataFrame) -> DataFrame:
-    return match.external_employees(m, listed.select("firm_id", F.upper(F.substring("name", 1, 8)).alias("employee")))
-
-
-@query(f"{with_views('members', 'portfolio')}, t AS (SELECT p.firm_id, p.company_id, 'Round led by ' || m.name AS text FROM portfolio p JOIN members m ON m.firm_id = p.firm_id AND m.member_id % 10 = p.company_id % 10 WHERE p.company_id % 20 = 0) SELECT DISTINCT m.firm_id, m.member_id, t.company_id FROM members m JOIN t USING (firm_id) WHERE contains(lower(text), lower(name)) AND (contains(lower(text), 'led') OR contains(lower(text), 'investment'))")
+@query(f"{with_views('members', 'portfolio')}, t AS (SELECT p.firm_id, p.company_id, 'Round led by ' || m.name AS text FROM portfolio p JOIN members m ON m.firm_id = p.firm_id AND m.member_id % 10 = p.company_id % 10) SELECT DISTINCT m.firm_id, m.member_id, t.company_id FROM members m JOIN t USING (firm_id) WHERE contains(lower(text), lower(name)) AND (contains(lower(text), 'led') OR contains(lower(text), 'investment'))")
 def led_investments(spark, d) -> DataFrame:
-    """D17, over a sample: every twentieth company."""
-    return _led_investments(view(spark, d, "members"), view(spark, d, "portfolio").filter("company_id % 20 = 0"))
-
-
-@query(whole("led_investments", " WHERE p.company_id % 20 = 0"))
-def all_led_investments(spark, d) -> DataFrame:
     """D17."""
-    return _led_investments(view(spark, d, "members"), view(spark, d, "portfolio"))
-
-
-def _led_investments(m: DataFrame, p: DataFrame) -> DataFrame:
+    m, p = view(spark, d, "members"), view(spark, d, "portfolio")
     told = p.join(m, (p["firm_id"] == m["firm_id"]) & (m["member_id"] % 10 == p["company_id"] % 10)).select(p["firm_id"], "company_id", F.concat(F.lit("Round led by "), "name").alias("text"))
     return match.led_investments(m.select("firm_id", "member_id", "name"), told).distinct()
 
@@ -167,7 +136,7 @@ _FULL = "CASE c_custkey % 4 WHEN 0 THEN 'Robert Q' WHEN 1 THEN 'Chris' WHEN 2 TH
     e AS (SELECT member_id, v * 100 + generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS x FROM c), k AS (SELECT member_id, seq, x.s AS s, x.c AS c, x.m AS m, row_number() OVER (PARTITION BY member_id, x.s ORDER BY seq) AS r FROM e)
     SELECT member_id, 'https://www.linkedin.com/in/' || s AS url, c AS confidence, m AS method, seq FROM k WHERE r = 1""")
 def profile_candidates(spark, d) -> DataFrame:
-    """URLs that profiles may have."""
+    """URLs that profiles may have."""
     people = spark.sql(f"SELECT c_custkey AS member_id, {_FULL} AS name FROM {{customer}}", customer=spark.read.parquet(f"{d}/customer.parquet"))
     return match.profile_candidates(people, dims.nicknames(spark))
 
@@ -204,7 +173,7 @@ def sectioned_csv(spark, d) -> DataFrame:
 
 @query(f"{with_views('members')} SELECT coalesce(vc_firm, '') AS \"VC Firm\", name AS \"Name\", title AS \"Title\", coalesce(linkedin_url, '') AS \"LinkedIn URL\", coalesce(email, '') AS \"Email\", specialization AS \"Specialization\" FROM members")
 def member_export(spark, d) -> DataFrame:
-    """Labelled columns, nulls as empty text."""
+    """Labelled columns, nulls as empty text; export_sheets and short_exports have the layouts."""
     return export.labelled(export.clean(view(spark, d, "members").drop("member_id", "firm_id")), export.SHORT_MEMBER)
 
 
@@ -217,8 +186,8 @@ def wide_result(spark, d) -> DataFrame:
 
 @query(f"{with_views('firms', 'processed')} SELECT f.firm_id, f.company_name FROM firms f WHERE f.company_name NOT IN (SELECT company_name FROM processed)")
 def insert_absent(spark, d) -> DataFrame:
-    """Rows that aren't stored yet."""
-    return export.new_rows(view(spark, d, "firms").select("firm_id", "company_name"), view(spark, d, "processed"), ["company_name"])
+    """Rows that aren't stored yet, of equal keys the first."""
+    return export.new_rows(view(spark, d, "firms").select("firm_id", "company_name"), view(spark, d, "processed"), ["company_name"], "firm_id")
 
 
 @query(f"{with_views('firms')}, t AS (SELECT company_name, min(firm_id) AS firm_id FROM firms GROUP BY 1) SELECT p.company_id, t.firm_id FROM (SELECT o_orderkey AS company_id, 'Supplier#' || lpad(CAST(o_orderkey % 150 AS VARCHAR), 9, '0') AS company_name FROM orders) p JOIN t USING (company_name)")
@@ -305,21 +274,15 @@ def generated_urls(spark, d) -> DataFrame:
     return f.select("firm_id", urls.origin(F.col("website_url")).alias("_o"), paths.alias("x")).select("firm_id", "x.list", "x.place", F.concat("_o", "x.path").alias("url"))
 
 
-@query()
-def directory_entries(spark, d) -> DataFrame:
-    """J11, A8; compared in tests."""
-    return pages.directory_entries(links(spark, d))
-
-
 @query(r"SELECT page_id, coalesce(nullif(regexp_extract(html, 'mailto:([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', 1), ''), nullif(regexp_extract(html, '([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', 1), '')) AS email, nullif(regexp_extract(html, '(https?://(?:[a-z]+\.)?linkedin\.com/in/[A-Za-z0-9_%.-]+)', 1), '') AS linkedin, nullif(regexp_extract(html, '(https?://(?:www\.)?(?:twitter|x)\.com/[A-Za-z0-9_]+)', 1), '') AS twitter FROM pages")
 def page_contacts(spark, d) -> DataFrame:
-    """J5, J7."""
+    """J7."""
     return pages.contact_of_page(spark.read.parquet(f"{d}/pages.parquet"))
 
 
 @query("WITH k(label, word) AS (VALUES ('Venture Capital (VC)', 'venture capital'), ('Venture Capital (VC)', 'vc firm'), ('Seed', 'seed'), ('Growth', 'growth'), ('the', ' the '), ('en', ' en ')) SELECT doc_id, label, count(*) AS hits FROM documents, k WHERE contains(lower(text), word) GROUP BY ALL")
 def keyword_tags(spark, d) -> DataFrame:
-    """Labels whose keywords a text holds. The dimension is small and fixed."""
+    """Labels whose keywords a text holds. The dimension is small and fixed; I17 to I21 have queries of their own in taxonomy."""
     words = [("Venture Capital (VC)", "venture capital"), ("Venture Capital (VC)", "vc firm"), ("Seed", "seed"), ("Growth", "growth"), ("the", " the "), ("en", " en ")]
     return tag(spark.read.parquet(f"{d}/documents.parquet"), words)
 
@@ -353,18 +316,11 @@ def first_usable_pages(spark, d) -> DataFrame:
     return explore.waterfall(cand, p.select("url", F.col("html").alias("content")).dropDuplicates(["url"]), F.length("content") >= 1000, 2).select("site", "url", "place")
 
 
-@query("SELECT page_id % 40 AS site, string_agg(CAST(page_id AS VARCHAR), chr(10) || chr(10) ORDER BY page_id % 3, page_id) AS content FROM pages GROUP BY 1")
-def assembled_content(spark, d) -> DataFrame:
-    """E26, over numbers in place of sites and texts: in the order of a rank. site_content has the pages themselves."""
-    p = spark.read.parquet(f"{d}/pages.parquet").select((F.col("page_id") % 40).alias("site"), (F.col("page_id") % 3).alias("rank"), "page_id", F.col("page_id").cast("string").alias("body"))
-    return export.ordered_content(p, "site", "rank", "page_id", "body")
-
-
 _PAGE_RANK = f"CASE WHEN {_O} IS NOT NULL AND {_P} = '/' THEN 0 ELSE " + "CASE " + " ".join(f"WHEN regexp_matches(lower(url), '{'|'.join(u)}') THEN {p}" for _, p, u, _ in dims.PAGE_CATEGORIES) + " ELSE 5 END END"
 
 
 @query(f"SELECT {_H} AS site, {_PAGE_RANK} AS rank, page_id // 1000 AS block, coalesce(string_agg({_VISIBLE}, chr(10) || chr(10) ORDER BY page_id), '') AS content FROM pages GROUP BY 1, 2, 3")
-def site_content(spark, d) -> DataFrame:
+def assembled_content(spark, d) -> DataFrame:
     """The text of all pages of a site: the home page, then by category, then as they came. A large site's text doesn't
     fit one value, so it comes in blocks of at most 1000 page_ids of a category, whose order is (rank, block)."""
     u = F.col("url")

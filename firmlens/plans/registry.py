@@ -15,9 +15,3 @@ def query(sql: str | None = None):
 
     return add
 
-
-def whole(name: str, clause: str) -> str:
-    """The SQL of a query over a sample, without the clause that takes the sample."""
-    if clause not in ORACLES[name]:
-        raise ValueError(f"{name} has no {clause!r}")
-    return ORACLES[name].replace(clause, "")

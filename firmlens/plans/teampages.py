@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.operators import match, pages
+from firmlens.plans import columns
 from firmlens.plans.fixtures import view, with_views
-from firmlens.plans.registry import query, whole
+from firmlens.plans.registry import query
 
 
 def _joined(df: DataFrame, seq: str, item) -> DataFrame:
@@ -84,26 +85,14 @@ def team_api(spark, d) -> DataFrame:
     return pages.api_endpoints(team_pages(spark, d))
 
 
-@query(f"{P} SELECT firm_id AS page_id, 'c' || company_id AS name, 'https://c' || company_id || '.example.org/home' AS link FROM portfolio WHERE company_id % 50 = 0")
+@query(f"{P} SELECT firm_id AS page_id, 'c' || company_id AS name, 'https://c' || company_id || '.example.org/home' AS link FROM portfolio")
 def portfolio_candidates(spark, d) -> DataFrame:
-    """J9, over a sample: every fiftieth company."""
-    return pages.portfolio_candidates(portfolio_pages(view(spark, d, "portfolio").filter("company_id % 50 = 0"))).select("page_id", "name", "link")
-
-
-@query(whole("portfolio_candidates", " WHERE company_id % 50 = 0"))
-def all_portfolio_candidates(spark, d) -> DataFrame:
     """J9."""
     return pages.portfolio_candidates(portfolio_pages(view(spark, d, "portfolio"))).select("page_id", "name", "link")
 
 
-@query(f"{P} SELECT firm_id AS page_id, portfolio_company AS name FROM portfolio WHERE company_id % 50 = 0")
+@query(f"{P} SELECT firm_id AS page_id, portfolio_company AS name FROM portfolio")
 def portfolio_cells(spark, d) -> DataFrame:
-    """J10, over a sample: every fiftieth company."""
-    return pages.company_cells(portfolio_pages(view(spark, d, "portfolio").filter("company_id % 50 = 0"))).select("page_id", "name")
-
-
-@query(whole("portfolio_cells", " WHERE company_id % 50 = 0"))
-def all_portfolio_cells(spark, d) -> DataFrame:
     """J10."""
     return pages.company_cells(portfolio_pages(view(spark, d, "portfolio"))).select("page_id", "name")
 
@@ -135,16 +124,9 @@ def payload_people(spark, d) -> DataFrame:
     return pages.json_people(payloads(spark, d)).select("page_id", "name", "title")
 
 
-@query(f"{M}, r AS (SELECT *, row_number() OVER (PARTITION BY firm_id ORDER BY member_id) AS r FROM members WHERE member_id % 5 = 4) SELECT firm_id AS page_id, name, trim(title || ' of the firm, ' || name || ' has been here for years.') AS bio FROM r WHERE r = 1")
-def team_bios(spark, d) -> DataFrame:
-    """J17, over a sample: the block that tells of the first member with a name of their own."""
-    m = view(spark, d, "members").filter("member_id % 5 = 4").groupBy("firm_id").agg(F.min_by("name", "member_id").alias("name"))
-    return pages.bio_section(team_pages(spark, d), m.select(F.col("firm_id").alias("page_id"), "name"))
-
-
 @query(f"""{M}, b AS (SELECT firm_id, member_id, name, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS n, trim(regexp_replace(title || ' of the firm, ' || name || ' has been here for years.', '\\s+', ' ', 'g')) AS bio FROM members),
     r AS (SELECT a.*, o.bio AS told, row_number() OVER (PARTITION BY a.firm_id, a.member_id ORDER BY length(o.bio), o.member_id) AS r FROM b a JOIN b o ON a.firm_id = o.firm_id AND contains(lower(o.bio), lower(a.n)) AND length(o.bio) > length(a.n) + 20) SELECT firm_id AS page_id, member_id, name, told AS bio FROM r WHERE r = 1""")
-def all_team_bios(spark, d) -> DataFrame:
+def team_bios(spark, d) -> DataFrame:
     """For every member the shortest block that tells of them."""
     m = view(spark, d, "members").select(F.col("firm_id").alias("page_id"), "member_id", "name")
     return m.join(pages.bio_section(team_pages(spark, d), m), ["page_id", "name"]).select("page_id", "member_id", "name", "bio")
@@ -171,3 +153,24 @@ def member_profile_pages(spark, d) -> DataFrame:
     """D12 over J8: every member with the first page of their name, or none."""
     m = view(spark, d, "members").select(F.col("firm_id").alias("page_id"), "member_id", "name")
     return match.profile_page_of_member(m, pages.profile_pages(team_pages(spark, d), 2**31))  # no cap
+
+
+@query(f"{M} SELECT DISTINCT firm_id AS page_id, linkedin_url AS link FROM members WHERE linkedin_url <> ''")
+def team_profile_urls(spark, d) -> DataFrame:
+    """All profile URLs in a page's text, without a walk through its tags."""
+    return pages.profile_urls(team_pages(spark, d))
+
+
+def directory_pages(spark, d) -> DataFrame:
+    """A listing in HTML, by firm: an entry for each member under one path, a few other links of its own and one to another site."""
+    m = view(spark, d, "members")
+    page = _joined(m, "member_id", _s('<li><a href="/profile/p', F.col("member_id"), '">', F.trim("name"), "</a></li>"))
+    html = F.concat(F.lit('<html><body><a href="/about">About</a><a href="https://elsewhere.example/x">Elsewhere</a><ul>'), "html", F.lit("</ul></body></html>"))
+    return page.select(F.col("firm_id").alias("page_id"), _s("https://list.example.com/f", F.col("firm_id")).alias("url"), html.alias("html"))
+
+
+@query(f"{M}, n AS (SELECT firm_id, count(*) AS c FROM members GROUP BY 1) SELECT firm_id AS page_id, trim(name) AS name, 'https://list.example.com/profile/p' || member_id AS url, CAST(1 + row_number() OVER (PARTITION BY firm_id ORDER BY member_id) + 1 AS BIGINT) AS seq FROM members JOIN n USING (firm_id) WHERE c >= 3")
+def directory_entries(spark, d) -> DataFrame:
+    """The entries of each listing that has three or more under one path."""
+    got = pages.directory_entries(columns.page_anchors(directory_pages(spark, d)))
+    return got.withColumn("seq", F.col("seq").cast("long"))

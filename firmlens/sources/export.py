@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,9 +10,40 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import text
 
-# Column labels of the export, in their order.
+# Column labels of the exports, in their order.
 SHORT_MEMBER = {"vc_firm": "VC Firm", "name": "Name", "title": "Title", "linkedin_url": "LinkedIn URL", "email": "Email", "specialization": "Specialization", "tier": "Decision Maker Tier"}
-SHORT_FIRM = {"company_name": "Company Name", "website_url": "Website", "investor_type": "Investor Type", "investment_stages": "Investment Stages", "investment_niches": "Investment Niches", "website_verified": "Website Verified"}
+
+#: The short export: (field, label).
+SHORT_SHEETS = {
+    "Firms": [
+        ("company_name", "Firm Name"), ("website_url", "Website"), ("description", "Description"), ("website_verified", "Website Verified"), ("investor_type", "Investor Type"), ("investment_stages", "Investment Stages"),
+        ("investment_niches", "Investment Niches"), ("investment_thesis", "Investment Thesis"), ("aum", "AUM"), ("sector_focus", "Sector Focus"), ("geographic_focus", "Geographic Focus"), ("founded_year", "Founded Year"), ("headquarters", "Headquarters"),
+    ],
+    "Team Members": [
+        ("vc_firm", "Firm Name"), ("name", "Name"), ("title", "Title"), ("linkedin_url", "LinkedIn"), ("email", "Email"), ("portfolio_companies", "Portfolio Companies"), ("decision_maker_tier", "Tier"), ("specialization", "Specialization"),
+        ("investment_focus", "Investment Focus"), ("stage_preference", "Stage Preference"), ("check_size_range", "Check Size Range"), ("geographic_focus", "Geographic Focus"), ("investment_thesis", "Investment Thesis"), ("notable_investments", "Notable Investments"),
+        ("years_experience", "Years Experience"), ("background", "Background"),
+    ],
+}
+#: The full export: the columns of its sheets.
+SHEETS = {
+    "VC Firms": "companyName websiteUrl description websiteVerified verificationMessage investorType investorTypeConfidence investorTypeSourceUrl investmentStages investmentStagesConfidence investmentStagesSourceUrl investmentNiches nichesConfidence nichesSourceUrl investmentThesis aum sectorFocus geographicFocus foundedYear headquarters".split(),
+    "Team Members": "vcFirm name title jobFunction specialization linkedinUrl email portfolioCompanies investmentFocus stagePreference checkSizeRange geographicFocus investmentThesis notableInvestments yearsExperience background dataSourceUrl confidenceScore decisionMakerTier tierPriority".split(),
+    "Portfolio Companies": "vcFirm portfolioCompany investmentDate websiteUrl investmentNiche dataSourceUrl confidenceScore recencyScore recencyCategory".split(),
+    "Investment Thesis": "vcFirm websiteUrl investorType primaryFocusAreas emergingInterests preferredStages averageCheckSize recentInvestmentPace keyDecisionMakers totalTeamSize tier1Count tier2Count portfolioSize recentPortfolioCount talkingPoints".split(),
+    "Processing Summary": "firmName website status errorMessage teamMembersFound tier1Count tier2Count tier3Count portfolioCompaniesFound dataCompleteness".split(),
+    "Data Quality": "firmName teamMembersFound linkedInCoverage emailCoverage specializationCoverage tier1Percent tier2Percent tier3Percent portfolioCompanies dataQualityScore extractionNotes".split(),
+}
+
+
+def snake(label: str) -> str:
+    """The field behind a column of the full export: investorType is investor_type."""
+    return re.sub(r"(?<=[a-z0-9])([A-Z])", lambda m: "_" + m[1].lower(), label).replace("linked_in", "linkedin")
+
+
+def cells(df: DataFrame, labels: dict[str, str]) -> Column:
+    """A row of a sheet as JSON: every column under its label, as text, empty where the table has no such field. labels: field to label."""
+    return F.to_json(F.struct(*((text.exported(F.col(c)) if c in df.columns else F.lit("")).alias(l) for c, l in labels.items())))
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -64,12 +96,13 @@ def wide(df: DataFrame, sections: dict[str, str], data: str = "data") -> DataFra
     return df.select("name", "site", *(F.coalesce(F.element_at(data, k), F.lit("")).alias(v) for k, v in sections.items()))
 
 
-def new_rows(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys aren't stored yet, one for each key."""
-    return df.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+def new_rows(df: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows whose keys aren't stored yet, of equal keys the first in the given order."""
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("_row"))
+    return first.join(stored.select(*keys), keys, "left_anti").select("_row.*")
 
 
-def insert_absent(df: DataFrame, path: str, keys: list[str]) -> None:
+def insert_absent(df: DataFrame, path: str, keys: list[str], order: str) -> None:
     """Appends new rows to the Parquet table at `path`; running it again adds nothing."""
     spark: SparkSession = df.sparkSession
     try:
@@ -78,7 +111,7 @@ def insert_absent(df: DataFrame, path: str, keys: list[str]) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = spark.createDataFrame([], df.schema)
-    new_rows(df, stored, keys).write.mode("append").parquet(path)
+    new_rows(df, stored, keys, order).write.mode("append").parquet(path)
 
 
 def sample(firms: DataFrame, members: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:

@@ -48,7 +48,9 @@ def find_url_column(df: DataFrame, sample: int = 5) -> str | None:
     return named if named in holds else holds[0] if holds else named
 
 
-def preview(df: DataFrame, n: int = 5, cut: int = 150) -> tuple[list[str], DataFrame]:
+def preview(df: DataFrame, n: int = 5, cut: int = 150, order: str | None = None) -> tuple[list[str], DataFrame]:
+    """The header, and the first rows (in the given order) with long texts cut."""
+    df = df.orderBy(order) if order else df
     short = lambda c: F.when(F.length(c) > cut, F.concat(F.substring(c, 1, cut), F.lit("…"))).otherwise(F.col(c)).alias(c)
     return df.columns, df.limit(n).select(*(short(c) if t == "string" else F.col(c) for c, t in df.dtypes))
 
