@@ -16,7 +16,7 @@ from firmlens.sources import export, firm_list
 
 @query(f"{with_views('firms')} SELECT coalesce(nullif(company_name, ''), website_url) AS company_name, website_url, investment_niches AS description, CASE WHEN website_url = '' THEN 'no URL' END AS reject_reason FROM firms")
 def csv_firm_list(spark, d) -> DataFrame:
-    """A list written as CSV, read, its columns detected, its rows validated."""
+    """A1 to A3, A5, A6, B3, B5 (A4: list_preview): a list written as CSV, read, its columns detected, its rows validated."""
     path = shared_path(spark, "firms-csv")
     firms = view(spark, d, "firms").select(F.col("company_name").alias("Firm Name"), F.col("website_url").alias("Website URL"), F.col("investment_niches").alias("About"))
     export.write_tables({"firms": export.clean(firms)}, path, "csv")
@@ -69,11 +69,12 @@ def expanded_list(spark, d) -> DataFrame:
 
 @query(f"{with_views('firms')} SELECT count(*) AS rows_kept FROM firms")
 def counted_list(spark, d) -> DataFrame:
-    """The guard on a list's length."""
-    return firm_list.check_count(view(spark, d, "firms"), 10_000).agg(F.count(F.lit(1)).alias("rows_kept"))
+    """The guard on a list's length, here with a bound that no table of suppliers reaches; the usual one is MAX_FIRMS."""
+    return firm_list.check_count(view(spark, d, "firms"), 2**31 - 2).agg(F.count(F.lit(1)).alias("rows_kept"))
 
 
-@query()
+@query(f"{with_views('firms', 'members')}, p AS (SELECT firm_id, company_name FROM firms ORDER BY md5(company_name || '42') LIMIT 5), n AS (SELECT firm_id, CAST(to_json(list({{'member_id': member_id, 'name': name, 'title': title}} ORDER BY member_id)) AS VARCHAR) AS members FROM members GROUP BY 1) SELECT p.firm_id, p.company_name, n.members FROM p LEFT JOIN n USING (firm_id)")
 def seeded_sample(spark, d) -> DataFrame:
-    """Five firms by a seeded hash, with their members nested; tested for repeatability."""
-    return export.sample(view(spark, d, "firms").select("firm_id", "company_name"), view(spark, d, "members"))
+    """Five firms by a seeded hash, with their members nested."""
+    got = export.sample(view(spark, d, "firms").select("firm_id", "company_name"), view(spark, d, "members"))
+    return got.select("firm_id", "company_name", F.to_json("members").alias("members"))

@@ -94,7 +94,7 @@ def log_status(spark, d) -> DataFrame:
 
 @query(f"{with_views('processed', 'members')} SELECT p.status, count(DISTINCT p.firm_id) AS firms, count(m.member_id) AS members FROM processed p LEFT JOIN members m USING (firm_id) GROUP BY p.status")
 def job_monitor(spark, d) -> DataFrame:
-    """Saved firms and members by state."""
+    """Saved firms and members by state; latest_logs has what was processed last."""
     m = view(spark, d, "members").groupBy("firm_id").agg(F.count(F.lit(1)).alias("_n"))
     return view(spark, d, "processed").join(m, "firm_id", "left").groupBy("status").agg(F.count(F.lit(1)).alias("firms"), F.coalesce(F.sum("_n"), F.lit(0)).alias("members"))
 

@@ -116,7 +116,7 @@ def insert_absent(df: DataFrame, path: str, keys: list[str], order: str) -> None
 
 def sample(firms: DataFrame, members: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
     """n firms by a seeded hash of their name, with their members nested."""
-    picked = firms.orderBy(F.xxhash64("company_name", F.lit(seed))).limit(n)
+    picked = firms.orderBy(F.md5(F.concat("company_name", F.lit(str(seed))))).limit(n)
     nested = members.join(F.broadcast(picked.select("firm_id")), "firm_id", "left_semi").groupBy("firm_id").agg(F.array_sort(F.collect_list(F.struct("member_id", "name", "title"))).alias("members"))
     return picked.join(nested, "firm_id", "left")
 
