@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import __spark_entry__  # noqa: F401, registers every query
 import pytest
-from firmlens.functions import dims, names, text
+from firmlens.functions import dims, names, text, urls
 from firmlens.operators import match, pages
 from firmlens.plans import records
 from firmlens.plans.fixtures import view
@@ -160,3 +160,16 @@ def test_assigned_profiles_by_hand(spark):
     got = QUERIES["assigned_profiles"](spark, SF).collect()
     links = [(p, f"https://www.linkedin.com/in/{re.sub('[^a-z]+', '-', n.lower())}-{i}", n, f"{n} {t}", i) for p, i, n, t in ((r["firm_id"], r["member_id"], r["name"], r["title"]) for r in view(spark, SF, "members").collect())]
     assert sorted(map(tuple, got)) == brute_assignment(m, links)
+
+
+def test_rules_by_literal_rows(spark):
+    """Categories of pages and classes of errors, without the patterns' own constants."""
+    rows = [
+        ("https://f.example/team", "", "team", 1), ("https://f.example/x", "Meet the Team", "team", 1), ("https://f.example/portfolio-companies", "", "portfolio", 2), ("https://f.example/x", "Our Portfolio", "portfolio", 2), ("https://f.example/about-us", "", "team", 1),
+        ("https://f.example/about", "", "about", 3), ("https://f.example/x", "Our story", "about", 3), ("https://f.example/get-in-touch", "", "contact", 4), ("https://f.example/insights/1", "", "news", 5), ("https://f.example/x", "Press", "news", 5), ("https://f.example/x", "y", "other", 5),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "link string, txt string").select(urls.category(F.col("link"), F.col("txt")), urls.category_priority(F.col("link"), F.col("txt")))
+    assert [tuple(r) for r in df.collect()] == [r[2:] for r in rows]
+    errors = [("Request failed with status code 403", "scraper_blocked"), ("Too many requests: 429", "scraper_blocked"), ("status code 502", "http_error"), ("timeout of 10000ms exceeded", "http_error"), ("No content", "no_content"), ("OpenAI gave nothing", "llm_empty"), ("boom", "unknown")]
+    got = spark.createDataFrame([(m,) for m, _ in errors], "m string").select(text.error_class(F.col("m"))).collect()
+    assert [r[0] for r in got] == [c for _, c in errors]
