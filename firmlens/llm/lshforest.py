@@ -1,51 +1,76 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Texts are sets of hashed 5-word shingles. Equal texts are one node. A forest of `TREES` tries
-holds each node's MinHash labels; matched prefixes are shortened from `MAX_DEPTH` until the
-recall at the threshold reaches `TARGET_RECALL`. Nodes that share a prefix of that
-length in any tree meet in a bucket, where signatures rule out pairs that are far below
-the threshold; what is left forms families (connected components). Every pair within a family is verified exactly
-on the shingle sets, block against block, so that a family of any size is spread over tasks,
-and only counts and spanning edges leave a task, never all pairs.
+Texts are sets of hashed 5-word shingles. Equal texts are one node. Each node has a label of `MAX_DEPTH` MinHashes in
+each of `TREES` tries. A trie is the sorted table of its labels, range-partitioned over all tasks; what two
+neighbours share is their longest common prefix, and a node that shares less than the shortest useful prefix with both
+of its neighbours is alone there and leaves.
+
+Matching begins with whole labels, and prefixes are shortened level by level. On each level the nodes under one
+prefix are compared: a pair belongs to the first trie in which it meets and to the longest prefix on which it meets
+anywhere, so it is verified once in all. Signatures rule out pairs that are far below the threshold; the others are
+verified on their shingle sets. After a level the recall is measured: a link of similarity s would have been found with the chance
+p(s) that one of the tries shows a common prefix, so each link found stands for 1 / p(s) links. The prefixes are shortened
+until the recall reaches `TARGET_RECALL` in every band of similarity; a link at the threshold itself is added to the lowest
+band as a guard, so that links which are too rare to be seen count as well.
+
+Large groups are dealt to tasks as pairs of blocks, each pair of blocks in one task, so that a group of any size is spread
+and every pair in it is met; only counts and spanning edges leave a task, never all pairs.
 
 Defined results: null or empty texts and texts without words have no links and form a class of equal texts;
-a text with fewer than five words is one shingle; repeated rows are in one class; an empty table
-gives an empty result; clashing columns are replaced. Nodes are 64-bit hashes of texts and
-shingles 64-bit hashes of words.
+a text with fewer than five words is one shingle; repeated rows are in one class; very long texts make blocks smaller
+(`BLOCK_BYTES`); an empty table gives an empty result; other columns are dropped by `near_classes` and kept by `keep_first`.
+Nodes are 64-bit hashes of texts and shingles 64-bit hashes of words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import cut
+from firmlens.llm.common import cut, fresh, join_counted
 from firmlens.llm.components import components
 from firmlens.llm.shingles import group_hashes
 
 WORDS = 5
 NUM, DEN = 4, 5  # similarity of at least 4/5
 TREES = 20
-MAX_DEPTH = 8
+MAX_DEPTH = 5
 TARGET_RECALL = 0.9999
-#: In a bucket, a signature that agrees in less than this share is not near; two nodes near
-#: one leader are at least LEADER near to it in turn (the triangle inequality of Jaccard distance).
-NEAR, LEADER = 0.5, 0.25
-PAIRWISE = 48  # buckets up to this size compare all pairs
-BUCKET = 2000  # larger buckets are salted
-BLOCK = 512  # nodes in a block of a family
-#: Nodes in families up to this number are broadcast as a filter (8 bytes each); beyond, the texts are joined by a shuffle.
+#: A pair whose signatures agree in less than this share is not verified. At a similarity of 0.8 such a signature has a chance of about 1e-7.
+NEAR = 0.58
+PAIRWISE = 24  # groups up to this size are compared many at a time
+BLOCK = 256  # nodes in a block of a group, at most
+BLOCK_BYTES = 32 << 20  # of shingles in a block, about
+BANDS = 4  # of similarity, from the threshold to 1
+BINS = 20  # in which links are counted
+#: Nodes in tries up to this number are broadcast as a filter (8 bytes each), and nodes with candidates up to a quarter of it with their
+#: units (32 bytes each), so that only texts and sets that are needed are exchanged; beyond, they are joined by a shuffle.
 BROADCAST_NODES = 2_000_000
 
 
-def prefix_depth(threshold: float = NUM / DEN, trees: int = TREES, target: float = TARGET_RECALL, deepest: int = MAX_DEPTH) -> int:
-    """The longest prefix whose chance to match in any tree reaches the target at the threshold."""
-    for d in range(deepest, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= target:
-            return d
-    return 1
+def chance(similarity: float, depth: int) -> float:
+    """That two nodes share a prefix of this depth in one of the tries."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def prefix_depth(target: float | None = None) -> int:
+    """The longest prefix whose chance at the threshold itself reaches the target: no shorter one is ever needed."""
+    target = TARGET_RECALL if target is None else target
+    return next((d for d in range(MAX_DEPTH, 1, -1) if chance(NUM / DEN, d) >= target), 1)
+
+
+def measured_recall(found: dict[int, int], depth: int) -> float:
+    """found: links by bin of similarity. The least recall of the bands at this depth."""
+    low, worst = NUM / DEN, 1.0
+    for band in range(BANDS):
+        n, total = (1, 1 / chance(low, depth)) if band == 0 else (0, 0.0)
+        for b in range(band * BINS // BANDS, (band + 1) * BINS // BANDS):
+            n += found.get(b, 0)
+            total += found.get(b, 0) / chance(low + (1 - low) * b / BINS, depth)
+        worst = min(worst, n / total if n else 1.0)
+    return worst
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,9 +78,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signatures(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """key, node (hash of the text), n (shingles), labels (a prefix hash for each tree) and est (16 bits of each MinHash)."""
-    perms = TREES * depth
+def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, node (hash of the text), n (shingles) and sig (16 bits of each MinHash, trie by trie)."""
+    perms = TREES * MAX_DEPTH
     rng = np.random.default_rng(20)
     seeds = rng.integers(1, 2**63, perms, dtype=np.uint64)
     mult = rng.integers(1, 2**63, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,31 +92,50 @@ def signatures(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
                 n = len(rows)
                 sizes = np.diff(np.append(starts, len(hashes)))
                 full = np.flatnonzero(sizes)
-                sig = np.zeros((perms, n), np.uint64)
+                sig = np.zeros((n, perms), np.uint16)
                 if len(full):
                     at = starts[full]
                     for k in range(perms):
-                        sig[k, full] = np.minimum.reduceat((hashes ^ seeds[k]) * mult[k], at)
-                label = np.zeros((TREES, n), np.uint64)
-                for t in range(TREES):
-                    h = np.full(n, t + 1, np.uint64)
-                    for k in range(t * depth, (t + 1) * depth):
-                        h = _mixed(h * np.uint64(0xD6E8FEB86659FD93) + sig[k])
-                    label[t] = h
-                est = np.ascontiguousarray((sig >> np.uint64(48)).astype(np.uint16).T)
-                flat = np.ascontiguousarray(label.T).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(rows.start, n),
-                        b.column(1).slice(rows.start, n),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TREES), pa.array(flat.ravel())),
-                        pa.array([e.tobytes() for e in est], pa.binary()),
-                    ],
-                    ["k", "node", "n", "labels", "est"],
-                )
-
-    return docs.select(key, F.xxhash64(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"k {kind}, node long, n long, labels array<long>, est binary")
+                        sig[full, k] = np.minimum.reduceat((hashes ^ seeds[k]) * mult[k], at) >> np.uint64(48)
+                off = np.arange(n + 1, dtype=np.int32) * 2 * perms
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(sig)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, n), b.column(1).slice(rows.start, n), pa.array(sizes.astype(np.int64)), packed], ["k", "node", "n", "sig"])
+
+    return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"k {kind}, node long, n long, sig binary")
+
+
+def _common_prefixes(batches):
+    """Sorted labels (a byte for the trie, then two for each MinHash) and nodes. Adds lcp, the longest prefix that a label
+    shares with a neighbour. The neighbours across a partition's ends are not seen: its first and last row count as matched."""
+    held = None
+
+    def batch(label, node, lcp):
+        off = np.arange(len(node) + 1, dtype=np.int32) * label.shape[1]
+        return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(node), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(label))]), pa.array(node), pa.array(lcp.astype(np.int8))], ["label", "node", "lcp"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        label = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        node = b.column(1).to_numpy()
+        before = np.full(1, MAX_DEPTH)
+        if held:
+            label, node, before = np.concatenate([held[0], label]), np.concatenate([held[1], node]), held[2]
+        same = np.logical_and.accumulate(label[1:] == label[:-1], axis=1).sum(1)
+        both = np.concatenate([before, np.maximum(same - 1, 0) // 2])
+        yield batch(label[:-1], node[:-1], np.maximum(both[:-1], both[1:]))
+        held = label[-1:], node[-1:], both[-1:]
+    if held:
+        yield batch(held[0], held[1], np.full(1, MAX_DEPTH))
+
+
+def tries(nodes: DataFrame, shortest: int) -> DataFrame:
+    """label, node, lcp of the nodes that may share at least the shortest prefix with a neighbour in a trie. nodes: node, n, sig."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = F.array(*(F.concat(F.lit(bytes([t])), F.substring("sig", 1 + 2 * MAX_DEPTH * t, 2 * MAX_DEPTH)) for t in range(TREES)))
+    rows = nodes.filter("n > 0").select("node", F.explode(labels).alias("label")).select("label", "node")
+    dealt = rows.repartitionByRange(n, "label", "node").sortWithinPartitions("label", "node")
+    return dealt.mapInArrow(_common_prefixes, "label binary, node long, lcp byte").filter(F.col("lcp") >= shortest)
 
 
 def _groups_of(batches, names: int):
@@ -120,21 +164,6 @@ def _groups_of(batches, names: int):
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _leaders(est: np.ndarray):
-    """Pairs of positions (a row, a leader that it is near), and the leaders' positions."""
-    leaders: list[int] = []
-    pairs = []
-    left = np.arange(len(est))
-    while len(left):
-        lead = int(left[0])
-        leaders.append(lead)
-        agree = (est == est[lead]).mean(1)
-        linked = np.flatnonzero(agree >= LEADER)
-        pairs.append(np.stack([linked, np.full(len(linked), lead)]))
-        left = left[1:][agree[left[1:]] < NEAR]
-    return np.concatenate(pairs, 1), leaders
-
-
 def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n positions the lowest one that the pairs (a, b) connect it with."""
     low = np.arange(n)
@@ -149,122 +178,175 @@ def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _bucket_edges(batches):
-    """Input in the order of (key, salt): key, salt, node, est. Edges u, v: within a bucket, each node and the first
-    one that it is connected with, no more rows than came in. With kind 1, u leads in the bucket with the key v."""
-    for t in _groups_of(batches, 2):
-        key, salt, node = (t.column(c).to_numpy().astype(np.int64) for c in range(3))
-        est = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(len(key), -1)
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
-        size = np.diff(np.append(new, len(key)))
-        group = np.repeat(np.arange(len(new)), size)
-        small = size[group] <= PAIRWISE
-        pairs = [np.zeros((2, 0), np.int64)]
-        for o in range(1, min(PAIRWISE, int(size.max()))):
-            i = np.flatnonzero((group[o:] == group[:-o]) & small[o:])
-            for x in range(0, len(i), 50_000):
-                p = i[x : x + 50_000]
-                p = p[(est[p] == est[p + o]).mean(1) >= NEAR]
-                pairs.append(np.stack([p, p + o]))
-        # of small groups each node may lead in the next round
-        lead = [np.flatnonzero(small)]
-        for g in np.flatnonzero(size > PAIRWISE):
-            found, leaders = _leaders(est[new[g] : new[g] + size[g]])
-            pairs.append(new[g] + found)
-            lead.append(new[g] + np.array(leaders))
-        low = _lowest(len(key), *np.concatenate(pairs, 1))
-        linked = np.flatnonzero(low != np.arange(len(key)))
-        lead = np.concatenate(lead)
-        lead = lead[salt[lead] >= 0]  # salt -1: the bucket isn't salted
-        u, v = np.concatenate([node[linked], node[lead]]), np.concatenate([node[low[linked]], key[lead]])
-        kind = np.repeat(np.array([0, 1], np.int8), [len(linked), len(lead)])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(kind)], ["u", "v", "kind"])
-
-
-def bucket_edges(rows: DataFrame) -> DataFrame:
-    """rows: key, salt, node, est."""
-    # a salted bucket keeps its own salts; the salt is part of what deals the rows out
-    dealt = rows.select("key", "salt", "node", "est").repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-    return dealt.mapInArrow(_bucket_edges, "u long, v long, kind byte")
-
-
-def families(nodes: DataFrame) -> DataFrame:
-    """node, root of the families: nodes: node, n, labels, est."""
-    bands = nodes.filter("n > 0").select("node", F.explode("labels").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = cut(bands.join(shared, "key"), "buckets")
-    salts = F.when(F.col("c") > BUCKET, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BUCKET))).otherwise(F.lit(-1)).cast("long")
-    est = nodes.select("node", "est")
-    found = cut(bucket_edges(members.withColumn("salt", salts).join(est, "node")), "near")
-    edges = found.filter("kind = 0").select("u", "v")
-    leaders = found.filter("kind = 1").select(F.col("u").alias("node"), F.col("v").alias("key"))
-    # leaders of one bucket's salts meet again, without the rows that they stand for
-    second = bucket_edges(leaders.withColumn("salt", F.lit(-1).cast("long")).join(est, "node"))
-    return components(edges.unionByName(second.filter("kind = 0").select("u", "v")))
-
-
-def _links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The matrix of links between the sets numbered a and b. Shingles of one set only can't add to
-    an intersection and are left out; the others are columns of 0/1 matrices, in slices."""
-    use = np.union1d(a, b)
+def _prefixes(sig: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of the prefix of this depth in each trie."""
+    x = sig.reshape(len(sig), TREES, MAX_DEPTH)
+    h = np.full((len(sig), TREES), depth, np.uint64)
+    for k in range(depth):
+        h = _mixed(h * np.uint64(0xD6E8FEB86659FD93) + x[:, :, k])
+    return h
+
+
+def _pairs(new: np.ndarray, size: np.ndarray, side: np.ndarray, pairwise: int):
+    """Pairs of positions within units, some at a time. side: 0 and 1 are two blocks, whose nodes are only paired across; 2: one block."""
+    group = np.repeat(np.arange(len(new)), size)
+    small = size[group] <= pairwise
+    for o in range(1, min(pairwise, int(size.max()))):
+        i = np.flatnonzero((group[o:] == group[:-o]) & small[o:])
+        for x in range(0, len(i), 50_000):
+            a = i[x : x + 50_000]
+            a = a[(side[a] == 2) | (side[a] != side[a + o])]
+            yield a, a + o
+    for g in np.flatnonzero(size > pairwise):
+        at = np.arange(new[g], new[g] + size[g])
+        if side[at[0]] == 2:
+            a, b = np.triu_indices(len(at), 1)
+            a, b = at[a], at[b]
+        else:
+            left, right = at[side[at] == 0], at[side[at] == 1]
+            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+        for x in range(0, len(a), 50_000):
+            yield a[x : x + 50_000], b[x : x + 50_000]
+
+
+def candidates(new, size, side, tree, n, sig, depth: int, pairwise: int = PAIRWISE) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that belong to this trie and depth and whose sizes and signatures don't rule them out."""
+    here = _prefixes(sig, depth)
+    longer = _prefixes(sig, depth + 1) if depth < MAX_DEPTH else None
+    out = [np.zeros((2, 0), np.int64)]
+    for a, b in _pairs(new, size, side, pairwise):
+        keep = DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])
+        a, b = a[keep], b[keep]
+        keep = (here[a] == here[b]).argmax(1) == tree[a]  # the first trie in which they meet
+        a, b = a[keep], b[keep]
+        if longer is not None:
+            keep = ~(longer[a] == longer[b]).any(1)  # or they were met before
+            a, b = a[keep], b[keep]
+        keep = (sig[a] == sig[b]).mean(1) >= NEAR
+        out.append(np.stack([a[keep], b[keep]]))
+    a, b = np.concatenate(out, 1)
+    return a, b
+
+
+def _units(t: pa.Table):
+    """Columns unit, side, tree, node, n, sig as arrays, and where the units begin and how long they are."""
+    unit, side, tree, node, n = (t.column(c).to_numpy().astype(np.int64) for c in range(5))
+    sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint16).reshape(len(unit), -1)
+    new = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+    return unit, side, tree, node, n, sig, new, np.diff(np.append(new, len(unit)))
+
+
+def _find(depth: int, pairwise: int):
+    """Rows in the order of (unit, node). Keeps those with a candidate in their unit."""
+
+    def run(batches):
+        for t in _groups_of(batches, 1):
+            unit, side, tree, node, n, sig, new, size = _units(t)
+            a, b = candidates(new, size, side, tree, n, sig, depth, pairwise)
+            at = np.unique(np.concatenate([a, b]))
+            yield pa.RecordBatch.from_arrays([pa.array(unit[at]), pa.array(side[at].astype(np.int8)), pa.array(tree[at].astype(np.int8)), pa.array(node[at])], ["unit", "side", "tree", "node"])
+
+    return run
+
+
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of common shingles of the pairs (a, b) of sorted sets: pair by pair where they are few, else by products of
+    0/1 matrices of the shingles that several sets hold, in slices."""
+    use = np.unique(np.concatenate([a, b]))
+    words = sum(len(sets[i]) for i in use)
+    if len(a) * (2e-5 + 4e-8 * words / len(use)) < 2e-10 * len(use) * words:
+        out = np.zeros(len(a), np.int64)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            out[k] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+        return out
     flat = np.concatenate([sets[i] for i in use])
     owner = np.repeat(np.arange(len(use)), [len(sets[i]) for i in use])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.append(True, flat[1:] != flat[:-1])
-    col = np.cumsum(new) - 1
+    col = np.cumsum(np.append(True, flat[1:] != flat[:-1])) - 1
     keep = np.bincount(col)[col] > 1
     col, owner = col[keep], owner[keep]
     if len(col):
         col = np.cumsum(np.append(True, col[1:] != col[:-1])) - 1
     width = int(col[-1]) + 1 if len(col) else 0
-    pa_, pb = np.searchsorted(use, a), np.searchsorted(use, b)
-    both = np.zeros((len(a), len(b)), np.float32)
+    both = np.zeros((len(use), len(use)), np.float32)
     for lo in range(0, width, 4096):
         i, j = np.searchsorted(col, (lo, lo + 4096))
         m = np.zeros((len(use), min(4096, width - lo)), np.float32)
         m[owner[i:j], col[i:j] - lo] = 1
-        both += m[pa_] @ m[pb].T
-    inter = both.astype(np.int64)
-    na, nb = np.array([len(sets[i]) for i in a]), np.array([len(sets[i]) for i in b])
-    return (DEN + NUM) * inter >= NUM * (na[:, None] + nb[None, :])
-
-
-def _verify(batches):
-    """Input in the order of (root, i, j): root, i, j, own, node, shingles. Gives node, n_links and low,
-    the smallest node that the node reaches within the task."""
-    for t in _groups_of(batches, 3):
-        root, bi, bj, own, node = (t.column(c).to_numpy().astype(np.int64) for c in range(5))
-        sets = [np.frombuffer(x, np.uint64) for x in t.column(5).to_pylist()]
-        new = np.flatnonzero(np.append(True, (root[1:] != root[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])))
-        outs = []
-        for lo, hi in zip(new, np.append(new[1:], len(root)), strict=True):
-            at = np.arange(lo, hi)
-            if bi[lo] == bj[lo]:
-                a = b = at
-            else:
-                a, b = at[own[lo:hi] == bi[lo]], at[own[lo:hi] == bj[lo]]
-                if not len(a) or not len(b):
-                    continue
-            links = _links(sets, a, b)
-            if bi[lo] == bj[lo]:
-                np.fill_diagonal(links, False)
-            low_a, low_b = node[a].copy(), node[b].copy()
-            big = np.iinfo(np.int64).max
-            while True:
-                new_a = np.minimum(low_a, np.where(links, low_b[None, :], big).min(1))
-                new_b = np.minimum(low_b, np.where(links, new_a[:, None], big).min(0))
-                if (new_a == low_a).all() and (new_b == low_b).all():
-                    break
-                low_a, low_b = new_a, new_b
-                if a is b:
-                    low_a = low_b = np.minimum(low_a, low_b)
-            outs.append(np.stack([node[a], links.sum(1), low_a]))
-            if a is not b:
-                outs.append(np.stack([node[b], links.sum(0), low_b]))
-        if outs:
-            x = np.concatenate(outs, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["node", "n_links", "low"])
+        both += m @ m.T
+    return both[np.searchsorted(use, a), np.searchsorted(use, b)].astype(np.int64)
+
+
+def _verify(depth: int, pairwise: int):
+    """Rows in the order of (unit, node), with shingles. Gives node, n_links and low, the smallest node that the node
+    reaches within the unit; with no low, links by bin of similarity in place of the node."""
+
+    def run(batches):
+        for t in _groups_of(batches, 1):
+            _, side, tree, node, n, sig, new, size = _units(t)
+            a, b = candidates(new, size, side, tree, n, sig, depth, pairwise)
+            if not len(a):
+                continue
+            by = np.argsort(np.searchsorted(new, a, "right"), kind="stable")
+            a, b = a[by], b[by]
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(6).to_pylist()]
+            part = np.flatnonzero(np.diff(np.searchsorted(new, a, "right"), prepend=-1))
+            inter = np.concatenate([_shared(sets, a[i:j], b[i:j]) for i, j in zip(part, np.append(part[1:], len(a)), strict=True)])
+            link = (DEN + NUM) * inter >= NUM * (n[a] + n[b])
+            a, b, inter = a[link], b[link], inter[link]
+            similar = inter / (n[a] + n[b] - inter)
+            bins = np.clip(((similar - NUM / DEN) * BINS / (1 - NUM / DEN)).astype(np.int64), 0, BINS - 1)
+            low = _lowest(len(node), a, b)
+            count = np.bincount(np.concatenate([a, b]), minlength=len(node))
+            at = np.flatnonzero(count)
+            hist = np.bincount(bins, minlength=BINS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([node[at], np.arange(BINS)])), pa.array(np.concatenate([count[at], hist])), pa.array(np.concatenate([node[low[at]], np.zeros(BINS, np.int64)]), mask=np.repeat([False, True], [len(at), BINS]))],
+                ["node", "n_links", "low"],
+            )
+
+    return run
+
+
+def units(members: DataFrame, depth: int) -> DataFrame:
+    """unit, side, tree, node: the nodes under each prefix of this depth, dealt as pairs of blocks. members: label, node, lcp, n."""
+    rows = members.filter(F.col("lcp") >= depth).select(F.xxhash64(F.substring("label", 1, 1 + 2 * depth)).alias("prefix"), F.conv(F.hex(F.substring("label", 1, 1)), 16, 10).cast("byte").alias("tree"), "node", "n")
+    size = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("words")).filter("c > 1")
+    size = cut(size.select("prefix", "c", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(8 * F.col("words") / BLOCK_BYTES)).cast("int").alias("blocks")), "prefixes")
+    placed = join_counted(rows, size, "prefix", "c").withColumn("own", F.pmod(F.xxhash64("node", "prefix"), F.col("blocks")).cast("int"))
+    # each node goes to the unit of its block with every block
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    # what lies within a block is compared in a unit of its own
+    return dealt.select(F.xxhash64("prefix", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.cast("byte").alias("side"), "tree", "node")
+
+
+def links(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """node, n_links, low: for every node with links, in one or several rows. nodes: node, n, sig, written."""
+    shortest = prefix_depth()
+    found_in = cut(tries(nodes, shortest), "tries")
+    members = cut(found_in.join(nodes.select("node", "n"), "node"), "members")
+    sets = texts_of(docs, members.select("node").distinct(), text).mapInArrow(_shingle_sets, "node long, shingles binary")
+    # from here on n is the number of different shingles
+    sets = cut(sets.join(nodes.drop("n"), "node").select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), "sig", "shingles"), "sets")
+    out, seen = None, {}
+    for depth in range(MAX_DEPTH, shortest - 1, -1):
+        todo = units(members, depth).join(sets.select("node", "n", "sig"), "node").select("unit", "side", "tree", "node", "n", "sig")
+        dealt = todo.repartition("unit").sortWithinPartitions("unit", "node")
+        near = cut(dealt.mapInArrow(_find(depth, PAIRWISE), "unit long, side byte, tree byte, node long"), "candidates")
+        small = near.count() <= BROADCAST_NODES // 4
+        todo = sets.join(F.broadcast(near) if small else near, "node").select("unit", "side", "tree", "node", "n", "sig", "shingles")
+        dealt = todo.repartition("unit").sortWithinPartitions("unit", "node")
+        got = cut(dealt.mapInArrow(_verify(depth, PAIRWISE), "node long, n_links long, low long"), "links")
+        for r in got.filter("low IS NULL").groupBy("node").agg(F.sum("n_links").alias("n")).collect():  # BINS rows
+            seen[r["node"]] = seen.get(r["node"], 0) + r["n"]
+        got = got.filter("low IS NOT NULL")
+        out = got if out is None else out.unionByName(got)
+        if measured_recall(seen, depth) >= TARGET_RECALL:
+            break
+    return out
 
 
 def _shingle_sets(batches):
@@ -287,34 +369,31 @@ def texts_of(docs: DataFrame, fam: DataFrame, text: str) -> DataFrame:
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, node, class_id (the class's smallest key), n_links (different texts at or above the threshold),
     n_copies (rows with the same text) and is_first (one row of the class, or all that are equal to it)."""
-    docs = docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    sigs = cut(signatures(docs, key, text, prefix_depth()), "signatures")
-    nodes = sigs.groupBy("node").agg(F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("est").alias("est"))
-    fam = cut(families(nodes), "families")
-    size = fam.groupBy("root").agg(F.count(F.lit(1)).alias("_m"))
-    placed = fam.join(size, "root").withColumn("_nb", F.ceil(F.col("_m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
-    sets = cut(texts_of(docs, fam, text).mapInArrow(_shingle_sets, "node long, shingles binary"), "sets")
-    # each node goes to the tasks of its block with every block: the square root of the comparisons
-    other = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    todo = other.join(sets, "node").select("root", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "node", "shingles")
-    dealt = todo.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    verified = cut(dealt.mapInArrow(_verify, "node long, n_links long, low long"), "links")
+    docs = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
+    sigs = cut(signatures(docs, key, text), "signatures")
+    nodes = cut(sigs.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    verified = links(nodes, docs, text)
     counts = verified.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     comp = components(verified.filter("low <> node").select(F.col("node").alias("u"), F.col("low").alias("v")))
     info = counts.join(comp, "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("_class"))
     rank = F.struct(F.col("k").isNull().alias("x"), F.col("k"), F.col("node"))
     per_node = sigs.groupBy("node").agg(F.min(rank).alias("_r"), F.count(F.lit(1)).alias("n_copies"))
-    known = per_node.join(info, "node", "left").withColumn("_class", F.coalesce("_class", "node"))
-    best = known.groupBy("_class").agg(F.min("_r").alias("_best"))
-    per_node = known.join(best, "_class").select("node", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_best")
-    out = sigs.select("k", "node").join(per_node, "node")
+    known = cut(per_node.join(info, "node", "left").withColumn("_class", F.coalesce("_class", "node")), "classed")
+    best = cut(known.groupBy("_class").agg(F.min("_r").alias("_best"), F.count(F.lit(1)).alias("_nodes")), "firsts")
+    placed = cut(join_counted(known, best, "_class", "_nodes").select("node", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_best"), "placed")
+    out = join_counted(sigs.select("k", "node"), placed, "node", "n_copies")
     first = rank.eqNullSafe(F.col("_best"))
     return out.select(F.col("k").alias(key), "node", F.col("_best.k").alias("class_id"), "n_links", "n_copies", first.alias("is_first"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one document of each class. Rows that are equal in key and text count as one."""
-    first = near_classes(docs, key, text).filter("is_first").select(F.col(key).alias("_k"), F.col("node").alias("_node")).distinct()
-    rows = docs.withColumn("_n", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    kept = rows.join(first, rows[key].eqNullSafe(F.col("_k")) & (F.col("_n") == F.col("_node")), "left_semi")
-    return kept.dropDuplicates([key, "_n"]).drop("_n")
+    here = fresh(docs, "null", "key", "node")
+
+    def ids(k: Column, node: Column) -> list[Column]:
+        return [x.alias(h) for x, h in zip((k.isNull(), F.coalesce(k.cast("string"), F.lit("")), node), here, strict=True)]
+
+    first = near_classes(docs, key, text).filter("is_first").select(*ids(F.col(key), F.col("node"))).distinct()
+    rows = docs.select("*", *ids(F.col(key), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    # whole rows are exchanged once: what drops equal rows deals them out as the join needs them
+    return rows.dropDuplicates(here).join(first, here, "left_semi").select(*docs.columns)

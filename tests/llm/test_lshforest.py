@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from firmlens.llm import lshforest
 
@@ -52,7 +53,7 @@ def corpus(n=150, seed=2):
     return [*rows, (n, rows[0][1]), (n + 1, None), (n + 2, ""), (n + 3, "one two"), (n + 4, "one  two"), (n + 5, " \n"), (n + 6, " ".join(base * 400)), (n + 7, " ".join([*base * 400, "end"]))]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"PAIRWISE": 3, "BUCKET": 7, "BLOCK": 9, "BROADCAST_NODES": 0}])
+@pytest.mark.parametrize("sizes", [{}, {"PAIRWISE": 3, "BLOCK": 9, "BROADCAST_NODES": 0}, {"PAIRWISE": 2, "BLOCK_BYTES": 1500}])
 def test_equals_brute_force(spark, monkeypatch, sizes):
     for k, v in sizes.items():
         monkeypatch.setattr(lshforest, k, v)
@@ -73,4 +74,63 @@ def test_keep_first(spark):
 
 def test_depth():
     assert lshforest.prefix_depth() == 4
-    assert lshforest.prefix_depth(target=0.5) > 4
+    assert lshforest.prefix_depth(target=0.5) == lshforest.MAX_DEPTH
+
+
+def test_recall_is_measured_and_shortens_the_prefixes():
+    deepest = lshforest.MAX_DEPTH
+    # without links only the guard at the threshold counts
+    assert lshforest.measured_recall({}, deepest) == pytest.approx(lshforest.chance(0.8, deepest))
+    # many links far above the threshold don't hide those near it
+    assert lshforest.measured_recall({19: 10**6, 0: 10}, deepest) < lshforest.TARGET_RECALL <= lshforest.measured_recall({19: 10**6, 0: 10}, 4)
+    # a million links of 0.84 to 0.85 are found by a longer prefix
+    assert lshforest.measured_recall({4: 10**6}, 5) >= lshforest.TARGET_RECALL > lshforest.measured_recall({0: 10**6}, 5)
+
+
+def test_common_prefixes():
+    import numpy as np
+
+    labels = [b"\x00" + x for x in (b"aabbccddee", b"aabbccddgg", b"aabbxxddee", b"zzbbccddee")] + [b"\x01" + b"zzbbccddee"] * 2
+    t = pa.RecordBatch.from_arrays([pa.array(labels), pa.array(np.arange(6))], ["label", "node"])
+    for parts in ([t], [t.slice(0, 3), t.slice(3, 0), t.slice(3)], [t.slice(i, 1) for i in range(6)]):
+        got = pa.Table.from_batches(list(lshforest._common_prefixes(parts)))
+        # the first and last rows of a partition count as matched
+        assert got.column("lcp").to_pylist() == [5, 4, 2, 0, 5, 5] and got.column("label").to_pylist() == labels
+
+
+def test_recall_against_brute_force(spark):
+    """Pairs of just over 0.8: one word in a text of fifty or more is another."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    rows = []
+    for g in range(400):
+        w = [word() for _ in range(rng.randint(52, 60))]
+        rows.append((2 * g, " ".join(w)))
+        w[rng.randrange(5, len(w) - 5)] = word()
+        rows.append((2 * g + 1, " ".join(w)))
+    want = {k: links for k, _, links, _ in brute(rows[:100])}
+    got = {r["doc_id"]: r["n_links"] for r in lshforest.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == n for k, n in want.items()) and sum(want.values()) == 100
+    assert sum(got.values()) == len(rows)
+
+
+def test_a_large_group_loses_no_links(spark, monkeypatch):
+    """Many texts around one base that differ from each other: dealt to many pairs of blocks."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(90)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(lshforest, "BLOCK", 11)
+    monkeypatch.setattr(lshforest, "PAIRWISE", 4)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in lshforest.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 5, 6, 7, 8)], "doc_id long, text string, _node int, _key int, _null int, __node int")
+    assert [tuple(r) for r in lshforest.keep_first(df).collect()] == [(1, "a b c d e f", 1, 2, 3, 4)]
