@@ -2,22 +2,23 @@
 
 Sorting every suffix would ship the corpus many times over, so suffixes are sampled by content: of each
 100-byte window the 32-byte piece with the least hash is an anchor, and equal windows have
-equal anchors at equal offsets. The suffixes at anchors, each with the bytes before it, stand
-for all windows:
-
-1. anchors are dealt out by their leading piece and sorted; of equal contexts (68 bytes before,
-   100 from the anchor on) all but the first occurrence are removed outright, and pieces that only
-   occur in one context are done;
-2. for pieces with several contexts, the first occurrence of each context gets its bytes from the text.
-   Sampled splitters range-partition these suffixes by their leading piece; a bucket is sorted by multikey
-   quicksort on 8-byte words, and the windows around an anchor are compared for each offset;
-3. pieces with more contexts than a bucket should hold cross the boundaries of buckets: their windows are
-   compared by a grouped minimum over all tasks, keyed by the window.
+equal anchors at equal offsets. The suffixes at anchors, each with the 68 bytes before it, stand
+for all windows, so sampling loses no repeat:
+
+1. of anchors with equal contexts (68 bytes before, 100 from the anchor on) all but the first occurrence are removed
+   outright, and pieces that only occur in one context are done;
+2. for pieces with several contexts, the first occurrence of each context gets its bytes from the text. These
+   suffixes are range-partitioned by their leading bytes, at sampled splitters; a bucket is sorted by multikey quicksort on
+   8-byte words, and the common prefixes of neighbours give the runs of suffixes that share any number of bytes. The bytes before the anchors
+   are sorted backwards in the same way. A window that begins d bytes before its anchor is repeated where the runs of 100 - d
+   bytes from the anchor on and of d bytes before it meet;
+3. no run crosses the boundary of two buckets, because splitters lie between different leading pieces. Only pieces with more than
+   `HOT` contexts are too large for a bucket; their windows are compared across all tasks, by a grouped minimum over the windows' bytes.
 
 Defined results: a null text is empty; a null key comes first; rows with one key and different texts are
 ordered by the texts' hash, and rows that are equal in both are one document (each gets its result);
-texts under 100 bytes keep everything; an empty table gives an empty result; other columns are dropped.
-Pieces and contexts are compared by 64-bit hashes each (128 bits together), windows by bytes.
+texts under 100 bytes keep everything; very long texts are worked on whole; an empty table gives an empty result; other columns are dropped.
+In step 1 pieces and contexts are compared by 64-bit hashes each (128 bits together); all later comparisons are of bytes.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SPAN = LENGTH - PIECE + 1  # pieces in a window
 LEFT = LENGTH - PIECE  # bytes before an anchor that a window can reach
 #: Contexts of one piece beyond which its windows are compared over all tasks.
 HOT = 50_000
+#: Hot pieces up to this number are broadcast (9 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_HOT = 1_000_000
 NO_KEY = -(2**63)
 
 _rng = np.random.default_rng(100)
@@ -193,28 +196,22 @@ def _batch(parts, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kinds.get(k, pa.int64())) for k, x in zip(names, zip(*parts, strict=True), strict=True)], names)
 
 
-def _emit_contexts(splitters: np.ndarray):
-    """doc, tie, text, heads (h and position of each, or null) -> bucket, h, doc, tie, pos, left, right, bytes."""
-
-    def run(batches):
-        for b in batches:
-            docs = np.flatnonzero(b.column(3).is_valid().to_numpy(zero_copy_only=False))
-            for some in np.array_split(docs, max(1, len(docs) // 200)):
-                out = []
-                for i in some.tolist():
-                    text = b.column(2)[i].as_py()
-                    doc, tie = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                    for x in b.column(3)[i].as_py():
-                        p = x["pos"]
-                        left, right = min(p, LEFT), min(len(text) - p, LENGTH)
-                        out.append((x["h"], doc, tie, p, left, right, text[p - left : p].rjust(LEFT, b"\0") + text[p : p + right].ljust(LENGTH, b"\0")))
-                if out:
-                    h, *rest = zip(*out, strict=True)
-                    bucket = np.searchsorted(splitters, np.array(h, np.int64), "right").astype(np.int32)
-                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h, pa.int64()), *(pa.array(x, t) for x, t in zip(rest, types, strict=True))], ["bucket", "h", "doc", "tie", "pos", "left", "right", "bytes"])
-
-    return run
+def _emit_contexts(batches):
+    """doc, tie, text, heads (position of each and whether its piece is hot, or null) -> hot, lead, doc, tie, pos, left, right, bytes."""
+    for b in batches:
+        docs = np.flatnonzero(b.column(3).is_valid().to_numpy(zero_copy_only=False))
+        for some in np.array_split(docs, max(1, len(docs) // 200)):
+            out = []
+            for i in some.tolist():
+                text = b.column(2)[i].as_py()
+                doc, tie = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                for x in b.column(3)[i].as_py():
+                    p = x["pos"]
+                    left, right = min(p, LEFT), min(len(text) - p, LENGTH)
+                    out.append((x["hot"], text[p : p + PIECE], doc, tie, p, left, right, text[p - left : p].rjust(LEFT, b"\0") + text[p : p + right].ljust(LENGTH, b"\0")))
+            if out:
+                types = (pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["hot", "lead", "doc", "tie", "pos", "left", "right", "bytes"])
 
 
 def multikey_order(rows: np.ndarray) -> np.ndarray:
@@ -237,76 +234,78 @@ def multikey_order(rows: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated_windows(h, doc, tie, pos, left, right, ctx: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """[(rows, d)]: rows whose window that begins d bytes before the anchor also occurs, at the same offset, in an earlier row."""
-    order = multikey_order(ctx[:, LEFT:])  # suffixes in order: equal pieces stand together
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((pos, tie, doc))] = np.arange(len(h))
-    order = order[np.lexsort((rank[order], np.cumsum(np.append(False, h[order][1:] != h[order][:-1]))))]  # within a piece, the earliest first
-    ctx, left, right, doc, tie, pos = (x[order] for x in (ctx, left, right, doc, tie, pos))
-    t = np.zeros((len(ctx), ctx.shape[1] + 1), np.uint64)
-    q, inverse = _pows(ctx.shape[1] + 1)
-    np.cumsum(_byte_b[ctx] * inverse[: ctx.shape[1]], axis=1, out=t[:, 1:])
-    piece = _mix(h[order].view(np.uint64) * _P)
+def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted order of byte strings, and how many leading bytes each shares with the one before it in that order."""
+    order = multikey_order(rows)
+    common = np.zeros(len(rows), np.int64)
+    for x in range(1, len(rows), 100_000):
+        a, b = rows[order[x - 1 : x + 99_999]], rows[order[x : x + 100_000]]
+        differ = a[: len(b)] != b
+        common[x : x + len(b)] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return order, common
+
+
+def repeated_windows(doc, tie, pos, left, right, ctx: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """[(rows, d)]: rows whose window that begins d bytes before the anchor also occurs, at the same offset, in an earlier row.
+    ctx: the bytes around each anchor, padded; left and right say how many are there."""
+    first = np.lexsort((pos, tie, doc))  # the earliest first
+    doc, tie, pos, left, right, ctx = (x[first] for x in (doc, tie, pos, left, right, ctx))
+    after, shared_after = suffix_order(ctx[:, LEFT:])
+    before, shared_before = suffix_order(ctx[:, LEFT - 1 :: -1])
+    run_after, run_before = np.empty(len(ctx), np.int64), np.empty(len(ctx), np.int64)
     out = []
     for d in range(LEFT + 1):
         ok = np.flatnonzero((left >= d) & (right >= LENGTH - d))
         if len(ok) < 2:
             continue
-        a = LEFT - d
-        key = (t[ok, a + LENGTH] - t[ok, a]) * q[a] ^ piece[ok]
+        # numbers of the runs of suffixes that share LENGTH - d bytes from the anchor on, and d bytes before it
+        run_after[after] = np.cumsum(shared_after < LENGTH - d)
+        run_before[before] = np.cumsum(shared_before < d)
+        key = run_after[ok] * (len(ctx) + 1) + run_before[ok]
         by = np.argsort(key, kind="stable")
-        k = key[by]
-        again = np.flatnonzero(k[1:] == k[:-1]) + 1
+        again = np.flatnonzero(key[by[1:]] == key[by[:-1]]) + 1
         x, y = ok[by[again]], ok[by[again - 1]]
         own = (doc[x] == doc[y]) & (tie[x] == tie[y]) & (pos[x] == pos[y])  # a row that is there twice
-        x = x[(ctx[x, a : a + LENGTH] == ctx[y, a : a + LENGTH]).all(1) & ~own]
-        if len(x):
-            out.append((order[x], d))
+        if not own.all():
+            out.append((first[x[~own]], d))
     return out
 
 
 def _emit_repeats(batches):
-    """Rows in the order of (bucket, h). Gives doc, tie, pos, n of repeated windows, merged where they adjoin around an anchor."""
+    """Rows in the order of lead. Gives doc, tie, pos, n of repeated windows, merged where they adjoin around an anchor."""
     from firmlens.llm.lshforest import _groups_of
 
     names = ["doc", "tie", "pos", "n"]
-    for t in _groups_of(batches, 2):
-        h, doc, tie, pos, left, right = (t.column(c).to_numpy() for c in range(1, 7))
-        ctx = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(len(h), LEFT + LENGTH)
+    for t in _groups_of(batches, 1):
+        doc, tie, pos, left, right = (t.column(c).to_numpy() for c in range(1, 6))
+        ctx = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(len(doc), LEFT + LENGTH)
         out = []
-        for rows, d in repeated_windows(h, doc, tie, pos.astype(np.int64), left, right, ctx):
-            out.append((doc[rows], tie[rows], pos[rows] - d, np.full(len(rows), LENGTH, np.int32), rows))
+        for rows, d in repeated_windows(doc, tie, pos.astype(np.int64), left, right, ctx):
+            out.append((doc[rows], tie[rows], pos[rows] - d, rows))
         if not out:
             continue
-        dd, tt, pp, nn, rr = (np.concatenate(x) for x in zip(*out, strict=True))
+        dd, tt, pp, rr = (np.concatenate(x) for x in zip(*out, strict=True))
         by = np.lexsort((pp, rr))
         dd, tt, pp, rr = dd[by], tt[by], pp[by], rr[by]
-        cutoff = np.append(True, (rr[1:] != rr[:-1]) | (pp[1:] != pp[:-1] + 1))
-        first = np.flatnonzero(cutoff)
-        end = np.append(first[1:], len(pp)) - 1
-        yield _batch([(dd[first], tt[first], pp[first], (pp[end] - pp[first] + LENGTH).astype(np.int32))], names)
+        begin = np.flatnonzero(np.append(True, (rr[1:] != rr[:-1]) | (pp[1:] != pp[:-1] + 1)))
+        end = np.append(begin[1:], len(pp)) - 1
+        yield _batch([(dd[begin], tt[begin], pp[begin], (pp[end] - pp[begin] + LENGTH).astype(np.int32))], names)
 
 
 def _emit_windows(batches):
-    """The windows of each context: two hashes, doc, tie, pos."""
+    """Every window around each anchor: its bytes, doc, tie, pos."""
+    off = np.arange(2001, dtype=np.int32) * LENGTH
     for b in batches:
-        h, doc, tie, pos, left, right = (b.column(c).to_numpy(zero_copy_only=False) for c in range(1, 7))
-        data = b.column(7).to_pylist()
+        doc, tie, pos, left, right = (b.column(c).to_numpy(zero_copy_only=False) for c in range(1, 6))
+        data = b.column(6).to_pylist()
         for x in range(0, len(data), 2000):
             ctx = np.frombuffer(b"".join(data[x : x + 2000]), np.uint8).reshape(-1, LEFT + LENGTH)
-            t = np.zeros((len(ctx), ctx.shape[1] + 1), np.uint64)
-            q, inverse = _pows(ctx.shape[1] + 1)
-            s = np.zeros_like(t)
-            np.cumsum(_byte_b[ctx] * inverse[: ctx.shape[1]], axis=1, out=t[:, 1:])
-            np.cumsum(_byte_a[ctx] * inverse[: ctx.shape[1]], axis=1, out=s[:, 1:])
             at = slice(x, x + len(ctx))
             for d in range(LEFT + 1):
-                a = LEFT - d
                 ok = np.flatnonzero((left[at] >= d) & (right[at] >= LENGTH - d))
-                w1 = _mix((t[ok, a + LENGTH] - t[ok, a]) * q[a])
-                w2 = _mix((s[ok, a + LENGTH] - s[ok, a]) * q[a])
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc[at][ok]), pa.array(tie[at][ok]), pa.array((pos[at][ok] - d).astype(np.int32))], ["w1", "w2", "doc", "tie", "pos"])
+                window = np.ascontiguousarray(ctx[ok, LEFT - d : LEFT - d + LENGTH])
+                packed = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(off[: len(ok) + 1]), pa.py_buffer(window)])
+                yield pa.RecordBatch.from_arrays([packed, pa.array(doc[at][ok]), pa.array(tie[at][ok]), pa.array((pos[at][ok] - d).astype(np.int32))], ["w", "doc", "tie", "pos"])
 
 
 def _finish(batches):
@@ -332,25 +331,27 @@ def _finish(batches):
 
 
 def removed_spans(base: DataFrame, n: int) -> DataFrame:
-    """base: doc, tie, text (dealt out by doc and tie, n partitions). Returns doc, tie, pos, n, which may overlap."""
-    spark = base.sparkSession
+    """base: doc, tie, text. Returns doc, tie, pos, n, which may overlap."""
     found = base.mapInArrow(_emit_anchors, "h long, ctx long, doc long, tie long, pos int, lr int")
     dealt = found.repartition("h").sortWithinPartitions("h", "ctx", "doc", "tie", "pos")
     first = cut(dealt.mapInArrow(_emit_first_pass, "kind byte, h long, doc long, tie long, pos int, n int"), "first-pass")
     gone = first.filter("kind = 0").select("doc", "tie", "pos", "n")
     heads = first.filter("kind = 1")
-    hot = [r["h"] for r in heads.groupBy("h").count().filter(F.col("count") > HOT).select("h").collect()]  # one of HOT rows at most
-    buckets = 4 * n
-    splitters = np.unique(np.array(heads.approxQuantile("h", [i / buckets for i in range(1, buckets)], 0.1 / buckets) or [], np.float64).astype(np.int64))
-    by_doc = heads.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "pos")).alias("heads"))  # at most a text's positions
-    contexts = base.join(by_doc, ["doc", "tie"], "left").select("doc", "tie", "text", "heads").mapInArrow(_emit_contexts(splitters), "bucket int, h long, doc long, tie long, pos int, left int, right int, bytes binary")
-    common = contexts.filter(~F.col("h").isin(hot)) if hot else contexts
-    repeats = common.repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(_emit_repeats, "doc long, tie long, pos int, n int")
-    if hot:
-        windows = contexts.filter(F.col("h").isin(hot)).mapInArrow(_emit_windows, "w1 long, w2 long, doc long, tie long, pos int")
+    hot = cut(heads.groupBy("h").count().filter(F.col("count") > HOT).select("h", F.lit(True).alias("hot")), "hot")  # one row of HOT at most
+    n_hot = hot.count()
+    heads = heads.join(F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot, "h", "left") if n_hot else heads.withColumn("hot", F.lit(False))
+    by_doc = heads.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("heads"))  # at most a text's positions
+    contexts = base.join(by_doc, ["doc", "tie"], "left").select("doc", "tie", "text", "heads").mapInArrow(_emit_contexts, "hot boolean, lead binary, doc long, tie long, pos int, left int, right int, bytes binary")
+    # written first: range partitioning reads its input twice, once for the splitters
+    contexts = cut(contexts, "contexts")
+    cols = ["lead", "doc", "tie", "pos", "left", "right", "bytes"]
+    buckets = contexts.filter("NOT hot").select(*cols).repartitionByRange(4 * n, "lead").sortWithinPartitions("lead")
+    repeats = buckets.mapInArrow(_emit_repeats, "doc long, tie long, pos int, n int")
+    if n_hot:
+        windows = contexts.filter("hot").select(*cols).mapInArrow(_emit_windows, "w binary, doc long, tie long, pos int")
         place = F.struct("doc", "tie", "pos")
-        least = windows.groupBy("w1", "w2").agg(F.min(place).alias("p"))
-        later = windows.join(least, ["w1", "w2"]).filter(place > F.col("p"))
+        least = windows.groupBy("w").agg(F.min(place).alias("p"))
+        later = windows.join(least, "w").filter(place > F.col("p"))
         repeats = repeats.unionByName(later.select("doc", "tie", "pos", F.lit(LENGTH).alias("n")))
     return gone.unionByName(repeats)
 

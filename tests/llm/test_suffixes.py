@@ -67,3 +67,34 @@ def test_multikey_order():
     rows[200:300, :90] = rows[:100, :90]
     got = [rows[i].tobytes() for i in suffixes.multikey_order(rows)]
     assert got == sorted(got)
+
+
+def test_suffix_order():
+    """Neighbours in the order share as many leading bytes as said; repeats are read from that order."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 2, (400, 30), dtype=np.uint8)
+    rows[50:90, :25] = rows[:40, :25]
+    order, common = suffixes.suffix_order(rows)
+    got = [rows[i].tobytes() for i in order]
+    assert got == sorted(got)
+    for a, b, n in zip(got, got[1:], common[1:]):
+        assert a[:n] == b[:n] and (n == 30 or a[n] != b[n])
+
+
+def test_the_order_decides(monkeypatch):
+    """Without the sort, equal windows that don't stand together would be missed."""
+    rng = np.random.default_rng(4)
+    ctx = rng.integers(0, 256, (60, suffixes.LEFT + suffixes.LENGTH), dtype=np.uint8)
+    ctx[40:] = ctx[:20]
+    n = len(ctx)
+    args = (np.arange(n), np.zeros(n, np.int64), np.full(n, 500), np.full(n, suffixes.LEFT), np.full(n, suffixes.LENGTH), ctx)
+    got = suffixes.repeated_windows(*args)
+    assert len(got) == suffixes.LEFT + 1 and all(sorted(rows) == list(range(40, 60)) for rows, _ in got)
+    monkeypatch.setattr(suffixes, "multikey_order", lambda rows: np.arange(len(rows)))
+    assert suffixes.repeated_windows(*args) == []
+
+
+def test_long_texts(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(30_000))
+    check(spark, [(1, long), (2, "x" + long[100:20_000]), (3, long[25_000:] + "end" + long[:300]), (4, "ab" * 9000)])
