@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from firmlens.llm import bilstmcrf, pii
@@ -43,13 +44,55 @@ def test_gradient():
     assert abs((bilstmcrf.crf_loss(e2, tags, trans)[0] - loss) / 0.01 - de[2, 1, 0]) < 1e-2
 
 
-def test_held_out_accuracy():
-    model = pii.default_model()
-    rows = pii.examples(300, seed=99)
-    x, y = pii.encode(rows)
-    tags = bilstmcrf.viterbi(model.emissions(x.T), np.full(len(x), pii.T), model.transitions()).T
-    inside = y > 0
-    assert (tags == y).mean() > 0.95 and (tags[inside] == y[inside]).mean() > 0.85
+def test_held_out_spans():
+    """Recall of each kind over spans that the base patterns miss, and the share of added spans that lie on labelled ones."""
+    rng = random.Random(99)
+    rows = [pii.sample(rng, 300, 0.2) for _ in range(300)]
+    have, hit, added, right = Counter(), Counter(), Counter(), Counter()
+    for (t, want), (own, every) in zip(rows, pii.all_spans(pii.default_model(), [t for t, _ in rows])):
+        for a, b, k in want:
+            if not any(x < b and y > a for x, y, _ in own):
+                have[k] += 1
+                hit[k] += (a, b, k) in every
+        for s in set(every) - set(own):
+            added[s[2]] += 1
+            right[s[2]] += any(a < s[1] and b > s[0] for a, b, _ in want)
+    assert set(have) == set(pii.KINDS)
+    for k in pii.KINDS:
+        assert have[k] > 100 and hit[k] / have[k] >= 0.9 and right[k] / added[k] >= 0.9, (k, hit[k], have[k], right[k], added[k])
+
+
+def test_spans_of_any_length():
+    find = lambda t: [(k, t[a:b]) for a, b, k in pii.all_spans(pii.default_model(), [t])[0][1]]
+    say = "the thing and the than of on "
+    long = "anonstrachment" * 9
+    assert find(f"{say}{long}(at)thanla(dot)org {say}") == [("email", f"{long}(at)thanla(dot)org")]
+    assert find(say + "4465758382889437 4465758382889437 " + say) == [("card", "4465758382889437")] * 2
+    # one region of many thousand characters, with spans all over it
+    many = "".join(f"{say}({300 + i}) 555-0{100 + i} " for i in range(300))
+    assert find("0123456789" * 20_000) == find("aB3" * 20_000)[1:] == []
+    assert find(many) == [("phone", f"({300 + i}) 555-0{100 + i}") for i in range(300)]
+
+
+def test_regions_hold_whole_words():
+    t = "é " * 50 + "x" * 5000 + "7" + "y" * 5000 + " a" * 50 + "\n\n9"
+    got = pii.regions(t)
+    assert [t[a:b].count("é") for a, b in got] == [pii.WORDS_AROUND, 0] and got[1][1] == len(t)
+    assert pii.regions("nothing here") == [] and pii.regions("7") == [(0, 1)]
+
+
+def test_resolve():
+    t = "call 4465758382889437 4465758382889437 now (301) 555-0346."
+    assert [t[a:b] for a, b in pii.resolve("card", t, *pii.grow("card", t, 7, 10))] == ["4465758382889437"] * 2
+    assert [t[a:b] for a, b in pii.resolve("phone", t, 39, len(t))] == ["(301) 555-0346"]
+    assert pii.resolve("ip", t, 0, len(t)) == [] and pii.grow("phone", t, 45, 47) == (43, 48)
+
+
+def test_emissions_do_not_depend_on_what_else_is_laid_out():
+    m = pii.default_model()
+    words = ["call (301) 555-0346 " * 9, "nothing 7", "mail a (at) b (dot) org " * 20]
+    together = pii.decode(m, words, [pii.regions(w) for w in words])
+    assert together == [pii.decode(m, [w], [pii.regions(w)])[0] for w in words]
 
 
 def test_find(spark):
