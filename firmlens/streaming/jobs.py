@@ -11,7 +11,7 @@ from firmlens.sources.export import insert_absent
 
 def save_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     """Each batch inserts what isn't stored yet, so that a batch that runs again after a failure adds nothing."""
-    return rows.writeStream.foreachBatch(lambda df, _: insert_absent(df, path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(lambda df, _: insert_absent(df, path, keys, keys[0])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def liveness(beats: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
