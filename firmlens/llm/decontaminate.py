@@ -8,6 +8,8 @@ must cover `COVERAGE` of the item's tokens.
 
 The benchmark is joined in blocks of at most `BLOCK_WINDOWS` windows, the bound of what is broadcast.
 
+The cost of a pair of document and item is linear in their equal windows, however often a text repeats them.
+
 Defined results: null and empty texts match nothing; items of fewer than `WINDOW` tokens, and windows of mostly placeholders,
 can't be matched; equal items are reported each; repeated rows are reported each; an empty table on either side gives an empty
 result; clashing columns are replaced.
@@ -24,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.llm.common import fresh
 from firmlens.llm.tokens import _byte_groups
 
 WINDOW = 5
@@ -159,20 +162,36 @@ def consistent(pairs: list[tuple[int, int, tuple[int, int]]]) -> tuple[set[int],
     return ok, all(a == b for p, _, (a, b) in pairs if p in ok)
 
 
-def judge_pair(items: Items, i: int, t: np.ndarray, h: np.ndarray, hits: list[tuple[int, int]]) -> tuple[float, bool] | None:
-    """hits: (position in the document, in the item) of equal windows. Returns (coverage, verbatim) if the document holds the item."""
+def align(p: np.ndarray, q: np.ndarray, length: int) -> dict[int, int]:
+    """p, q: positions in the document and in the item of equal windows. Maps tokens of the item to tokens of the document. The
+    diagonal (p - q) with the most windows comes first, of equals the one that begins first; a token keeps what it has got. Each window is looked at
+    once, and no more when all tokens of the item have got theirs."""
+    diagonals, where, n = np.unique(p - q, return_inverse=True, return_counts=True)
+    begin = np.full(len(diagonals), np.iinfo(np.int64).max)
+    np.minimum.at(begin, where, p)
+    rank = np.empty(len(diagonals), np.int64)
+    rank[np.lexsort((begin, -n))] = np.arange(len(diagonals))
+    order = np.lexsort((p, rank[where]))
+    at: dict[int, int] = {}
+    for x in range(0, len(order), 4096):
+        some = order[x : x + 4096]
+        for d, i in zip(p[some].tolist(), q[some].tolist(), strict=True):
+            for k in range(WINDOW):
+                at.setdefault(i + k, d + k)
+        if len(at) == length:
+            break
+    return at
+
+
+def judge_pair(items: Items, i: int, t: np.ndarray, h: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[float, bool] | None:
+    """p, q: positions in the document (t, h) and in the item i of equal windows. Returns (coverage, verbatim) if the document holds the item."""
     it, ih = items.t[i], items.h[i]
-    at = {}  # token of the item -> token of the document; the longest diagonal comes first
-    for d, _ in Counter(p - q for p, q in hits).most_common():
-        for p, q in hits:
-            if p - q == d:
-                for k in range(WINDOW):
-                    at.setdefault(q + k, p + k)
-    slots = [(q, int(it[q]), (int(ih[q]), int(h[p]))) for q, p in at.items() if it[q] in (NUM, NAME, UNIT)]
+    at = align(p, q, len(it))
+    slots = [(x, int(it[x]), (int(ih[x]), int(h[y]))) for x, y in at.items() if it[x] in (NUM, NAME, UNIT)]
     ok, same = consistent(slots)
     if len(ok) < AGREE * len(slots):
         return None
-    covered = sum(q in ok or it[q] not in (NUM, NAME, UNIT) for q in at)
+    covered = sum(x in ok or it[x] not in (NUM, NAME, UNIT) for x in at)
     if covered < COVERAGE * len(it) or covered < min(MIN_TOKENS, len(it)):
         return None
     return covered / len(it), same
@@ -190,12 +209,14 @@ def _probe(items, key_kind: pa.DataType, item_kind: pa.DataType):
                 size = np.diff(np.append(begin, len(t)))
                 doc = np.searchsorted(begin + size, at, "right")
                 inside = at + WINDOW <= begin[doc] + size[doc] if len(at) else np.zeros(0, bool)
-                found = defaultdict(list)
-                for d, p, r in zip(doc[inside].tolist(), at[inside].tolist(), row[inside].tolist(), strict=True):
-                    found[d, int(idx.item[r])].append((p - int(begin[d]), int(idx.pos[r])))
+                doc, at, row = doc[inside], at[inside], row[inside]
+                by = np.lexsort((idx.item[row], doc))
+                doc, p, which, q = doc[by], at[by] - begin[doc[by]], idx.item[row[by]], idx.pos[row[by]]
+                new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (which[1:] != which[:-1]))) if len(doc) else np.zeros(0, np.int64)
                 out = []
-                for (d, k), hits in found.items():
-                    if got := judge_pair(idx, k, t[begin[d] : begin[d] + size[d]], h[begin[d] : begin[d] + size[d]], hits):
+                for x, y in zip(new.tolist(), np.append(new[1:], len(doc)).tolist()):
+                    d, k = int(doc[x]), int(which[x])
+                    if got := judge_pair(idx, k, t[begin[d] : begin[d] + size[d]], h[begin[d] : begin[d] + size[d]], p[x:y], q[x:y]):
                         out.append((b.column(0)[i + d].as_py(), idx.ids[k], got[0], "verbatim" if got[1] else "reparameterised"))
                 cols = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (key_kind, item_kind, pa.float64(), pa.string()), strict=True)], ["k", "item_id", "coverage", "kind"])
@@ -236,7 +257,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without those that hold an item. A row with a null key is judged like any other."""
-    hashed = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    found = matches(hashed.select(F.struct(F.col(key).alias("key"), "_h").alias("_id"), text), benchmark, "_id", text, item, item_text)
-    bad = found.select(F.col("_id.key").alias("_k"), F.col("_id._h").alias("_g")).distinct()
-    return hashed.join(bad, hashed[key].eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left_anti").drop("_h")
+    h, name, other = fresh(docs, "hash", "key", "text_hash")
+    hashed = docs.withColumn(h, F.xxhash64(F.col(text)))
+    found = matches(hashed.select(F.struct(F.col(key).alias("key"), F.col(h).alias("hash")).alias("id"), text), benchmark, "id", text, item, item_text)
+    bad = found.select(F.col("id.key").alias(name), F.col("id.hash").alias(other)).distinct()
+    return hashed.join(bad, hashed[key].eqNullSafe(F.col(name)) & (F.col(h) == F.col(other)), "left_anti").select(*docs.columns)
