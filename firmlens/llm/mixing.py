@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import WS_CLASS, cut
+from firmlens.llm.common import WS_CLASS, cut, fresh
 
 BUCKET_BITS = 12
 LEVELS = ("domain", "lang", "source")
@@ -81,41 +81,49 @@ def allocate(node: Node, budget: float) -> float:
 def tree(leaves: list[tuple[tuple[str, ...], float]], weight: Callable[[int, str], float], max_epochs: int) -> Node:
     """leaves: ((domain, lang, source), tokens)."""
     root = Node("root")
+    known: dict[tuple[str, ...], Node] = {(): root}
     for path, tokens in sorted(leaves):
-        at = root
         for depth, name in enumerate(path):
-            nxt = next((c for c in at.children if c.name == name), None)
-            if nxt is None:
-                nxt = Node(name, weight(depth, name))
-                at.children.append(nxt)
-            at = nxt
-        at.supply = tokens * max_epochs
+            if path[: depth + 1] not in known:
+                node = known[path[: depth + 1]] = Node(name, weight(depth, name))
+                known[path[:depth]].children.append(node)
+        known[path].supply = tokens * max_epochs
     return root
 
 
+def fitting_budget(root: Node) -> float:
+    """The largest budget at which every domain can give its target share."""
+    total = sum(c.weight for c in root.children)
+    shares = [(c.capacity(), c.weight / total) for c in root.children if c.weight > 0] if total > 0 else []
+    return min((have / share for have, share in shares), default=root.capacity())
+
+
 def weights(depth: int, name: str) -> float:
     return (DOMAIN_WEIGHTS.get(name, 0.05), LANG_WEIGHTS.get(name, 0.05), 1.0)[depth]
 
 
-#: Of what the leaves can supply; the rest is room in which the weights can act.
-BUDGET_SHARE = 0.9
+#: The tree of budgets is made on the driver: at most so many leaves.
+MAX_LEAVES = 1_000_000
 
 
-def mix(docs: DataFrame, budget: float | None = None, weight: Callable[[int, str], float] = weights, max_epochs: int = 1, seed: int = 7, domain: Column | None = None, tokens: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with domain, leaf_tokens, leaf_budget, epoch (from 0) and n_tokens: a row for each time that a document is taken."""
+def mix(docs: DataFrame, budget: float | None, weight: Callable[[int, str], float] = weights, max_epochs: int = 1, seed: int = 7, domain: Column | None = None, tokens: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with domain, leaf_tokens, leaf_budget, epoch (from 0) and n_tokens: a row for each time that a document is taken. budget: tokens; None: the
+    largest at which every domain can give its target share (`fitting_budget`)."""
     domain = domain_of(F.col("source")) if domain is None else domain
     tokens = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WS_CLASS), lambda x: x != "")).cast("long") if tokens is None else tokens
     known = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     spark = docs.sparkSession
-    names = [f"_l{i}" for i in range(len(LEVELS))]
-    df = docs.drop("epoch", "leaf_tokens", "leaf_budget").withColumns({"n_tokens": tokens, "_l0": known(domain), "_l1": known(F.col("lang")), "_l2": known(F.col("source")), "_t": F.xxhash64(text)})
-    seeded = F.xxhash64(F.lit(seed), "epoch", key, "_t")
-    place = F.struct(seeded.alias("h"), F.col(key).alias("k"), F.col("_t").alias("t"))
+    *names, t, take, bucket, end, piece, before, upto_here, part_sum = fresh(docs, *(f"level{i}" for i in range(len(LEVELS))), "text_hash", "take", "bucket", "last", "place", "before", "sum", "n")
+    df = docs.drop("epoch", "leaf_tokens", "leaf_budget").withColumns({"n_tokens": tokens, t: F.xxhash64(text), **dict(zip(names, map(known, (domain, F.col("lang"), F.col("source"))), strict=True))})
+    seeded = F.xxhash64(F.lit(seed), "epoch", key, t)
+    place = F.struct(seeded.alias("h"), F.col(key).alias("k"), F.col(t).alias("t"))
     # the texts are read once for their counts; everything up to the last step works on this narrow table
-    narrow = cut(df.select(*names, key, "_t", "n_tokens"), "mix")
-    leaf = narrow.groupBy(*names).agg(F.sum("n_tokens").alias("n")).collect()  # a row for each leaf
+    narrow = cut(df.select(*names, key, t, "n_tokens"), "mix")
+    leaf = narrow.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()  # a row for each leaf
+    if len(leaf) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} leaves: group the sources")
     root = tree([(tuple(r[x] for x in names), float(r["n"] or 0)) for r in leaf], weight, max_epochs)
-    allocate(root, BUDGET_SHARE * root.capacity() if budget is None else budget)
+    allocate(root, fitting_budget(root) if budget is None else budget)
     supply = {tuple(r[x] for x in names): int(r["n"] or 0) for r in leaf}
     plan = []
     for path, node in root.leaves():
@@ -125,23 +133,43 @@ def mix(docs: DataFrame, budget: float | None = None, weight: Callable[[int, str
                 if left > 0 or e == 0 and n == 0:
                     plan.append((*path, e, n, want, min(left, n)))
                 left -= min(left, n)
-    schema = ", ".join(f"{x} string" for x in names) + ", epoch int, leaf_tokens long, leaf_budget long, _take long"
+    schema = ", ".join(f"{x} string" for x in names) + f", epoch int, leaf_tokens long, leaf_budget long, {take} long"
     part = [*names, "epoch"]
     plans = spark.createDataFrame(plan, schema)  # leaves x epochs
-    partial = narrow.join(F.broadcast(plans.filter("_take < leaf_tokens")), names).withColumn("_p", place)
-    partial = partial.withColumn("_bucket", F.shiftright("_p.h", 64 - BUCKET_BITS))  # in the order of the hashes
+    partial = narrow.join(F.broadcast(plans.filter(F.col(take) < F.col("leaf_tokens"))), names).withColumn(piece, place)
+    partial = partial.withColumn(bucket, F.shiftright(F.col(piece)["h"], 64 - BUCKET_BITS))  # in the order of the hashes
     # leaves x epochs x 2**BUCKET_BITS rows at most
-    sums = partial.groupBy(*part, "_bucket", "_take").agg(F.sum("n_tokens").alias("_n"))
-    run = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = run.filter("_before <= _take AND _before + _n > _take").select(*part, F.col("_bucket"), "_before")
-    inside = partial.join(F.broadcast(edge), [*part, "_bucket"])  # a row for each partial leaf and epoch
-    upto = inside.withColumn("_sum", F.col("_before") + F.sum("n_tokens").over(Window.partitionBy(*part).orderBy("_p")))
-    last = upto.groupBy(*part, "_bucket").agg(F.max(F.when(F.col("_sum") <= F.col("_take"), F.col("_p"))).alias("_last"))
+    sums = partial.groupBy(*part, bucket, take).agg(F.sum("n_tokens").alias(part_sum))
+    run = sums.withColumn(before, F.coalesce(F.sum(part_sum).over(Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    edge = run.filter((F.col(before) <= F.col(take)) & (F.col(before) + F.col(part_sum) > F.col(take))).select(*part, bucket, before)
+    inside = partial.join(F.broadcast(edge), [*part, bucket])  # a row for each partial leaf and epoch
+    upto = inside.withColumn(upto_here, F.col(before) + F.sum("n_tokens").over(Window.partitionBy(*part).orderBy(piece)))
+    last = upto.groupBy(*part, bucket).agg(F.max(F.when(F.col(upto_here) <= F.col(take), F.col(piece))).alias(end))
     ends = plans.join(last, part, "left")
     chosen = df.join(F.broadcast(ends), names)
     chosen = chosen.filter(
-        (F.col("_take") >= F.col("leaf_tokens"))
-        | (F.shiftright(seeded, 64 - BUCKET_BITS) < F.col("_bucket"))
-        | (F.col("_last").isNotNull() & (place <= F.col("_last")))
+        (F.col(take) >= F.col("leaf_tokens"))
+        | (F.shiftright(seeded, 64 - BUCKET_BITS) < F.col(bucket))
+        | (F.col(end).isNotNull() & (place <= F.col(end)))
     )
-    return chosen.withColumn("domain", F.col("_l0")).drop(*names, "_t", "_take", "_bucket", "_last")
+    return chosen.withColumn("domain", F.col(names[0])).drop(*names, t, take, bucket, end)
+
+
+def shares(mixed: DataFrame, weight: Callable[[int, str], float] = weights) -> DataFrame:
+    """domain, lang, source, tokens, taken_share, target_share of every node of the tree (null below the node's level): shares among the
+    siblings that the mix has. A row for each node."""
+    leaf = mixed.select("domain", *(F.coalesce(F.col(x).cast("string"), F.lit("?")).alias(x) for x in LEVELS[1:]), "n_tokens").groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    out = None
+    for depth in range(len(LEVELS)):
+        own, above = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
+        name = F.col(LEVELS[depth])
+        rule = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}.get(LEVELS[depth], {}) if weight is weights else {}
+        w = F.lit(weight(depth, ""))
+        for k, v in rule.items():
+            w = F.when(name == k, F.lit(v)).otherwise(w)
+        level = leaf.groupBy(*own).agg(F.sum("tokens").alias("tokens"))
+        siblings = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))  # of a node: domains are few
+        level = level.withColumns({"taken_share": F.col("tokens") / F.sum("tokens").over(siblings), "target_share": w / F.sum(w).over(siblings)})
+        level = level.select(*own, *(F.lit(None).cast("string").alias(x) for x in LEVELS[depth + 1 :]), "tokens", "taken_share", "target_share")
+        out = level if out is None else out.unionByName(level)
+    return out

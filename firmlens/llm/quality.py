@@ -7,7 +7,10 @@ conditional expression.
 
 Defined results: a null or empty text has no words, so it fails the base rule; without labels of
 both classes the list is empty and keeps what passes the base; repeated rows are judged each for
-itself; other columns of the input are kept.
+itself, and a labelled id that several rows share teaches once, by the row with the least hash of its text; very long texts are judged whole,
+as arrays of 64-bit numbers; of rules that cover a row the first decides, and among equal gains the first feature and threshold in order is
+taken; an empty table gives an empty result; other columns of the input are kept, and those with the names of statistics or verdicts are
+replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import WS, WS_CLASS
+from firmlens.llm.common import WS, WS_CLASS, fresh
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -31,37 +34,45 @@ FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_sh
 
 def stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_digits,
-    n_distinct and n_ends. Repeated 5-word windows are found by their 64-bit hashes within one text;
-    the sort is only made for texts in which a hash recurs."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    n_distinct and n_ends. Each word is hashed once to 64 bits; repeated 5-word windows are found by the hashes of their words'
+    hashes within one text, and the sort is only made for texts in which a window recurs."""
+    t, words, lines, word_hash, windows, recurs, order, places = fresh(docs, "t", "words", "lines", "word_hash", "windows", "recurs", "order", "places")
     n_chars = lambda c: F.char_length(c).cast("long")
-    df = docs.withColumn("_t", t).withColumns(
+    without = lambda chars: n_chars(F.col(t)) - n_chars(F.translate(t, chars, ""))
+    df = docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumns(
         {
-            "_w": F.filter(F.split("_t", WS_CLASS), lambda x: x != ""),
-            "_lines": F.filter(F.split("_t", "\n"), lambda x: F.translate(x, WS, "") != ""),
-            "word_chars": n_chars(F.translate("_t", WS, "")),
-            "n_symbols": n_chars(F.col("_t")) - n_chars(F.translate("_t", SYMBOLS, "")),
-            "n_digits": n_chars(F.col("_t")) - n_chars(F.translate("_t", "0123456789", "")),
-            "n_ends": n_chars(F.col("_t")) - n_chars(F.translate("_t", ".!?", "")),
+            words: F.filter(F.split(t, WS_CLASS), lambda x: x != ""),
+            lines: F.filter(F.split(t, "\n"), lambda x: F.translate(x, WS, "") != ""),
+            "word_chars": n_chars(F.translate(t, WS, "")),
+            "n_symbols": without(SYMBOLS),
+            "n_digits": without("0123456789"),
+            "n_ends": without(".!?"),
         }
     )
     df = df.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_distinct": F.size(F.array_distinct("_w")).cast("long"),
-            "_h": F.when(F.size("_w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")),
+            "n_words": F.size(words).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            word_hash: F.transform(words, lambda x: F.xxhash64(x)),
         }
-    ).drop("_w", "_lines", "_t")
-    df = df.withColumn("_recurs", F.size(F.array_distinct("_h")) < F.size("_h"))
-    df = df.withColumn("_s", F.when(F.col("_recurs"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    s = F.col("_s")
-    df = df.withColumn("_p", F.sort_array(F.transform(F.filter(s, lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False))), lambda x: x["i"])))
-    p = F.col("_p")
+    ).drop(words, lines, t)
+    window = lambda i: F.xxhash64(*(F.get(F.col(word_hash), i + k) for k in range(WINDOW)))
+    df = df.withColumns(
+        {
+            "n_distinct": F.size(F.array_distinct(word_hash)).cast("long"),
+            windows: F.when(F.size(word_hash) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(word_hash) - WINDOW), window)).otherwise(F.array().cast("array<bigint>")),
+        }
+    ).drop(word_hash)
+    df = df.withColumn(recurs, F.size(F.array_distinct(windows)) < F.size(windows))
+    df = df.withColumn(order, F.when(F.col(recurs), F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    s = F.col(order)
+    same = lambda x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
+    df = df.withColumn(places, F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
+    p = F.col(places)
     steps = F.transform(p, lambda x, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), x - F.get(p, k - 1))).cast("long"))
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")))
-    return df.drop("_h", "_recurs", "_s", "_p")
+    return df.drop(windows, recurs, order, places)
 
 
 def base_failed() -> Column:
@@ -156,7 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, bad: Column | None = None, max_train
     base rule rejects teach nothing and are left out."""
     bad = F.col("quality") == 0 if bad is None else bad
     picked = labels.filter("doc_id IS NOT NULL").select("doc_id", bad.alias("_bad")).filter("_bad IS NOT NULL").orderBy(F.xxhash64("doc_id"), "_bad").limit(max_train)
-    df = stats(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+    # one row for each id, so that no more than max_train reach the driver: the one with the least hash of its text
+    of = docs.select("doc_id", "text").join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").groupBy("doc_id", "_bad").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    df = stats(of)
     # the rows are few; a filter here would be pushed below the projections and repeat their work
     got = df.select("doc_id", "_bad", base_failed().alias("_failed"), *(c.alias(f"f_{k}") for k, c in features().items())).collect()
     got = [r for r in got if not r["_failed"]]

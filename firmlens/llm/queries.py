@@ -50,7 +50,7 @@ def op6_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, max_epochs=2).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "leaf_tokens", "leaf_budget")
+    return mixing.mix(docs, None, max_epochs=2).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "leaf_tokens", "leaf_budget")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

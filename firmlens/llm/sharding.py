@@ -6,9 +6,9 @@ versioned table: rebalancing or adding a shard edits the map and appends a versi
 the rows of edited slots move.
 
 Defined results: a null text has 0 bytes and the checksum of the empty string; a null key hashes
-like any other value; repeated rows share a slot and get different positions; an empty table
-gives an empty result and a map that deals the empty slots out evenly; columns of the input that
-clash with the names added here are replaced by them.
+like any other value; repeated rows share a slot and get different positions; rows are numbered by id, checksum and size; a very
+long text is one record of one slot; an empty table gives an empty result and a map that deals the empty slots out evenly; columns of the
+input that clash with the names added here are replaced by them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-N_SLOTS = 4096
+from firmlens.llm.common import fresh
+
+N_SLOTS = 16384
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,8 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(int(version), int(rows[0]["n_shards"]), tuple(int(r["shard"]) for r in rows))
 
 
-def with_sizes(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
+def with_sizes(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "text"), text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
+    """Adds size, text_crc32 and vslot. The text is a part of the slot's key, so that an id or a null which many rows share has many slots."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.withColumns({"size": (F.octet_length(body) + 1).cast("long"), "text_crc32": F.crc32(body), "vslot": slot_of([F.col(k) for k in keys], n_slots)})
 
@@ -128,12 +131,13 @@ def place(df: DataFrame, m: SlotMap, sizes: list[tuple[int, int, int]], order: t
         nxt[k] += n.get(s, 0)
     side = df.sparkSession.createDataFrame(rows, "vslot int, shard int, slot_base long")
     w = Window.partitionBy("vslot").orderBy(*order)
+    base, number = fresh(df, "slot_base", "in_slot")
     return (
-        df.drop("shard", "slot", "slot_base")
-        .withColumn("_in_slot", F.row_number().over(w) - 1)
-        .join(F.broadcast(side), "vslot")
-        .withColumn("slot", (F.col("slot_base") + F.col("_in_slot")).cast("long"))
-        .drop("_in_slot", "slot_base")
+        df.drop("shard", "slot")
+        .withColumn(number, F.row_number().over(w) - 1)
+        .join(F.broadcast(side.withColumnRenamed("slot_base", base)), "vslot")
+        .withColumn("slot", (F.col(base) + F.col(number)).cast("long"))
+        .drop(number, base)
     )
 
 
@@ -145,4 +149,5 @@ def shard(docs: DataFrame, n_shards: int = 8, map_path: str | None = None, n_slo
     m = build_map(sizes, n_shards, n_slots)
     if map_path:
         save_map(docs.sparkSession, m, map_path)
+        m = load_map(docs.sparkSession, map_path, m.version)  # what was stored decides
     return place(sized, m, sizes)

@@ -257,6 +257,7 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 def _cut_long(texts: pa.Array) -> tuple[pa.Array, np.ndarray | None]:
     """Texts of over `PIECE_CHARS` bytes in their pieces, and where each text's pieces begin; None if there are none."""
+    texts = texts.cast(pa.string())
     if not len(texts) or pc.max(pc.binary_length(texts)).as_py() <= PIECE_CHARS:
         return texts, None
     parts = [list(pieces(t, PIECE_CHARS // 4)) for t in texts.to_pylist()]

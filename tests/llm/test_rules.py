@@ -2,11 +2,13 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
 from firmlens.llm import mixing, quality, sharding, urlrules
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -39,6 +41,22 @@ def test_stats(spark):
     assert quality.judge(df.limit(0), []).count() == 0
 
 
+def brute_features(t):
+    n, chars, symbols, dup, repeat = brute_stats(t)
+    w, one = WORD.findall(t), max(n, 1)
+    lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    count = lambda some: sum(c in some for c in t) / one
+    return {"n_words": n, "mean_word": chars / one, "symbol_share": symbols / one, "dup_line_share": dup / max(lines, 1), "repeat_share": repeat / one, "digit_share": count("0123456789"), "distinct_share": len(set(w)) / one, "end_share": count(".!?")}
+
+
+def test_clashing_names(spark):
+    cols = "_t _words _lines _word_hash _windows _recurs _order _places _level0 _take _bucket _place _last _before _sum _n _in_slot _slot_base".split()
+    df = spark.createDataFrame([(1, "a b c " * 5, "en", "src0", *cols)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in cols))
+    for out in (quality.judge(df, []), mixing.mix(df, None), sharding.shard(df, 2)):
+        row = out.first()
+        assert [row[c] for c in cols] == cols
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     out = []
@@ -57,6 +75,13 @@ def test_learned_list(spark):
     got = {r["doc_id"]: (r["kept"], r["rule"]) for r in quality.judge(spark.createDataFrame(test, "doc_id long, text string, quality int"), rules).collect()}
     assert sum(got[k][0] == bool(q) for k, _, q in test) / len(test) > 0.97  # held-out accuracy
     assert all(kept == (rule == 0) for kept, rule in got.values())
+    # every verdict is that of the first rule that holds, on features computed by hand
+    for k, t, _ in test:
+        x = brute_features(t)
+        assert got[k][1] == next((i for i, r in enumerate(rules, 1) if r.holds(x)), 0)
+    # an id that several rows share teaches once
+    twice = train.drop("quality").unionByName(train.drop("quality"))
+    assert quality.fit(twice, train.select("doc_id", "quality")) == rules
     assert quality.fit(train.drop("quality"), train.select("doc_id", "quality").limit(0)) == []
 
 
@@ -92,6 +117,12 @@ def test_shards(spark, tmp_path):
     for r in got:
         by[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    # sizes, checksums and positions by hand: within a slot by id (null first), checksum and size, slots of a shard in order
+    data = lambda r: (r["text"] or "").encode()
+    assert all(r["size"] == len(data(r)) + 1 and r["text_crc32"] == zlib.crc32(data(r)) for r in got)
+    for k in by:
+        order = [(r["vslot"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]) for r in sorted((r for r in got if r["shard"] == k), key=lambda r: r["slot"])]
+        assert order == sorted(order)
     one = sharding.load_map(spark, path)
     assert one.version == 1 and all(one.shard_of[r["vslot"]] == r["shard"] for r in got)
     sizes = sharding.slot_sizes(sharding.with_sizes(df, n_slots=256))
@@ -100,6 +131,9 @@ def test_shards(spark, tmp_path):
     assert sharding.load_map(spark, path) == grown and sharding.load_map(spark, path, 1) == one
     moved = [(a, b) for a, b in zip(one.shard_of, grown.shard_of) if a != b]
     assert moved and all(b == 8 for _, b in moved)
+    # one id or null that many rows share lies in many slots
+    hot = spark.createDataFrame([(None, f"text {i}") for i in range(300)], "doc_id long, text string")
+    assert sharding.with_sizes(hot, n_slots=256).select("vslot").distinct().count() > 100
     less = sharding.rebalance(one, sizes, 7)
     assert max(less.shard_of) == 6
     assert sharding.shard(df.limit(0), 8).count() == 0
@@ -162,7 +196,111 @@ def test_mix(spark, monkeypatch, bits):
         assert sorted((str(r["doc_id"]), r["epoch"]) for r in got) == sorted((str(r["doc_id"]), r["epoch"]) for r in again)
         if budget == 2000.0:
             assert 1500 < sum(r["n_tokens"] for r in got) <= 2000
-    assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mix(df.limit(0), None).count() == 0
+
+
+def brute_budgets(leaves, budget, weight, epochs):
+    """leaves: {path: tokens}. Water is poured into the tree until the budget is gone: parts by weight, what is full drops out."""
+    def pour(prefix, amount):
+        depth = len(prefix)
+        under = lambda p: sum(n * epochs for k, n in leaves.items() if k[: len(p)] == p)
+        if prefix in leaves:
+            return {prefix: min(amount, under(prefix))}
+        names = sorted({k[depth] for k in leaves if k[:depth] == prefix})
+        got, open_, left = {}, set(names), min(amount, under(prefix))
+        while open_ and left > 1e-9:
+            total = sum(weight(depth, n) for n in open_)
+            full = {n for n in open_ if left * weight(depth, n) / total >= under((*prefix, n)) - 1e-9}
+            for n in full or open_:
+                got[n] = under((*prefix, n)) if full else left * weight(depth, n) / total
+            if not full:
+                break
+            left -= sum(got[n] for n in full)
+            open_ -= full
+        out = {}
+        for n in names:
+            out |= pour((*prefix, n), got.get(n, 0.0))
+        return out
+
+    return pour((), budget)
+
+
+def test_mix_by_hand(spark):
+    """Budgets of the whole tree and the prefix of every leaf, recomputed."""
+    rng = random.Random(15)
+    rows = [(i, "w " * rng.randint(0, 40), rng.choice(["en", "en", "de", "fr"]), f"src{rng.choice([0, 0, 0, 0, 1, 2, 3, 5])}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for budget, epochs in ((3000.0, 1), (9000.0, 3), (None, 2)):
+        docs = [(r["doc_id"], r["text"].count("w"), (("web", "books", "forum", "code")[int(r["source"][3:]) % 4], r["lang"], r["source"]), [r[f"h{e}"] for e in range(epochs)]) for r in df.select("*", *(F.xxhash64(F.lit(7), F.lit(e), "doc_id", F.xxhash64("text")).alias(f"h{e}") for e in range(epochs))).collect()]
+        leaves = Counter()
+        for _, n, path, _ in docs:
+            leaves[path] += n
+        if budget is None:
+            domains = Counter()
+            for p, n in leaves.items():
+                domains[p[0]] += n * epochs
+            total = sum(mixing.weights(0, k) for k in domains)
+            budget = min(n * total / mixing.weights(0, k) for k, n in domains.items())
+            args = {"budget": None}
+        else:
+            args = {"budget": budget}
+        budgets = brute_budgets(dict(leaves), budget, mixing.weights, epochs)
+        want = []
+        for path, b in budgets.items():
+            left = int(b + 1e-6)
+            for e in range(epochs):
+                take = min(left, leaves[path])
+                if take <= 0 and not (e == 0 and leaves[path] == 0):
+                    break
+                left -= take
+                at = 0
+                for k, n, _, h in sorted((d for d in docs if d[2] == path), key=lambda d: (d[3][e], d[0])):
+                    at += n
+                    if take < leaves[path] and at > take:
+                        break
+                    want.append((k, e))
+        mixed = mixing.mix(df, **args, max_epochs=epochs)
+        assert sorted((r["doc_id"], r["epoch"]) for r in mixed.collect()) == sorted(want)
+        got = mixing.shares(mixed).collect()
+        tops = {r["domain"]: r for r in got if r["lang"] is None}
+        assert sum(r["taken_share"] for r in tops.values()) == pytest.approx(1) and tops["web"]["target_share"] == pytest.approx(0.4)
+        if args["budget"] is None:  # every domain can give its share, so each has it but for a document in each leaf and epoch
+            assert all(abs(r["taken_share"] - r["target_share"]) < 0.1 for r in tops.values())
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, tmp_path, name):
+    """Empty tables, ties, repeated rows, nulls and clashing columns: a defined result in each stage."""
+    stage, d = dict(corpus_pipeline.STAGES)[name], str(tmp_path)
+    say = "some plain words of a text that is long enough to be kept by the base rule, number"
+    rows = [(1, f"{say} one.", "en", "src0", 1), (1, f"{say} one.", "en", "src0", 1), (1, f"{say} two and more of it.", "de", "src1", 1), (None, f"{say} none at all here.", None, None, None), (2, None, "en", "src0", 0), (3, "", "en", "src2", 0)]
+    names = "_key _hash _node _null _t kept rule vslot epoch domain".split()
+    docs = spark.createDataFrame([(*r, *names) for r in rows], DOCS + ", " + ", ".join(f"{c} string" for c in names))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    assert stage(spark, docs.limit(0), d).count() == 0
+    out = stage(spark, docs, d)
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    got = sorted(map(key, out.collect()))
+    every = sorted((str(r[0]), str(r[1])) for r in rows)
+    if name == "quality_rules":
+        assert got == [k for k in every if len(k[1]) > 10]
+    elif name == "near_duplicates":
+        assert got == sorted({k for k in every if k != ("3", "")})  # equal rows are one; null and empty texts are one class, whose least id stays
+    elif name == "decontamination":
+        assert got == every
+    elif name == "mixture":
+        assert set(got) <= set(every)
+    else:
+        slots = sorted((r["shard"], r["slot"]) for r in out.collect())
+        assert got == every and slots == [(k, i) for k in range(8) for i in range(sum(s == k for s, _ in slots))]
+    extra = {"shards": {"vslot"}}.get(name, set())
+    assert out.columns[: len(docs.columns)] == docs.columns or set(docs.columns) <= set(out.columns)
+    row = out.first()
+    assert all(row[c] == c for c in names if c not in extra)
 
 
 def test_pipeline(spark, tmp_path):
