@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.functions import dates, names, text, tiers, urls
+from firmlens.functions import dates, dims, names, text, tiers, urls
 from firmlens.operators import explore, jobs, match
-from firmlens.plans.columns import _H, _VISIBLE, links
+from firmlens.plans.columns import _H, _VISIBLE
+from firmlens.plans.firms import DATED, SCORED
 from firmlens.plans.fixtures import AS_OF, view, with_views
 from firmlens.plans.registry import query
 from firmlens.sources import export, firm_list
@@ -118,6 +119,20 @@ def export_sheets(spark, d) -> DataFrame:
     return reduce(DataFrame.unionByName, (_rows(sheet, *t[table], _fields(sheet)) for sheet, (table, _, _) in _FULL.items()))
 
 
+_TEMPLATE = {"firms": ("firms", _FIRM_SQL, "firm_id"), "team": ("members", _MEMBER_SQL, "member_id"), "portfolio": ("s", _COMPANY_SQL | {"recency_category": "recency_category"}, "company_id")}
+_template_rows = lambda t, n, labels: f"SELECT '{t}' AS template, '{n}' AS sheet, {_TEMPLATE[n][2]} AS row_id, CAST({_sql_cells(_TEMPLATE[n][1], list(labels.items()))} AS VARCHAR) AS cells FROM {_TEMPLATE[n][0]}"
+
+
+@query(f"{with_views('firms', 'members', 'portfolio')}, {DATED}, {SCORED} " + " UNION ALL ".join(_template_rows(t, n, labels) for t, sheets in dims.TEMPLATE_SHEETS.items() for n, labels in sheets.items()))
+def template_sheets(spark, d) -> DataFrame:
+    """The rows of each sheet of the 8 templates, under that template's labels."""
+    tables = _sheets(spark, d)
+    p, key = tables["portfolio"]
+    of = {"firms": tables["firms"], "team": tables["members"], "portfolio": (p.withColumn("recency_category", dates.recency_category(F.col("investment_date"), F.lit(AS_OF).cast("date"))), key)}
+    rows = (_rows(n, *of[n], list(labels.items())).select(F.lit(t).alias("template"), "sheet", "row_id", "cells") for t, sheets in dims.TEMPLATE_SHEETS.items() for n, labels in sheets.items())
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query(f"WITH v AS (SELECT page_id, url, length({_VISIBLE}) AS n FROM pages), m AS (SELECT *, CASE WHEN contains(url, '/team') OR contains(url, '/people') OR contains(url, '/about') THEN 1000 ELSE 100 END AS least FROM v) SELECT page_id, least, n >= least AS enough FROM m")
 def enough_content(spark, d) -> DataFrame:
     """Pages of people need 1000 visible characters, others 100."""

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.functions import dates, dims, names, text, tiers, urls
-from firmlens.operators import aggregate, dedupe, explore, match, pages
+from firmlens.functions import dims, names, text, urls
+from firmlens.operators import dedupe, explore, match, pages
 from firmlens.operators.shared import cut
 from firmlens.plans.columns import _ABS, _ABSOLUTE, _CAT, _H, _KEY, _LINKS, _O, _P, _VISIBLE, links
-from firmlens.plans.fixtures import AS_OF, view, with_views
+from firmlens.plans.fixtures import view, with_views
 from firmlens.plans.registry import query
 from firmlens.sources import export, firm_list
 
@@ -251,21 +249,6 @@ def registry_attributes(spark, d) -> DataFrame:
     return match.registry_attributes(view(spark, d, "firms"), {"status": of("processed", "company_name", "status"), "title": of("members", "vc_firm", "title"), "company": of("portfolio", "vc_firm", "portfolio_company")})
 
 
-@query()
-def template_sheets(spark, d) -> DataFrame:
-    """The rows of each sheet of the 8 templates, under that template's labels; compared in tests."""
-    m = view(spark, d, "members").withColumn("decision_maker_tier", tiers.tier(F.col("title")))
-    p = view(spark, d, "portfolio").withColumn("recency_category", dates.recency_category(F.col("investment_date"), F.lit(AS_OF).cast("date")))
-    tables = {"firms": (view(spark, d, "firms"), "firm_id"), "team": (m, "member_id"), "portfolio": (p, "company_id")}
-    out = []
-    for template, sheets in dims.TEMPLATE_SHEETS.items():
-        for name, labels in sheets.items():
-            df, key = tables[name]
-            cells = export.sheet(df.withColumnRenamed(key, "_key"), labels | {"_key": "_key"})
-            out.append(cells.select(F.lit(template).alias("template"), F.lit(name).alias("sheet"), F.col("_key").cast("long").alias("row_id"), F.to_json(F.struct(*(F.col(f"`{l}`") for l in labels.values()))).alias("cells")))
-    return reduce(DataFrame.unionByName, out)
-
-
 @query(f"{with_views('firms')}, w(list, place, path) AS (VALUES {', '.join(f'({n!r}, {i}, {p!r})' for n, l in dims.PATH_LISTS.items() for i, p in enumerate(l, 1))}) SELECT firm_id, list, place, regexp_extract(website_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || path AS url FROM firms, w WHERE website_url LIKE 'http%'")
 def generated_urls(spark, d) -> DataFrame:
     """The URLs of all five lists of paths, on the origin of each firm's site."""

@@ -77,7 +77,7 @@ def test_pagination_links(spark):
 def test_templates_and_path_lists(spark):
     assert [len(dims.PATH_LISTS[k]) for k in ("waterfall", "standard", "portfolio", "team", "team_fallback")] == [12, 14, 17, 10, 13]
     assert len(dims.TEMPLATE_SHEETS) == 8
-    rows = records.template_sheets(spark, SF).collect()
+    rows = QUERIES["template_sheets"](spark, SF).collect()
     n = {"firms": view(spark, SF, "firms").count(), "team": view(spark, SF, "members").count(), "portfolio": view(spark, SF, "portfolio").count()}
     assert len(rows) == sum(n[s] for sheets in dims.TEMPLATE_SHEETS.values() for s in sheets)
     members = {r["member_id"]: r for r in view(spark, SF, "members").collect()}
