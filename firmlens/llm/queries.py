@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import decontaminate, idfile, lshforest, mixing, pii, quality, sharding, suffixes, tokens, urlrules
+from firmlens.llm import bpe, decontaminate, idfile, lshforest, mixing, pii, quality, sharding, suffixes, tokens, urlrules
 from firmlens.llm.common import new_path, table
 
 
@@ -66,6 +66,10 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op13_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
