@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import bpe, decontaminate, idfile, lshforest, mixing, pii, quality, sharding, suffixes, tokens, urlrules
+from firmlens.llm import bpe, decontaminate, idfile, lshforest, mixing, pii, quality, resample, sharding, suffixes, tokens, urlrules
 from firmlens.llm.common import new_path, table
 
 
@@ -66,6 +66,10 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op12_batch_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -93,5 +97,22 @@ def _op9_sql() -> str:
         SELECT page_id, h AS host, p AS path, rule, m AS matched, {verdict} AS verdict FROM s"""
 
 
+#: The words, buckets (CRC-32 from its polynomial), gains, weights, noise and ranks of op12, stated anew.
+_OP12_SQL = r"""
+    WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+    d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+    b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM benchmark),
+    dw AS (SELECT r, unnest(ws) AS w FROM d),
+    v AS (SELECT w, hex(w) AS x FROM (SELECT w FROM dw UNION SELECT w FROM b)),
+    vb AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1]))) % 10000 AS k FROM v, crc),
+    s AS (SELECT k, count(*) AS n FROM dw JOIN vb USING (w) GROUP BY k), t AS (SELECT k, count(*) AS n FROM b JOIN vb USING (w) GROUP BY k),
+    g AS (SELECT k, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT count(*) FROM dw) + 10000) AS DOUBLE) / CAST((coalesce(s.n, 0) + 1) * ((SELECT count(*) FROM b) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (k)),
+    m AS (SELECT r, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM dw JOIN vb USING (w) JOIN g USING (k) GROUP BY r),
+    q AS (SELECT d.r, doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m USING (r)),
+    o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM q WHERE n_features >= 20)
+    SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM o) THEN rank END AS rank FROM q LEFT JOIN o USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_rules": _op9_sql()}
+    return {"op9_url_rules": _op9_sql(), "op12_batch_resample": _OP12_SQL}
