@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.llm import bpe, decontaminate, idfile, lshforest, mixing, pii, quality, resample, sharding, suffixes, tokens, urlrules
+from firmlens.llm import bpe, decontaminate, idfile, lshforest, mixing, nsimplex, pii, quality, resample, sharding, suffixes, tokens, urlrules
 from firmlens.llm.common import new_path, table
 
 
@@ -66,6 +66,10 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op11_nsimplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nsimplex.cluster(table(spark, sf_dir, "embeddings")).drop("n_exact")  # a count of the filter, which SQL has no place for
+
+
 def op12_batch_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -97,6 +101,30 @@ def _op9_sql() -> str:
         SELECT page_id, h AS host, p AS path, rule, m AS matched, {verdict} AS verdict FROM s"""
 
 
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds with every distance taken."""
+    out = f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda e: coalesce(isfinite(e), false)))),
+        c0 AS MATERIALIZED (SELECT c, x FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v) WHERE c < {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+        a{i} AS MATERIALIZED (SELECT v.r, min(CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT) * {k} + c.c) AS m FROM v, c{i} c GROUP BY v.r)"""
+        if i < rounds:
+            out += f""",
+        s{i} AS (SELECT c, list(floor(CAST(s AS DOUBLE) / n)::BIGINT ORDER BY i) AS x FROM (SELECT c, i, sum(y) AS s, count(*) AS n FROM (
+            SELECT m % {k} AS c, generate_subscripts(x, 1) AS i, unnest(x) AS y FROM a{i} JOIN v USING (r)) GROUP BY c, i) GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(s.x, c.x) AS x FROM c{i} c LEFT JOIN s{i} s USING (c))"""
+    return (
+        out
+        + f"""
+        SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, m // {k} AS distance, CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+               CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (r) JOIN c{rounds} c ON c.c = m % {k}"""
+    )
+
+
 #: The words, buckets (CRC-32 from its polynomial), gains, weights, noise and ranks of op12, stated anew.
 _OP12_SQL = r"""
     WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
@@ -115,4 +143,4 @@ _OP12_SQL = r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_rules": _op9_sql(), "op12_batch_resample": _OP12_SQL}
+    return {"op9_url_rules": _op9_sql(), "op11_nsimplex_clusters": _op11_sql(), "op12_batch_resample": _OP12_SQL}
