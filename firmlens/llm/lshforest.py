@@ -13,8 +13,13 @@ p(s) that one of the tries shows a common prefix, so each link found stands for
 until the recall reaches `TARGET_RECALL` in every band of similarity; a link at the threshold itself is added to the lowest
 band as a guard, so that links which are too rare to be seen count as well.
 
-Large groups are dealt to tasks as pairs of blocks, each pair of blocks in one task, so that a group of any size is spread
-and every pair in it is met; only counts and spanning edges leave a task, never all pairs.
+Before that, groups of at least `HEAVY` nodes under one prefix are settled: some members of a group give a leader, the set of shingles that most of them hold;
+leaders that share a prefix join the one with the most nodes; and a node whose similarity with its leader is at least 9/10 belongs to its class. The Jaccard
+distance is a metric, so any two nodes of a class are at most 1/10 + 1/10 apart: they are linked, and no pair within a class is ever compared. Their links are counted from the
+size of the class. The work on a large group of near copies grows with its nodes, not with its pairs.
+
+What is left of large groups is dealt to tasks as pairs of blocks, each pair of blocks in one task, so that a group of any size is spread
+and every pair in it is met; blocks of the same class aren't paired. Only counts and spanning edges leave a task, never all pairs.
 
 Defined results: null or empty texts and texts without words have no links and form a class of equal texts;
 a text with fewer than five words is one shingle; repeated rows are in one class; very long texts make blocks smaller
@@ -26,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.llm.common import cut, fresh, join_counted
@@ -36,10 +41,16 @@ from firmlens.llm.shingles import group_hashes
 WORDS = 5
 NUM, DEN = 4, 5  # similarity of at least 4/5
 TREES = 20
-MAX_DEPTH = 5
+MAX_DEPTH = 8
+#: Prefixes are shortened to these lengths in turn, as far as the recall needs it.
+DEPTHS = (8, 5, 4, 3, 2, 1)
 TARGET_RECALL = 0.9999
 #: A pair whose signatures agree in less than this share is not verified. At a similarity of 0.8 such a signature has a chance of about 1e-7.
-NEAR = 0.58
+NEAR = 0.62
+HEAVY = 64  # nodes under one prefix that are settled
+SETTLE_DEPTH = 5  # of such a prefix
+VOTERS = 33  # about so many members give a group's leader
+SALT_ROWS = 4096  # members that one task compares with a leader, about
 PAIRWISE = 24  # groups up to this size are compared many at a time
 BLOCK = 256  # nodes in a block of a group, at most
 BLOCK_BYTES = 32 << 20  # of shingles in a block, about
@@ -58,7 +69,7 @@ def chance(similarity: float, depth: int) -> float:
 def prefix_depth(target: float | None = None) -> int:
     """The longest prefix whose chance at the threshold itself reaches the target: no shorter one is ever needed."""
     target = TARGET_RECALL if target is None else target
-    return next((d for d in range(MAX_DEPTH, 1, -1) if chance(NUM / DEN, d) >= target), 1)
+    return next((d for d in DEPTHS if chance(NUM / DEN, d) >= target), DEPTHS[-1])
 
 
 def measured_recall(found: dict[int, int], depth: int) -> float:
@@ -78,12 +89,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _seeds() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    draw = lambda: rng.integers(1, 2**63, TREES * MAX_DEPTH, dtype=np.uint64)
+    return draw(), draw() * np.uint64(2) + np.uint64(1)
+
+
+def minhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """16 bits of each MinHash of the sets that begin at `starts`, none empty. A minimum over n hashes is about 2**64 / n, so its leading bits say little
+    for large sets: the bits are taken from a mix of all of it."""
+    out = np.empty((len(starts), TREES * MAX_DEPTH), np.uint16)
+    for k, (seed, mult) in enumerate(zip(*_seeds(), strict=True)):
+        out[:, k] = _mixed(np.minimum.reduceat((hashes ^ seed) * mult, starts)) >> np.uint64(48)
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.py_buffer(rows)])
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, node (hash of the text), n (shingles) and sig (16 bits of each MinHash, trie by trie)."""
-    perms = TREES * MAX_DEPTH
-    rng = np.random.default_rng(20)
-    seeds = rng.integers(1, 2**63, perms, dtype=np.uint64)
-    mult = rng.integers(1, 2**63, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -92,14 +120,10 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 n = len(rows)
                 sizes = np.diff(np.append(starts, len(hashes)))
                 full = np.flatnonzero(sizes)
-                sig = np.zeros((n, perms), np.uint16)
+                sig = np.zeros((n, TREES * MAX_DEPTH), np.uint16)
                 if len(full):
-                    at = starts[full]
-                    for k in range(perms):
-                        sig[full, k] = np.minimum.reduceat((hashes ^ seeds[k]) * mult[k], at) >> np.uint64(48)
-                off = np.arange(n + 1, dtype=np.int32) * 2 * perms
-                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(sig)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, n), b.column(1).slice(rows.start, n), pa.array(sizes.astype(np.int64)), packed], ["k", "node", "n", "sig"])
+                    sig[full] = minhashes(hashes, starts[full])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, n), b.column(1).slice(rows.start, n), pa.array(sizes.astype(np.int64)), _binary(sig)], ["k", "node", "n", "sig"])
 
     return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"k {kind}, node long, n long, sig binary")
 
@@ -110,8 +134,7 @@ def _common_prefixes(batches):
     held = None
 
     def batch(label, node, lcp):
-        off = np.arange(len(node) + 1, dtype=np.int32) * label.shape[1]
-        return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(node), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(label))]), pa.array(node), pa.array(lcp.astype(np.int8))], ["label", "node", "lcp"])
+        return pa.RecordBatch.from_arrays([_binary(label), pa.array(node), pa.array(lcp.astype(np.int8))], ["label", "node", "lcp"])
 
     for b in batches:
         if not b.num_rows:
@@ -129,11 +152,15 @@ def _common_prefixes(batches):
         yield batch(held[0], held[1], np.full(1, MAX_DEPTH))
 
 
+def _labels(depth: int) -> Column:
+    """The label of this length in each trie, from sig."""
+    return F.array(*(F.concat(F.lit(bytes([t])), F.substring("sig", 1 + 2 * MAX_DEPTH * t, 2 * depth)) for t in range(TREES)))
+
+
 def tries(nodes: DataFrame, shortest: int) -> DataFrame:
     """label, node, lcp of the nodes that may share at least the shortest prefix with a neighbour in a trie. nodes: node, n, sig."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels = F.array(*(F.concat(F.lit(bytes([t])), F.substring("sig", 1 + 2 * MAX_DEPTH * t, 2 * MAX_DEPTH)) for t in range(TREES)))
-    rows = nodes.filter("n > 0").select("node", F.explode(labels).alias("label")).select("label", "node")
+    rows = nodes.filter("n > 0").select("node", F.explode(_labels(MAX_DEPTH)).alias("label")).select("label", "node")
     dealt = rows.repartitionByRange(n, "label", "node").sortWithinPartitions("label", "node")
     return dealt.mapInArrow(_common_prefixes, "label binary, node long, lcp byte").filter(F.col("lcp") >= shortest)
 
@@ -209,13 +236,13 @@ def _pairs(new: np.ndarray, size: np.ndarray, side: np.ndarray, pairwise: int):
             yield a[x : x + 50_000], b[x : x + 50_000]
 
 
-def candidates(new, size, side, tree, n, sig, depth: int, pairwise: int = PAIRWISE) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that belong to this trie and depth and whose sizes and signatures don't rule them out."""
+def candidates(new, size, side, tree, lead, n, sig, depth: int, before: int | None, pairwise: int = PAIRWISE) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that belong to this trie and depth, not to one class, and whose sizes and signatures don't rule them out. before: the depth of the last level."""
     here = _prefixes(sig, depth)
-    longer = _prefixes(sig, depth + 1) if depth < MAX_DEPTH else None
+    longer = _prefixes(sig, before) if before else None
     out = [np.zeros((2, 0), np.int64)]
     for a, b in _pairs(new, size, side, pairwise):
-        keep = DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])
+        keep = (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])) & (lead[a] != lead[b])
         a, b = a[keep], b[keep]
         keep = (here[a] == here[b]).argmax(1) == tree[a]  # the first trie in which they meet
         a, b = a[keep], b[keep]
@@ -229,22 +256,22 @@ def candidates(new, size, side, tree, n, sig, depth: int, pairwise: int = PAIRWI
 
 
 def _units(t: pa.Table):
-    """Columns unit, side, tree, node, n, sig as arrays, and where the units begin and how long they are."""
-    unit, side, tree, node, n = (t.column(c).to_numpy().astype(np.int64) for c in range(5))
-    sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint16).reshape(len(unit), -1)
+    """Columns unit, side, tree, node, lead, n, sig as arrays, and where the units begin and how long they are."""
+    unit, side, tree, node, lead, n = (t.column(c).to_numpy().astype(np.int64) for c in range(6))
+    sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(len(unit), -1)
     new = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-    return unit, side, tree, node, n, sig, new, np.diff(np.append(new, len(unit)))
+    return unit, side, tree, node, lead, n, sig, new, np.diff(np.append(new, len(unit)))
 
 
-def _find(depth: int, pairwise: int):
+def _find(depth: int, before: int | None, pairwise: int):
     """Rows in the order of (unit, node). Keeps those with a candidate in their unit."""
 
     def run(batches):
         for t in _groups_of(batches, 1):
-            unit, side, tree, node, n, sig, new, size = _units(t)
-            a, b = candidates(new, size, side, tree, n, sig, depth, pairwise)
+            unit, side, tree, node, lead, n, sig, new, size = _units(t)
+            a, b = candidates(new, size, side, tree, lead, n, sig, depth, before, pairwise)
             at = np.unique(np.concatenate([a, b]))
-            yield pa.RecordBatch.from_arrays([pa.array(unit[at]), pa.array(side[at].astype(np.int8)), pa.array(tree[at].astype(np.int8)), pa.array(node[at])], ["unit", "side", "tree", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit[at]), pa.array(side[at].astype(np.int8)), pa.array(tree[at].astype(np.int8)), pa.array(node[at]), pa.array(lead[at])], ["unit", "side", "tree", "node", "lead"])
 
     return run
 
@@ -279,19 +306,19 @@ def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[np.searchsorted(use, a), np.searchsorted(use, b)].astype(np.int64)
 
 
-def _verify(depth: int, pairwise: int):
+def _verify(depth: int, before: int | None, pairwise: int):
     """Rows in the order of (unit, node), with shingles. Gives node, n_links and low, the smallest node that the node
     reaches within the unit; with no low, links by bin of similarity in place of the node."""
 
     def run(batches):
         for t in _groups_of(batches, 1):
-            _, side, tree, node, n, sig, new, size = _units(t)
-            a, b = candidates(new, size, side, tree, n, sig, depth, pairwise)
+            _, side, tree, node, lead, n, sig, new, size = _units(t)
+            a, b = candidates(new, size, side, tree, lead, n, sig, depth, before, pairwise)
             if not len(a):
                 continue
             by = np.argsort(np.searchsorted(new, a, "right"), kind="stable")
             a, b = a[by], b[by]
-            sets = [np.frombuffer(x, np.uint64) for x in t.column(6).to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(7).to_pylist()]
             part = np.flatnonzero(np.diff(np.searchsorted(new, a, "right"), prepend=-1))
             inter = np.concatenate([_shared(sets, a[i:j], b[i:j]) for i, j in zip(part, np.append(part[1:], len(a)), strict=True)])
             link = (DEN + NUM) * inter >= NUM * (n[a] + n[b])
@@ -310,17 +337,86 @@ def _verify(depth: int, pairwise: int):
     return run
 
 
+def _leaders(batches):
+    """Rows in the order of g: g, shingles. The set of the shingles that more than half of a group's rows hold, and its signature."""
+    for t in _groups_of(batches, 1):
+        g = t.column(0).to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column(1).to_pylist()]
+        for i, j in zip(new := np.flatnonzero(np.append(True, g[1:] != g[:-1])), np.append(new[1:], len(g)), strict=True):
+            values, votes = np.unique(np.concatenate(sets[i:j]), return_counts=True)
+            most = values[2 * votes > j - i]
+            if len(most):
+                yield pa.RecordBatch.from_arrays([pa.array(g[i : i + 1]), pa.array([most.tobytes()], pa.binary()), _binary(minhashes(most, np.zeros(1, np.int64)))], ["g", "shingles", "sig"])
+
+
+def _close(batches):
+    """Rows in the order of (g, salt, is member): a leader's set, then its members' sets. Keeps the members at 9/10 or more."""
+    leader = None
+    for b in batches:
+        keep = []
+        for k, (g, member, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(4), strict=True)):
+            x = np.frombuffer(raw.as_buffer(), np.uint64)
+            if not member:
+                leader = g, x
+            elif leader and leader[0] == g:
+                y = leader[1]
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 19 * both >= 9 * (len(x) + len(y)):
+                    keep.append(k)
+        yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(keep, pa.int64())), b.column(0).take(pa.array(keep, pa.int64()))], ["node", "g"])
+
+
+def settle(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """node, lead (the smallest node of its class), size (of its class) of the nodes that are settled; None if no group is heavy. members: label, node, lcp."""
+    rows = members.filter(F.col("lcp") >= SETTLE_DEPTH).select(F.xxhash64(F.substring("label", 1, 1 + 2 * SETTLE_DEPTH)).alias("g"), "node")
+    heavy = cut(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HEAVY), "heavy")
+    if heavy.isEmpty():
+        return None
+    # each node goes with the largest of its groups, and some of those that do vote for its leader
+    best = join_counted(rows, heavy, "g", "c").groupBy("node").agg(F.max(F.struct("c", "g")).alias("b")).select("node", "b.g")
+    best = cut(best, "best")
+    chosen = cut(best.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "chosen")
+    voters = join_counted(best, chosen, "g", "c").filter(F.pmod(F.xxhash64("node", F.lit("vote")), F.ceil(F.col("c") / VOTERS)) == 0)
+    dealt = voters.join(sets.select("node", "shingles"), "node").select("g", "shingles").repartition("g").sortWithinPartitions("g")
+    leaders = cut(dealt.mapInArrow(_leaders, "g long, shingles binary, sig binary"), "leaders")
+    # a leader joins the one with the most nodes of those that share a prefix with it
+    named = cut(leaders.join(chosen, "g").select("g", "c", F.explode(_labels(SETTLE_DEPTH)).alias("label")), "named")
+    most = named.groupBy("label").agg(F.max(F.struct("c", "g")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = join_counted(named, cut(most, "labels"), "label", "n").groupBy("g").agg(F.max("m").alias("m")).select("g", F.col("m.g").alias("to"))
+    todo = cut(join_counted(best, cut(joined.join(chosen, "g"), "joined"), "g", "c").select("node", F.col("to").alias("g")), "led")
+    parts = cut(todo.groupBy("g").agg(F.count(F.lit(1)).alias("c")).withColumn("salts", F.ceil(F.col("c") / SALT_ROWS).cast("int")), "salts")
+    heads = leaders.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.lit(0).cast("long").alias("node"), "shingles")
+    tails = join_counted(todo, parts, "g", "c").select("g", F.pmod(F.xxhash64("node", "g"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "node").join(sets.select("node", "shingles"), "node")
+    both = heads.unionByName(tails.select(heads.columns)).repartition("g", "salt").sortWithinPartitions("g", "salt", "member")
+    near = cut(both.mapInArrow(_close, "node long, g long"), "close")
+    classes = cut(near.groupBy("g").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "classes")
+    return cut(join_counted(near, classes, "g", "size").select("node", "lead", "size"), "settled")
+
+
 def units(members: DataFrame, depth: int) -> DataFrame:
-    """unit, side, tree, node: the nodes under each prefix of this depth, dealt as pairs of blocks. members: label, node, lcp, n."""
-    rows = members.filter(F.col("lcp") >= depth).select(F.xxhash64(F.substring("label", 1, 1 + 2 * depth)).alias("prefix"), F.conv(F.hex(F.substring("label", 1, 1)), 16, 10).cast("byte").alias("tree"), "node", "n")
-    size = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("words")).filter("c > 1")
-    size = cut(size.select("prefix", "c", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(8 * F.col("words") / BLOCK_BYTES)).cast("int").alias("blocks")), "prefixes")
-    placed = join_counted(rows, size, "prefix", "c").withColumn("own", F.pmod(F.xxhash64("node", "prefix"), F.col("blocks")).cast("int"))
+    """unit, side, tree, node, lead: the nodes under each prefix of this depth, dealt as pairs of blocks. members: label, node, lcp, n, lead.
+    Classes of at least `BLOCK` nodes under a prefix have blocks of their own, which aren't paired with each other."""
+    tree = F.conv(F.hex(F.substring("label", 1, 1)), 16, 10).cast("byte").alias("tree")
+    rows = members.filter(F.col("lcp") >= depth).select(F.xxhash64(F.substring("label", 1, 1 + 2 * depth)).alias("prefix"), tree, "node", "n", "lead")
+    # nodes that aren't settled count together
+    rows = rows.withColumn("part", F.when(F.col("lead").isNull(), F.lit(0)).otherwise(F.col("lead"))).withColumn("at", F.xxhash64("prefix", "part"))
+    found = rows.groupBy("at", "prefix", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("words"))
+    found = found.withColumn("own_class", F.when(F.col("c") >= BLOCK, F.col("part")).otherwise(0))
+    blocks = F.greatest(F.ceil(F.sum("c") / BLOCK), F.ceil(8 * F.sum("words") / BLOCK_BYTES)).cast("int").alias("blocks")
+    groups = found.groupBy("prefix", "own_class").agg(F.sum("c").alias("nodes"), blocks)
+    in_prefix = Window.partitionBy("prefix")
+    groups = groups.select("prefix", "own_class", "blocks", F.sum("blocks").over(in_prefix).cast("int").alias("total"), (F.sum("blocks").over(in_prefix.orderBy("own_class")) - F.col("blocks")).cast("int").alias("lo"), F.sum("nodes").over(in_prefix).alias("all"))
+    groups = groups.filter((F.col("all") > 1) & ((F.col("own_class") == 0) | (F.col("total") > F.col("blocks"))))
+    size = cut(found.join(groups, ["prefix", "own_class"]).select("at", "c", "own_class", "blocks", "total", "lo"), "prefixes")
+    placed = join_counted(rows, size, "at", "c").withColumn("own", F.col("lo") + F.pmod(F.xxhash64("node", "prefix"), F.col("blocks")).cast("int"))
     # each node goes to the unit of its block with every block
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = F.sequence(F.lit(0), F.col("total") - 1)
+    apart = F.filter(others, lambda x: (x < F.col("lo")) | (x >= F.col("lo") + F.col("blocks")))
+    dealt = placed.withColumn("other", F.explode(F.when(F.col("own_class") == 0, others).otherwise(apart)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     # what lies within a block is compared in a unit of its own
-    return dealt.select(F.xxhash64("prefix", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.cast("byte").alias("side"), "tree", "node")
+    unit = F.xxhash64("prefix", F.least("own", "other"), F.greatest("own", "other")).alias("unit")
+    return dealt.select(unit, side.cast("byte").alias("side"), "tree", "node", F.coalesce("lead", "node").alias("lead"))
 
 
 def links(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -331,21 +427,27 @@ def links(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     sets = texts_of(docs, members.select("node").distinct(), text).mapInArrow(_shingle_sets, "node long, shingles binary")
     # from here on n is the number of different shingles
     sets = cut(sets.join(nodes.drop("n"), "node").select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), "sig", "shingles"), "sets")
-    out, seen = None, {}
-    for depth in range(MAX_DEPTH, shortest - 1, -1):
-        todo = units(members, depth).join(sets.select("node", "n", "sig"), "node").select("unit", "side", "tree", "node", "n", "sig")
+    settled, out, seen, before = settle(members, sets), None, {}, None
+    if settled is None:
+        members = members.withColumn("lead", F.lit(None).cast("long"))
+    else:
+        members = cut(members.join(settled.select("node", "lead"), "node", "left"), "members")
+        out = settled.select("node", (F.col("size") - 1).alias("n_links"), F.col("lead").alias("low"))
+    for depth in (d for d in DEPTHS if d >= shortest):
+        todo = units(members, depth).join(sets.select("node", "n", "sig"), "node").select("unit", "side", "tree", "node", "lead", "n", "sig")
         dealt = todo.repartition("unit").sortWithinPartitions("unit", "node")
-        near = cut(dealt.mapInArrow(_find(depth, PAIRWISE), "unit long, side byte, tree byte, node long"), "candidates")
+        near = cut(dealt.mapInArrow(_find(depth, before, PAIRWISE), "unit long, side byte, tree byte, node long, lead long"), "candidates")
         small = near.count() <= BROADCAST_NODES // 4
-        todo = sets.join(F.broadcast(near) if small else near, "node").select("unit", "side", "tree", "node", "n", "sig", "shingles")
+        todo = sets.join(F.broadcast(near) if small else near, "node").select("unit", "side", "tree", "node", "lead", "n", "sig", "shingles")
         dealt = todo.repartition("unit").sortWithinPartitions("unit", "node")
-        got = cut(dealt.mapInArrow(_verify(depth, PAIRWISE), "node long, n_links long, low long"), "links")
+        got = cut(dealt.mapInArrow(_verify(depth, before, PAIRWISE), "node long, n_links long, low long"), "links")
         for r in got.filter("low IS NULL").groupBy("node").agg(F.sum("n_links").alias("n")).collect():  # BINS rows
             seen[r["node"]] = seen.get(r["node"], 0) + r["n"]
         got = got.filter("low IS NOT NULL")
         out = got if out is None else out.unionByName(got)
         if measured_recall(seen, depth) >= TARGET_RECALL:
             break
+        before = depth
     return out
 
 
@@ -386,8 +488,13 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return out.select(F.col("k").alias(key), "node", F.col("_best.k").alias("class_id"), "n_links", "n_copies", first.alias("is_first"))
 
 
+def unordered(kind) -> bool:
+    """Whether values of this type have no order (maps and what holds them)."""
+    return "map<" in kind.simpleString() or kind.simpleString() in ("variant", "interval")
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each class. Rows that are equal in key and text count as one."""
+    """docs without all but one document of each class. Of rows that are equal in key and text the least by all its columns stays."""
     here = fresh(docs, "null", "key", "node")
 
     def ids(k: Column, node: Column) -> list[Column]:
@@ -396,4 +503,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     first = near_classes(docs, key, text).filter("is_first").select(*ids(F.col(key), F.col("node"))).distinct()
     rows = docs.select("*", *ids(F.col(key), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))))
     # whole rows are exchanged once: what drops equal rows deals them out as the join needs them
-    return rows.dropDuplicates(here).join(first, here, "left_semi").select(*docs.columns)
+    order = [F.to_json(F.struct(c)) if unordered(docs.schema[c].dataType) else F.col(f"`{c}`") for c in docs.columns]
+    one = rows.groupBy(*here).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*order)).alias("row"))
+    return one.join(first, here, "left_semi").select("row.*")

@@ -4,6 +4,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 from firmlens.llm import lshforest
+from pyspark.sql import functions as F
 
 
 def shingles(t):
@@ -90,12 +91,12 @@ def test_recall_is_measured_and_shortens_the_prefixes():
 def test_common_prefixes():
     import numpy as np
 
-    labels = [b"\x00" + x for x in (b"aabbccddee", b"aabbccddgg", b"aabbxxddee", b"zzbbccddee")] + [b"\x01" + b"zzbbccddee"] * 2
+    labels = [b"\x00" + x for x in (b"aabbccddeeffgghh", b"aabbccddeeffggii", b"aabbxxddeeffgghh", b"zzbbccddeeffgghh")] + [b"\x01" + b"zzbbccddeeffgghh"] * 2
     t = pa.RecordBatch.from_arrays([pa.array(labels), pa.array(np.arange(6))], ["label", "node"])
     for parts in ([t], [t.slice(0, 3), t.slice(3, 0), t.slice(3)], [t.slice(i, 1) for i in range(6)]):
         got = pa.Table.from_batches(list(lshforest._common_prefixes(parts)))
         # the first and last rows of a partition count as matched
-        assert got.column("lcp").to_pylist() == [5, 4, 2, 0, 5, 5] and got.column("label").to_pylist() == labels
+        assert got.column("lcp").to_pylist() == [8, 7, 2, 0, 8, 8] and got.column("label").to_pylist() == labels
 
 
 def test_recall_against_brute_force(spark):
@@ -131,6 +132,67 @@ def test_a_large_group_loses_no_links(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_signatures_of_long_texts():
+    """Unrelated sets of any size agree in next to no MinHash."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (10, 1000, 1_000_000):
+        hashes = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        a, b = lshforest.minhashes(hashes, np.array([0, n]))
+        assert (a == b).mean() < 0.01
+
+
+def near_copies(n, edits, seed, words=400):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = word()
+        out.append(" ".join(w))
+    return out
+
+
+def test_heavy_groups_are_settled_and_lose_no_links(spark, monkeypatch):
+    for k, v in {"HEAVY": 8, "BLOCK": 11, "PAIRWISE": 4, "VOTERS": 9, "SALT_ROWS": 10}.items():
+        monkeypatch.setattr(lshforest, k, v)
+    texts = near_copies(90, 2, 21) + near_copies(60, 4, 22) + near_copies(30, 9, 23) + near_copies(3, 1, 24)
+    texts += [texts[0] + " " + texts[100]] + near_copies(40, 0, 25)
+    rows = [(7 * k % 1009, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = {}
+    settle = lshforest.settle
+    monkeypatch.setattr(lshforest, "settle", lambda *a: seen.setdefault("got", settle(*a)))
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in lshforest.near_classes(df).collect())
+    assert got == sorted(brute(rows))
+    sizes = {r["lead"]: r["size"] for r in seen["got"].collect()}
+    assert sum(sizes.values()) >= 0.8 * len(set(texts[:150]))  # most of the first two groups, in few classes
+    assert len(sizes) <= 6
+
+
+def test_blocks_of_one_class_are_not_paired(spark, monkeypatch):
+    monkeypatch.setattr(lshforest, "BLOCK", 10)
+    label = bytes(1 + 2 * lshforest.MAX_DEPTH)
+    rows = [(label, k, 8, 5, 0 if k < 500 else None) for k in range(520)]
+    members = spark.createDataFrame([(bytearray(a), *b) for a, *b in rows], "label binary, node long, lcp int, n long, lead long").withColumn("lead", F.col("lead") + 1)
+    got = lshforest.units(members, 4)
+    # 50 blocks of the class meet two of the rest: not 520 rows for each of 52 blocks
+    assert got.count() == 500 * 2 + 20 * 52
+    pairs = Counter(r["unit"] for r in got.collect())
+    assert len(pairs) == 50 * 2 + 3
+
+
+def test_of_equal_rows_the_least_stays(spark):
+    rows = [(1, "a b c d e f", f"src{k}", k) for k in range(4)]
+    for order in (rows, rows[::-1], [rows[2], rows[0], rows[3], rows[1]]):
+        for parts in (1, 2, 4):
+            df = spark.createDataFrame(order, "doc_id long, text string, source string, n int").repartition(parts).withColumn("m", F.create_map(F.lit("x"), F.col("n")))
+            assert [tuple(r)[:4] for r in lshforest.keep_first(df).collect()] == [rows[0]]
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 5, 6, 7, 8)], "doc_id long, text string, _node int, _key int, _null int, __node int")
     assert [tuple(r) for r in lshforest.keep_first(df).collect()] == [(1, "a b c d e f", 1, 2, 3, 4)]
