@@ -4,7 +4,7 @@ import pytest
 from firmlens.functions import dates, names, text, tiers, urls
 from firmlens.operators import dedupe, explore, jobs, match, pages
 from firmlens.plans import records
-from firmlens.sources import export, firm_list
+from firmlens.sources import export, firm_list, store
 from pyspark.sql import functions as F
 
 
@@ -84,9 +84,8 @@ def test_export(spark, tmp_path):
     export.write_sectioned({"A": (df, "id")}, str(tmp_path / "y"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "y")).collect()][:3] == ["=== A ===", "id,s,v", '1,"a,b",NaN']
     for _ in range(2):
-        export.insert_absent(df.select("id", "s"), str(tmp_path / "z"), ["id"], "s")
+        store.insert_absent(df.select("id", "s"), str(tmp_path / "z"), ["id"], "s")
     assert spark.read.parquet(str(tmp_path / "z")).count() == 2
-    assert [r["row_no"] for r in export.number(spark.range(50), "id").orderBy("id").collect()] == list(range(1, 51))
     firms = spark.createDataFrame([(i, f"f{i}") for i in range(9)], "firm_id long, company_name string")
     members = spark.createDataFrame([(1, 3, "n", "t")], "member_id long, firm_id long, name string, title string")
     a, b = (export.sample(firms, members).orderBy("firm_id").collect() for _ in range(2))
