@@ -68,9 +68,21 @@ def profile_matches(spark, d) -> DataFrame:
     return match.profile_of_member(m.select(F.col("firm_id").alias("page_id"), "member_id", "name"), u)
 
 
-@query()
+#: Letters of the first and last part of a name, by page.
+NAMED = r"""nm AS (SELECT firm_id AS page_id, member_id, regexp_replace(p[1], '[^a-z]', '', 'g') AS f, regexp_replace(CASE WHEN len(p) > 1 THEN p[-1] ELSE '' END, '[^a-z]', '', 'g') AS l
+    FROM (SELECT *, list_filter(regexp_split_to_array(trim(lower(trim(name))), '\s+'), lambda x: x <> '') AS p FROM members))"""
+#: The greedy order itself, member after member: u has page_id, url, near, context, seq.
+GREEDY = r"""cand AS MATERIALIZED (SELECT *, CASE WHEN contains(nt, f) AND contains(nt, l) THEN 1 WHEN contains(ct, f) AND contains(ct, l) THEN 2 WHEN contains(slug, f) AND contains(slug, l) THEN 3
+      WHEN l <> '' AND regexp_matches(slug, '^[a-z]-') AND contains(slug, l) AND substr(slug, 1, 1) = substr(f, 1, 1) THEN 4 END AS rank FROM (SELECT nm.*, url, seq, lower(near) AS nt, lower(context) AS ct, lower(regexp_extract(url, '/in/([^/?#]+)', 1)) AS slug FROM nm JOIN u USING (page_id) WHERE f <> '')),
+    l AS MATERIALIZED (SELECT page_id, member_id, row_number() OVER (PARTITION BY page_id ORDER BY member_id) AS i, urls FROM (SELECT page_id, member_id, list(url ORDER BY rank, seq) AS urls FROM cand WHERE rank IS NOT NULL GROUP BY ALL)),
+    r AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS member_id, CAST(NULL AS VARCHAR) AS url FROM l
+      UNION ALL SELECT page_id, i, list_append(taken, pick), member_id, pick FROM (SELECT l.page_id, l.i, r.taken, l.member_id, list_filter(l.urls, lambda x: NOT list_contains(r.taken, x))[1] AS pick FROM r JOIN l ON l.page_id = r.page_id AND l.i = r.i + 1))
+    SELECT r.page_id, r.member_id, r.url, CASE min(rank) WHEN 1 THEN 'High' WHEN 4 THEN 'Low' ELSE 'Medium' END AS confidence FROM r JOIN cand USING (page_id, member_id, url) GROUP BY ALL"""
+
+
+@query(f"""{with_views('members').replace('WITH', 'WITH RECURSIVE')}, {NAMED}, u AS (SELECT firm_id AS page_id, 'https://www.linkedin.com/in/' || regexp_replace(lower(name), '[^a-z]+', '-', 'g') || '-' || member_id AS url, name AS near, name || ' ' || title AS context, member_id AS seq FROM members), {GREEDY}""")
 def assigned_profiles(spark, d) -> DataFrame:
-    """Greedy and one to one within a page; compared in tests."""
+    """Greedy and one to one within a page."""
     m = view(spark, d, "members")
     u = m.select(F.col("firm_id").alias("page_id"), F.concat(F.lit("https://www.linkedin.com/in/"), F.regexp_replace(F.lower("name"), "[^a-z]+", "-"), F.lit("-"), "member_id").alias("url"), F.col("name").alias("near"), F.concat("name", F.lit(" "), "title").alias("context"), F.col("member_id").alias("seq"))
     return match.assign_profiles(m.select(F.col("firm_id").alias("page_id"), "member_id", "name"), u)
@@ -80,10 +92,7 @@ def assigned_profiles(spark, d) -> DataFrame:
     SELECT a.firm_id, a.member_id AS a, b.member_id AS b FROM w a JOIN w b ON a.firm_id = b.firm_id AND a.member_id < b.member_id WHERE a.x = b.x OR (a.f = b.f AND a.l = b.l) OR ((contains(a.x, b.x) OR contains(b.x, a.x)) AND least(length(a.x), length(b.x)) >= 4)""")
 def name_variations(spark, d) -> DataFrame:
     """Members of a firm whose names are variations of each other."""
-    m = view(spark, d, "members").select("firm_id", "member_id", "name")
-    a, b = m.alias("a"), m.alias("b")
-    j = a.join(b, (F.col("a.firm_id") == F.col("b.firm_id")) & (F.col("a.member_id") < F.col("b.member_id")))
-    return j.filter(names.names_match(F.col("a.name"), F.col("b.name"))).select(F.col("a.firm_id").alias("firm_id"), F.col("a.member_id").alias("a"), F.col("b.member_id").alias("b"))
+    return match.name_variations(view(spark, d, "members").select("firm_id", "member_id", "name"))
 
 
 @query(f"{with_views('members')}, e AS (SELECT firm_id, upper(substr(name, 1, 8)) AS employee FROM members) SELECT m.firm_id, m.member_id, e.employee FROM members m JOIN e USING (firm_id) WHERE contains(lower(name), lower(employee)) OR contains(lower(employee), lower(name))")
@@ -93,12 +102,15 @@ def employee_matches(spark, d) -> DataFrame:
     return match.external_employees(m, m.select("firm_id", F.upper(F.substring("name", 1, 8)).alias("employee")))
 
 
-@query(f"{with_views('members', 'portfolio')}, t AS (SELECT p.firm_id, p.company_id, 'Round led by ' || m.name AS text FROM portfolio p JOIN members m ON m.firm_id = p.firm_id AND m.member_id % 10 = p.company_id % 10) SELECT DISTINCT m.firm_id, m.member_id, t.company_id FROM members m JOIN t USING (firm_id) WHERE contains(lower(text), lower(name)) AND (contains(lower(text), 'led') OR contains(lower(text), 'investment'))")
+@query(f"""{with_views('members', 'portfolio')}, t AS (SELECT p.firm_id, p.company_id, CASE p.company_id % 4 WHEN 0 THEN 'Round led by ' WHEN 1 THEN 'An Investment of ' WHEN 2 THEN 'At dinner: ' ELSE 'LED BY ' END || string_agg(m.name, ' and ' ORDER BY m.member_id) AS text
+      FROM portfolio p JOIN members m ON m.firm_id = p.firm_id AND m.member_id % 10 = p.company_id % 10 GROUP BY p.firm_id, p.company_id)
+    SELECT m.firm_id, m.member_id, t.company_id FROM members m JOIN t USING (firm_id) WHERE contains(lower(text), lower(name)) AND (contains(lower(text), 'led') OR contains(lower(text), 'investment'))""")
 def led_investments(spark, d) -> DataFrame:
-    """D17."""
+    """A text for each company names some people of the firm, in one of four ways."""
     m, p = view(spark, d, "members"), view(spark, d, "portfolio")
-    told = p.join(m, (p["firm_id"] == m["firm_id"]) & (m["member_id"] % 10 == p["company_id"] % 10)).select(p["firm_id"], "company_id", F.concat(F.lit("Round led by "), "name").alias("text"))
-    return match.led_investments(m.select("firm_id", "member_id", "name"), told).distinct()
+    told = p.join(m, (p["firm_id"] == m["firm_id"]) & (m["member_id"] % 10 == p["company_id"] % 10)).groupBy(p["firm_id"], "company_id").agg(F.array_sort(F.collect_list(F.struct("member_id", "name"))).alias("x"))
+    start = F.when(F.col("company_id") % 4 == 0, "Round led by ").when(F.col("company_id") % 4 == 1, "An Investment of ").when(F.col("company_id") % 4 == 2, "At dinner: ").otherwise("LED BY ")
+    return match.led_investments(m.select("firm_id", "member_id", "name"), told.select("firm_id", "company_id", F.concat(start, F.array_join("x.name", " and ")).alias("text")))
 
 
 @query(f"""{with_views('members', 'portfolio')}, l AS (SELECT m.member_id AS person, trim(u.x) AS label, p.company_id % 7 AS confidence, p.company_id * 10 + u.i AS seq FROM members m JOIN portfolio p ON m.firm_id = p.firm_id AND m.member_id % 10 = p.company_id % 10 JOIN (SELECT company_id AS cid, unnest(string_split(investment_niche, ',')) AS x, generate_subscripts(string_split(investment_niche, ','), 1) - 1 AS i FROM portfolio) u ON u.cid = p.company_id WHERE trim(u.x) <> ''),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from firmlens.operators import match, pages
 from firmlens.plans import columns
 from firmlens.plans.fixtures import view, with_views
+from firmlens.plans.records import GREEDY, NAMED
 from firmlens.plans.registry import query
 
 
@@ -140,9 +141,14 @@ def team_page_counts(spark, d) -> DataFrame:
     return m.join(n, "page_id", "left").select("page_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-@query()
+_CARD = "name || title || ' of the firm, ' || name || ' has been here for years.' || name || CASE WHEN length(linkedin_url) > 0 THEN 'profile' ELSE '' END || 'group'"
+_SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query(f"""{M.replace('WITH', 'WITH RECURSIVE')}, {NAMED}, w AS (SELECT firm_id, string_agg({_CARD}, chr(10) ORDER BY member_id) AS page FROM members GROUP BY 1),
+    u AS (SELECT firm_id AS page_id, linkedin_url AS url, left({_SQUEEZED.format(_CARD)}, 200) AS near, left({_SQUEEZED.format('page')}, 500) AS context, member_id AS seq FROM members JOIN w USING (firm_id) WHERE length(linkedin_url) > 0), {GREEDY}""")
 def team_assignment(spark, d) -> DataFrame:
-    """D9 over J3: each profile of a team page goes to one member; compared in tests."""
+    """D9 over J3: each profile of a team page goes to one member."""
     m = view(spark, d, "members")
     u = pages.profile_links(team_pages(spark, d)).select("page_id", F.col("link").alias("url"), "near", "context", "seq")
     return match.assign_profiles(m.select(F.col("firm_id").alias("page_id"), "member_id", "name"), u)
