@@ -50,7 +50,7 @@ NEAR = 0.62
 HEAVY = 64  # nodes under one prefix that are settled
 SETTLE_DEPTH = 5  # of such a prefix
 VOTERS = 33  # about so many members give a group's leader
-SALT_ROWS = 4096  # members that one task compares with a leader, about
+SALT_ROWS = 512  # members that one task compares with a leader, about
 PAIRWISE = 24  # groups up to this size are compared many at a time
 BLOCK = 256  # nodes in a block of a group, at most
 BLOCK_BYTES = 32 << 20  # of shingles in a block, about
@@ -373,24 +373,24 @@ def settle(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     if heavy.isEmpty():
         return None
     # each node goes with the largest of its groups, and some of those that do vote for its leader
-    best = join_counted(rows, heavy, "g", "c").groupBy("node").agg(F.max(F.struct("c", "g")).alias("b")).select("node", "b.g")
+    best = rows.join(heavy, "g").groupBy("node").agg(F.max(F.struct("c", "g")).alias("b")).select("node", "b.g")
     best = cut(best, "best")
-    chosen = cut(best.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "chosen")
-    voters = join_counted(best, chosen, "g", "c").filter(F.pmod(F.xxhash64("node", F.lit("vote")), F.ceil(F.col("c") / VOTERS)) == 0)
+    chosen = best.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    voters = best.join(chosen, "g").filter(F.pmod(F.xxhash64("node", F.lit("vote")), F.ceil(F.col("c") / VOTERS)) == 0)
     dealt = voters.join(sets.select("node", "shingles"), "node").select("g", "shingles").repartition("g").sortWithinPartitions("g")
     leaders = cut(dealt.mapInArrow(_leaders, "g long, shingles binary, sig binary"), "leaders")
     # a leader joins the one with the most nodes of those that share a prefix with it
-    named = cut(leaders.join(chosen, "g").select("g", "c", F.explode(_labels(SETTLE_DEPTH)).alias("label")), "named")
-    most = named.groupBy("label").agg(F.max(F.struct("c", "g")).alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = join_counted(named, cut(most, "labels"), "label", "n").groupBy("g").agg(F.max("m").alias("m")).select("g", F.col("m.g").alias("to"))
-    todo = cut(join_counted(best, cut(joined.join(chosen, "g"), "joined"), "g", "c").select("node", F.col("to").alias("g")), "led")
-    parts = cut(todo.groupBy("g").agg(F.count(F.lit(1)).alias("c")).withColumn("salts", F.ceil(F.col("c") / SALT_ROWS).cast("int")), "salts")
+    named = leaders.join(chosen, "g").select("g", "c", F.explode(_labels(SETTLE_DEPTH)).alias("label"))
+    most = named.groupBy("label").agg(F.max(F.struct("c", "g")).alias("m"))
+    joined = named.join(most, "label").groupBy("g").agg(F.max("m").alias("m")).select("g", F.col("m.g").alias("to"))
+    todo = cut(best.join(joined, "g").select("node", F.col("to").alias("g")), "led")
+    parts = todo.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     heads = leaders.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.lit(0).cast("long").alias("node"), "shingles")
-    tails = join_counted(todo, parts, "g", "c").select("g", F.pmod(F.xxhash64("node", "g"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "node").join(sets.select("node", "shingles"), "node")
+    tails = todo.join(parts, "g").select("g", F.pmod(F.xxhash64("node", "g"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "node").join(sets.select("node", "shingles"), "node")
     both = heads.unionByName(tails.select(heads.columns)).repartition("g", "salt").sortWithinPartitions("g", "salt", "member")
     near = cut(both.mapInArrow(_close, "node long, g long"), "close")
-    classes = cut(near.groupBy("g").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "classes")
-    return cut(join_counted(near, classes, "g", "size").select("node", "lead", "size"), "settled")
+    classes = near.groupBy("g").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return near.join(classes, "g").select("node", "lead", "size")
 
 
 def units(members: DataFrame, depth: int) -> DataFrame:
@@ -431,6 +431,7 @@ def links(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     if settled is None:
         members = members.withColumn("lead", F.lit(None).cast("long"))
     else:
+        settled = cut(settled, "settled")
         members = cut(members.join(settled.select("node", "lead"), "node", "left"), "members")
         out = settled.select("node", (F.col("size") - 1).alias("n_links"), F.col("lead").alias("low"))
     for depth in (d for d in DEPTHS if d >= shortest):
