@@ -42,9 +42,22 @@ def title(content: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(content, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
 
 
-def chunk_starts(content: Column, size: int = 15000, overlap: int = 500) -> Column:
+#: What counts as space at the ends of a text (a fixed value).
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def chunks(content: Column, size: int = 15000, overlap: int = 500, least: int = 100) -> Column:
+    """(start_at, chunk) of overlapping chunks; those with fewer than `least` characters between their spaces are left out. A text that fits one chunk is taken whole, however short."""
     n = F.length(content)
-    return F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap)))
+    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap)))
+    parts = F.transform(starts, lambda s: F.struct(s.cast("long").alias("start_at"), F.substr(content, s + 1, F.lit(size)).alias("chunk")))
+    return F.filter(parts, lambda p: (n <= size) | (F.length(F.btrim(p["chunk"], F.lit(SPACES))) >= least))
+
+
+def sections(given: Column, most: int = 15) -> Column:
+    """The first 15 sections of a plan (structs of key, label, desc) with clean keys; a missing label is "Section", and those without key or label go."""
+    clean = F.transform(F.slice(given, 1, most), lambda s: F.struct(section_key(F.coalesce(s["key"], F.lit(""))).alias("key"), F.coalesce(s["label"], F.lit("Section")).alias("label"), F.coalesce(s["desc"], F.lit("")).alias("desc")))
+    return F.filter(clean, lambda s: (s["key"] != "") & (s["label"] != ""))
 
 
 def classed(message: Column, rules: list[tuple[str, str]], otherwise: Column) -> Column:

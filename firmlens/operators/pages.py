@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.functions import urls
+from firmlens.functions import names, urls
+from firmlens.operators.shared import cut
 
 PROFILE = r"https?://(?:[a-z]+\.)?linkedin\.com/in/[A-Za-z0-9_%.-]+"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -19,6 +21,8 @@ NOT_PROFILES = ("/careers", "/jobs", "/contact", "/privacy", "/terms", "/blog",
 COMPANY_WORDS = ("portfolio", "company", "companies", "investment")
 API_PATTERNS = ("/api/team", "/api/people", "/api/members", "/wp-json/wp/v2/team", "/api/v1/team")
 PEOPLE_KEYS = ("data", "team", "people", "members")
+HEADINGS, NAME_CLASSES = ("h1", "h2", "h3", "h4", "h5", "h6"), {"name", "team-member-name"}
+BIO_PATHS, BIO_PAGES = ("/team/", "/people/", "/partner/", "/about/"), 20
 DIRECTORY_HOSTS = ("clutch.co", "crunchbase.com", "f6s.com", "angel.co", "wellfound.com", "producthunt.com")
 
 
@@ -232,18 +236,34 @@ def tab_links(pages: DataFrame) -> DataFrame:
 
 
 def bio_section(pages: DataFrame, people: DataFrame) -> DataFrame:
-    """The block of text that tells of a person: page_id, name, bio. people: page_id, name. A page is read once for all of its people."""
+    """What a page tells of a person: page_id, name, bio. It is the whole text of the nearest div, section or article around the first heading (or element of a
+    class for names) that holds the name, whatever its case. people: page_id, name. A page is read once for all of its people."""
     asked = people.groupBy("page_id").agg(F.to_json(F.array_sort(F.collect_set("name"))).alias("url"))
     named = pages.drop("url").join(asked, "page_id").select("page_id", "url", "html")
 
     def walk(html, asked):
-        blocks = [_squeeze(x["text"]) for x in Walker(html).items if x["tag"] in ("p", "div", "section", "article", "li")]
-        blocks = sorted(((b, b.lower()) for b in blocks), key=lambda b: len(b[0]))
+        import ahocorasick
+
+        open_ = {}  # names that no heading has held yet, by lower case
         for name in json.loads(asked):
-            wanted = _squeeze(name)
-            fit = next((b for b, low in blocks if wanted.lower() in low and len(b) > len(wanted) + 20), None)
-            if fit:
-                yield name, fit[:2000]
+            open_.setdefault(name.lower(), []).append(name)
+        finder = ahocorasick.Automaton()
+        for name in open_:
+            if name:
+                finder.add_word(name, name)
+        if not len(finder):
+            return
+        finder.make_automaton()
+        for x in Walker(html).items:
+            if x["tag"] in HEADINGS or NAME_CLASSES & set(x["attrs"].get("class", "").split()):
+                for low in sorted({n for _, n in finder.iter(x["text"].lower())}):
+                    box = x
+                    while box and box["tag"] not in ("div", "section", "article"):
+                        box = box["up"]
+                    told = _squeeze(box["text"]) if box else ""
+                    for name in open_.pop(low, []):
+                        if told:
+                            yield name, told
 
     return _page_job(named, walk, "name string, bio string").drop("seq")
 
@@ -306,12 +326,16 @@ def own_site(pages: DataFrame) -> DataFrame:
 
 
 def company_profile(pages: DataFrame) -> DataFrame:
-    """The company's LinkedIn page: an anchor, else JSON-LD, else made from the host."""
-    company = r"(https?://(?:[a-z]+\.)?linkedin\.com/company/[A-Za-z0-9_%.-]+)"
-    anchor = F.nullif(F.regexp_extract("html", f'href="{company}', 1), F.lit(""))
-    anywhere = F.nullif(F.regexp_extract("html", company, 1), F.lit(""))
-    slug = F.regexp_replace(urls.registered_domain(F.col("url")), r"\.[a-z]+$", "")
-    return pages.select("page_id", F.coalesce(anchor, anywhere, F.concat(F.lit("https://www.linkedin.com/company/"), slug)).alias("linkedin"), F.when(anchor.isNotNull(), "anchor").when(anywhere.isNotNull(), "content").otherwise("slug").alias("basis"))
+    """The company's LinkedIn page: the first anchor to one, else the first in a sameAs list of structured data, else made from the company's name.
+    pages: page_id, company_name, html."""
+    anchor = F.nullif(F.regexp_extract("html", r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*linkedin\.com/company/[^\"']*)[\"']", 1), F.lit(""))
+    bare = F.regexp_replace(anchor, r"[?#].*$", "")
+    whole = F.when(bare.startswith("//"), F.concat(F.lit("https:"), bare)).when(~bare.startswith("http"), F.concat(F.lit("https://"), bare)).otherwise(bare)
+    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    same = F.transform(scripts, lambda x: F.coalesce(F.try_variant_get(F.try_parse_json(x), "$.sameAs", "array<string>"), F.array().cast("array<string>")))
+    said = F.get(F.filter(F.flatten(same), lambda x: x.contains("linkedin.com/company/")), F.lit(0))
+    made = F.concat(F.lit("https://www.linkedin.com/company/"), names.linkedin_slug(F.col("company_name")))
+    return pages.select("page_id", F.coalesce(whole, said, made).alias("linkedin"), F.when(anchor.isNotNull(), "anchor").when(said.isNotNull(), "structured").otherwise("slug").alias("basis"))
 
 
 def api_endpoints(pages: DataFrame) -> DataFrame:
@@ -336,16 +360,51 @@ def known_directory(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.exists(F.array(*map(F.lit, DIRECTORY_HOSTS)), lambda x: (h == x) | h.endswith(F.concat(F.lit("."), x))).alias("is_directory"))
 
 
+def listing_entries(links: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, name, url, seq, pattern: the entries of a listing. Links under a prefix that is known already (column `known`, or null) if there are any; else those under the
+    commonest path prefix, of equals the first seen, if it has three and 30 percent of the page's own links; else links to other sites if there are three. Names have 2 to 150
+    characters, and links to platforms are none. links: key, url, link, txt, seq, known. pattern: the prefix that was used."""
+    name, link = F.trim("txt"), F.regexp_replace("link", r"[.,;)>]+$", "")
+    x = links.select(key, "url", "seq", "known", name.alias("name"), link.alias("link")).filter((F.length("name") >= 2) & (F.length("name") <= 150))
+    x = cut(x, "named")  # read three times below, and pages are taken apart once
+    x = x.filter(~F.coalesce(urls.skip(F.col("link")), F.lit(True)))
+    own = F.coalesce(urls.host(F.col("link")) == urls.host(F.col("url")), F.lit(False))
+    path = F.regexp_extract("link", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    first = F.nullif(F.regexp_extract(path, r"^/*([^/]+)/+[^/]", 1), F.lit(""))
+    x = x.withColumns({"own": own, "path": path, "fits": F.coalesce(path.startswith(F.col("known")), F.lit(False)), "prefix": F.when(own & first.isNotNull(), F.concat(F.lit("/"), first, F.lit("/")))})
+    totals = x.groupBy(key).agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_out"), F.count_if("fits").alias("n_known"))
+    groups = x.filter("prefix IS NOT NULL").groupBy(key, "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("at"))
+    best = groups.join(totals, key).filter("n >= 3 AND n >= 0.3 * n_own").groupBy(key).agg(F.max_by("prefix", F.struct("n", -F.col("at"))).alias("best"))
+    j = x.join(totals, key).join(best, key, "left")
+    pattern = F.when(F.col("n_known") > 0, F.col("known")).otherwise(F.col("best"))
+    inside = F.col("own") & F.col("path").startswith(F.col("best"))
+    fit = F.when(F.col("n_known") > 0, F.col("fits")).when(F.col("best").isNotNull(), inside).otherwise(~F.col("own") & (F.col("n_out") >= 3))
+    return j.filter(fit).select(key, "name", F.col("link").alias("url"), "seq", pattern.alias("pattern"))
+
+
+def entry_key(url: Column) -> Column:
+    """What two entries of one site share."""
+    return F.regexp_replace(F.lower(url), "/$", "")
+
+
 def directory_entries(links: DataFrame) -> DataFrame:
-    """Entries of a listing: links under the commonest path prefix if it has three and 30 percent of the page's own
-    links, else links to other sites if there are three. links: page_id, url, link, txt, seq."""
-    own = urls.host(F.col("link")) == urls.host(F.col("url"))
-    x = links.filter(F.length("txt") > 1).withColumns({"_own": own, "_prefix": F.when(own, F.regexp_extract("link", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+/)[^/?#]+", 1))})
-    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("page_id", "link").orderBy("seq"))).filter("_r = 1")
-    g = x.filter("_own AND _prefix <> ''").groupBy("page_id", "_prefix").agg(F.count(F.lit(1)).alias("n"))
-    totals = x.groupBy("page_id").agg(F.count_if("_own").alias("_all"), F.count_if(~F.col("_own") & ~urls.skip(F.col("link"))).alias("_out"))
-    best = g.join(totals, "page_id").filter("n >= 3 AND n >= 0.3 * _all").groupBy("page_id").agg(F.max_by("_prefix", F.struct("n", "_prefix")).alias("_best"))
-    df = x.join(totals, "page_id").join(best, "page_id", "left")
-    inside = F.col("_own") & (F.col("_prefix") == F.col("_best"))
-    outside = F.col("_best").isNull() & ~F.col("_own") & (F.col("_out") >= 3) & ~urls.skip(F.col("link"))
-    return df.filter(inside | outside).select("page_id", F.col("txt").alias("name"), F.col("link").alias("url"), "seq")
+    """The entries of each HTML page, of equal URLs the first: page_id, name, url, seq."""
+    got = listing_entries(links.withColumns({"known": F.lit(None).cast("string"), "txt": F.regexp_replace("txt", r"\s+", " ")}))
+    return got.groupBy("page_id", entry_key(F.col("url")).alias("_k")).agg(F.min_by(F.struct("name", "url", "seq"), "seq").alias("_e")).select("page_id", "_e.*")
+
+
+def firm_profile_links(site_pages: DataFrame, archive: DataFrame) -> DataFrame:
+    """firm, link, source, page: the profiles that a firm's pages name, each from the first page that has it: its own pages in their order, then the pages of people
+    to which its team page links, the first 20 of these links. site_pages: firm, base, url, place, is_team; archive: page_id, url, html."""
+    own = site_pages.select("firm", "base", "url", "place", "is_team").join(archive, "url")
+    href = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))).alias("at", "href")
+    spoken = reduce(lambda a, b: a | b, (F.col("href").contains(p) for p in BIO_PATHS))
+    full = F.when(F.col("href").startswith("/"), F.concat("base", "href")).when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat("base", F.lit("/"), "href"))
+    bios = own.filter("is_team").select("firm", "base", "place", href).filter(spoken).withColumn("url", full).filter((F.col("url") != F.col("base")) & (F.size(F.split("url", "/")) > 3))
+    nth = F.row_number().over(Window.partitionBy("firm").orderBy("place", "at"))
+    bios = bios.withColumn("nth", nth).filter(F.col("nth") <= BIO_PAGES).groupBy("firm", "url").agg(F.min("nth").alias("nth"))
+    order = own.select("firm", "url", F.struct(F.lit(0).alias("kind"), "place").alias("o")).unionByName(bios.select("firm", "url", F.struct(F.lit(1).alias("kind"), F.col("nth").alias("place")).alias("o")))
+    seen = archive.join(order.select("url").distinct(), "url", "left_semi")
+    found = profile_links(seen).select("page_id", "link", "source", "seq").join(seen.select("page_id", "url"), "page_id")
+    got = order.join(found, "url").groupBy("firm", "link").agg(F.min_by(F.struct("source", F.col("url").alias("page")), F.struct("o", "seq", "url")).alias("_f"))
+    return got.select("firm", "link", "_f.*")

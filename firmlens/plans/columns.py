@@ -132,13 +132,13 @@ def document_emails(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
 
 
-@query("SELECT doc_id, s AS start_at, length(substr(text, s + 1, 15000)) AS chars, md5(substr(text, s + 1, 15000)) AS digest FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 15000 THEN [0] ELSE range(0, length(text), 14500) END) AS s FROM documents) WHERE length(substr(text, s + 1, 15000)) >= 100")
+@query(f"""WITH c AS (SELECT doc_id, length(text) AS n, s AS start_at, substr(text, s + 1, 15000) AS c FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 15000 THEN [0] ELSE range(0, length(text), 14500) END) AS s FROM documents WHERE text IS NOT NULL))
+    SELECT doc_id, start_at, length(c) AS chars, md5(c) AS digest FROM c WHERE n <= 15000 OR length(trim(c, {" || ".join(f"chr({ord(x)})" for x in text.SPACES)})) >= 100""")
 def chunks(spark, d) -> DataFrame:
-    """Overlapping chunks of 15000 characters, 500 of them shared, the ones under 100 characters dropped; contents as a digest."""
+    """Overlapping chunks of 15000 characters, 500 of them shared, tiny ones dropped; a text that fits one is taken whole; contents as a digest."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    c = docs.select("doc_id", "text", F.explode(text.chunk_starts(F.col("text"))).alias("start_at"))
-    c = c.select("doc_id", F.col("start_at").cast("long"), F.substr("text", F.col("start_at") + 1, F.lit(15000)).alias("_c"))
-    return c.select("doc_id", "start_at", F.length("_c").alias("chars"), F.md5("_c").alias("digest")).filter("chars >= 100")
+    c = docs.select("doc_id", F.explode(text.chunks(F.col("text"))).alias("c"))
+    return c.select("doc_id", "c.start_at", F.length("c.chunk").alias("chars"), F.md5("c.chunk").alias("digest"))
 
 
 _ERR = "CASE " + " ".join(f"WHEN regexp_matches(lower(error_detail), '{p}') THEN '{n}'" for n, p in dims.ERRORS) + " ELSE 'unknown' END"
@@ -178,3 +178,18 @@ def cost_estimate(spark, d) -> DataFrame:
 def description_length(spark, d) -> DataFrame:
     """E23."""
     return spark.read.parquet(f"{d}/documents.parquet").groupBy(F.substring("lang", 1, 2).alias("lang")).agg(F.avg(F.length("text")).alias("avg_chars"), F.count(F.lit(1)).alias("n"))
+
+
+#: Plans of up to 19 sections by order, the same text for both engines but for how a struct is made.
+_PLANNED = "CASE WHEN i % 9 = 0 THEN '' ELSE concat(o_orderpriority, ' Fünd', CAST(i AS STRING), CASE WHEN i % 4 = 0 THEN ' and a name of the field that is far too long' ELSE '' END) END"
+_LABEL = "CASE WHEN i % 7 = 0 THEN '' WHEN i % 5 = 0 THEN NULL ELSE concat('Label ', CAST(i AS STRING)) END"
+
+
+@query(f"""WITH s AS (SELECT o_orderkey AS job_id, o_orderpriority, unnest(range(1, o_orderkey % 20 + 1)) AS i FROM orders), k AS (SELECT job_id, i, substr(regexp_replace(lower({_PLANNED}), '[^a-z0-9_]', '_', 'g'), 1, 40) AS key, coalesce({_LABEL}, 'Section') AS label FROM s WHERE i <= 15)
+    SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY i) AS INTEGER) AS place, key, label FROM k WHERE key <> '' AND label <> ''""")
+def agent_sections(spark, d) -> DataFrame:
+    """The sections of each job's plan, 15 at most, with clean keys."""
+    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 20 > 0")
+    made = F.expr(f"transform(sequence(1, CAST(o_orderkey % 20 AS INT)), i -> named_struct('key', {_PLANNED}, 'label', {_LABEL}, 'desc', ''))")
+    got = o.select(F.col("o_orderkey").alias("job_id"), F.posexplode(text.sections(made)).alias("at", "s"))
+    return got.select("job_id", (F.col("at") + 1).alias("place"), "s.key", "s.label")

@@ -141,15 +141,38 @@ def enough_content(spark, d) -> DataFrame:
     return p.select("page_id", least.alias("least"), (F.length(text.visible_text(F.col("html"))) >= least).alias("enough"))
 
 
-@query(f"""WITH p AS (SELECT page_id, url, html, regexp_replace(url, '[?#].*$', '') AS u, {_H} AS site FROM pages), c AS (SELECT * FROM p WHERE site IS NOT NULL), g AS (SELECT site, count(*) FILTER (page_id % 2 = 0) AS found FROM c GROUP BY 1),
-    k AS (SELECT c.* FROM c JOIN g USING (site) WHERE found = 0 OR page_id % 2 = 0), r AS (SELECT site, url, page_id AS place, row_number() OVER (PARTITION BY site ORDER BY page_id, url) AS r FROM k WHERE regexp_matches(lower(html), 'portfolio|investment|companies|holdings') OR contains(lower(html), 'the')) SELECT site, url, place FROM r WHERE r <= 3""")
+#: Archived pages of firms and candidates for them, the same text for both engines. Pages are long or short, and speak of a portfolio or don't.
+_ARCHIVED = """SELECT firm_id, '/team' AS path, concat('People of ', company_name, repeat(' and friends', 25)) AS content FROM firms UNION ALL SELECT firm_id, '/portfolio', concat('Our Portfolio at ', company_name, repeat(' and more', 25)) FROM firms WHERE firm_id % 4 <> 0
+    UNION ALL SELECT firm_id, '/companies', concat(CASE WHEN firm_id % 2 = 0 THEN 'All companies' ELSE 'All of them' END, ' of ', company_name, repeat(' as well', 30)) FROM firms WHERE firm_id % 3 <> 0 UNION ALL SELECT firm_id, '/investments', 'Holdings: none yet' FROM firms"""
+_TRIED = "(VALUES ('/team', 1), ('/portfolio', 2), ('/companies', 3), ('/investments', 4))"
+
+
+def _archive(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(candidates: site, url, place; pages: url, content)."""
+    f = view(spark, d, "firms")
+    url = F.concat(F.lit("https://h"), F.col("firm_id").cast("string"), F.col("path"))
+    c = spark.sql(f"SELECT firm_id, x.path AS path, x.place AS place FROM {{firms}}, {_TRIED} AS x(path, place)", firms=f)
+    p = spark.sql(_ARCHIVED.replace("FROM firms", "FROM {firms}"), firms=f)
+    return c.select(F.col("firm_id").alias("site"), url.alias("url"), "place"), p.select(url.alias("url"), "content")
+
+
+_ARCHIVE_SQL = f"""{with_views('firms')}, a AS ({_ARCHIVED}), k AS (SELECT firm_id AS site, 'https://h' || firm_id || x.path AS url, x.place, content FROM (SELECT firm_id, x.path, x.place FROM firms, {_TRIED} AS x(path, place)) x LEFT JOIN a USING (firm_id, path))"""
+
+
+@query(f"""{_ARCHIVE_SQL}, g AS (SELECT * FROM k WHERE site % 5 = 0 OR place IN (2, 3)), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY place) AS r FROM g WHERE length(content) >= 200 AND regexp_matches(lower(content), 'portfolio|investment|companies|holdings')) SELECT site, url, place FROM r WHERE r <= 3""")
 def portfolio_waterfall(spark, d) -> DataFrame:
-    """the first three pages of a site that speak of a portfolio (or, as the pages are invented words, hold "the"), of those that were found; of
-    a site where none was found, of the standard ones."""
-    p = spark.read.parquet(f"{d}/pages.parquet").withColumn("site", urls.host(F.col("url"))).filter("site IS NOT NULL").withColumn("place", F.col("page_id"))
-    candidates = explore.with_fallback(p.filter("page_id % 2 = 0").select("site", "url", "place"), p.select("site", "url", "place"))
-    content = p.groupBy("url").agg(F.min_by("html", "page_id").alias("content"))
-    return explore.waterfall(candidates, content, text.of_portfolio(F.col("content")) | F.lower("content").contains("the"), 3).select("site", "url", "place")
+    """the first three usable pages of a firm that speak of a portfolio, of those that were found; where none was found, of the standard ones."""
+    candidates, archive = _archive(spark, d)
+    candidates = explore.with_fallback(candidates.filter("site % 5 <> 0 AND place IN (2, 3)"), candidates)
+    return explore.waterfall(candidates, archive, (F.length("content") >= 200) & text.of_portfolio(F.col("content")), 3).select("site", "url", "place")
+
+
+@query(f"""{_ARCHIVE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY place) AS r FROM k WHERE length(content) >= 200), t AS (SELECT site, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS combined, string_agg(url, ' ' ORDER BY place) AS sources, count(*) AS n, max(place) AS last FROM r WHERE r <= 2 GROUP BY 1)
+    SELECT site, combined, sources, CAST(CASE WHEN n = 2 THEN last ELSE 4 END AS BIGINT) AS attempted FROM t""")
+def combined_pages(spark, d) -> DataFrame:
+    """the texts of the first two usable pages of each firm as one, where they come from, and how many candidates were tried."""
+    candidates, archive = _archive(spark, d)
+    return explore.combined(candidates, archive, F.length("content") >= 200, 2).withColumn("sources", F.array_join("sources", " "))
 
 
 @query(f"{with_views('firms', 'processed')}, t AS (SELECT company_name, min(firm_id) AS firm_id FROM firms GROUP BY 1) SELECT t.firm_id, t.company_name, f.investment_niches AS thesis FROM firms f JOIN t USING (company_name) WHERE f.firm_id = t.firm_id AND t.firm_id NOT IN (SELECT firm_id FROM processed)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from firmlens.functions import dims, names, text, urls
 from firmlens.operators import dedupe, explore, match, pages
 from firmlens.operators.shared import cut
-from firmlens.plans.columns import _ABS, _ABSOLUTE, _CAT, _H, _KEY, _LINKS, _O, _P, _VISIBLE, links
+from firmlens.plans.columns import _ABS, _ABSOLUTE, _CAT, _H, _KEY, _LINKS, _O, _P, _PRI, _VISIBLE, links
 from firmlens.plans.fixtures import view, with_views
 from firmlens.plans.registry import query
 from firmlens.sources import export, firm_list
@@ -219,13 +219,45 @@ def _edges(spark, d) -> DataFrame:
     return x.select(urls.host(F.col("url")).alias("firm"), urls.without_query(F.col("url")).alias("from_url"), F.col("link").alias("to_url"), urls.category_priority(F.col("link"), F.col("txt")).alias("priority"), "seq").groupBy("firm", "from_url", "to_url").agg(F.min("priority").alias("priority"), F.min("seq").alias("seq"))
 
 
-@query()
+#: The exploration page after page, with its whole queue: e has firm, a, b, p, q (a page, a link of it, its priority and place); roots firm, url.
+EXPLORED = """adj AS MATERIALIZED (SELECT firm, a, list({'p': p, 'q': q, 'u': b}) AS links FROM e GROUP BY ALL),
+    r AS (SELECT firm, 0 AS visit, [{'p': 0, 'd': 0, 'b': 0, 'q': 0::BIGINT, 'u': url}] AS queue, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR) AS url, 0 AS depth FROM roots
+      UNION ALL SELECT s.firm, visit + 1, list_filter(list_concat(queue, CASE WHEN o.d < 3 THEN coalesce(list_transform(links, lambda x: {'p': x.p, 'd': o.d + 1, 'b': visit + 1, 'q': x.q, 'u': x.u}), []) ELSE [] END), lambda x: x.u <> o.u AND NOT list_contains(seen, x.u)),
+        list_append(seen, o.u), o.u, o.d FROM (SELECT *, list_sort(queue)[1] AS o FROM r WHERE len(queue) > 0 AND visit < 20) s LEFT JOIN adj ON adj.firm = s.firm AND adj.a = s.o.u)"""
+
+
+@query(f"WITH RECURSIVE {_LINKS}, {_ABSOLUTE}, c AS (SELECT {_H} AS firm, regexp_replace(url, '[?#].*$', '') AS a, link AS b, {_CAT} AS cat, seq FROM ab WHERE {_H.replace('url', 'link')} = {_H}), e AS MATERIALIZED (SELECT firm, a, b, min({_PRI})::INTEGER AS p, min(seq)::BIGINT AS q FROM c GROUP BY ALL), roots AS (SELECT firm, min(a) AS url FROM e GROUP BY 1), {EXPLORED} SELECT firm, url, depth, visit FROM r WHERE visit > 0")
 def explored_sites(spark, d) -> DataFrame:
-    """K1: the archived links of every site, to the depth and number of pages that are usual; compared in tests."""
+    """The archived links of every site, to the depth and number of pages that are usual."""
     e = cut(_edges(spark, d), "edges")  # each round reads them
     return explore.explore(e, e.groupBy("firm").agg(F.min("from_url").alias("url")))
 
 
+#: Sites of firms: links (firm, a, b, p, q) and what pages say (url, description, aum, headquarters, stages, niches), the same text for both engines.
+_SITE_LINKS = """SELECT CAST(firm_id AS STRING) AS firm, concat('https://f', CAST(firm_id AS STRING), x.a) AS a, concat('https://f', CAST(firm_id AS STRING), x.b) AS b, x.p AS p, CAST(x.q AS BIGINT) AS q FROM firms,
+      (VALUES ('/', '/team', 1, 1), ('/', '/about', 3, 2), ('/', '/portfolio', 2, 3), ('/', '/team', 4, 4), ('/portfolio', '/', 1, 1), ('/portfolio', '/about', 1, 2)) AS x(a, b, p, q)
+    UNION ALL SELECT CAST(firm_id AS STRING), concat('https://f', CAST(firm_id AS STRING), '/team'), concat('https://f', CAST(firm_id AS STRING), '/people/', CAST(member_id AS STRING)), CAST(member_id % 3 + 1 AS INT), CAST(member_id AS BIGINT) FROM members"""
+_SITE_FACTS = """SELECT concat('https://f', CAST(firm_id AS STRING), '/') AS url, CASE WHEN firm_id % 3 = 0 THEN concat(company_name, ' home') ELSE '' END AS description, '' AS aum, CAST(NULL AS STRING) AS headquarters, '' AS stages, '' AS niches FROM firms
+    UNION ALL SELECT concat('https://f', CAST(firm_id AS STRING), '/about'), concat(company_name, ' about'), concat('$', CAST(firm_id AS STRING), 'M'), '', investment_stages, '' FROM firms
+    UNION ALL SELECT concat('https://f', CAST(firm_id AS STRING), '/portfolio'), '', CASE WHEN firm_id % 2 = 0 THEN concat('over ', CAST(firm_id AS STRING)) ELSE '' END, NULL, 'Late', investment_niches FROM firms
+    UNION ALL SELECT concat('https://f', CAST(firm_id AS STRING), '/people/', CAST(member_id AS STRING)), name, '', CASE WHEN member_id % 4 = 0 THEN specialization ELSE '' END, '', specialization FROM members"""
+_FIRST = lambda c: f"min_by({c}, visit) FILTER ({c} <> '') AS {c}, min(visit) FILTER ({c} <> '') AS {c}_visit"
+
+
+@query(f"""{with_views('firms', 'members').replace('WITH', 'WITH RECURSIVE')}, e AS MATERIALIZED ({_SITE_LINKS}), facts AS ({_SITE_FACTS}), roots AS (SELECT CAST(firm_id AS STRING) AS firm, concat('https://f', CAST(firm_id AS STRING), '/') AS url FROM firms), {EXPLORED}
+    SELECT firm, count(*) AS pages, {', '.join(map(_FIRST, ('description', 'aum', 'headquarters', 'stages', 'niches')))} FROM r LEFT JOIN facts USING (url) WHERE visit > 0 GROUP BY firm""")
+def firm_records(spark, d) -> DataFrame:
+    """K2 over K1: one record for each firm from the pages of its site in the order in which they are visited."""
+    tables = {n: view(spark, d, n) for n in ("firms", "members")}
+    edges = cut(spark.sql(_SITE_LINKS.replace("FROM firms", "FROM {firms}").replace("FROM members", "FROM {members}"), **tables).select("firm", F.col("a").alias("from_url"), F.col("b").alias("to_url"), F.col("p").alias("priority"), F.col("q").alias("seq")), "edges")
+    facts = spark.sql(_SITE_FACTS.replace("FROM firms", "FROM {firms}").replace("FROM members", "FROM {members}"), **tables)
+    listed = lambda c: F.filter(F.split(c, ", "), lambda x: x != "")
+    facts = facts.withColumns({"stages": listed("stages"), "niches": listed("niches")})
+    roots = tables["firms"].select(F.col("firm_id").cast("string").alias("firm"), F.concat(F.lit("https://f"), F.col("firm_id").cast("string"), F.lit("/")).alias("url"))
+    got = explore.firm_records(explore.explore(edges, roots), facts, ["description", "aum", "headquarters"], ["stages", "niches"])
+    return got.withColumns({c: F.array_join(c, ", ") for c in ("stages", "niches")})
+
+
 @query(f"WITH {_LINKS}, {_ABSOLUTE}, x AS (SELECT page_id, url, link, txt, seq FROM ab QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY seq) = 1) SELECT page_id, {_H} AS site, count(*) AS links FROM x WHERE length(txt) > 1 GROUP BY ALL")
 def listing_sizes(spark, d) -> DataFrame:
     """Distinct links of each page that have a text."""
@@ -308,7 +340,7 @@ def first_usable_pages(spark, d) -> DataFrame:
     """The first two usable pages of each site in the order of their candidates."""
     p = spark.read.parquet(f"{d}/pages.parquet")
     cand = p.select((F.col("page_id") % 40).alias("site"), "url", F.col("page_id").alias("place"))
-    return explore.waterfall(cand, p.select("url", F.col("html").alias("content")).dropDuplicates(["url"]), F.length("content") >= 1000, 2).select("site", "url", "place")
+    return explore.waterfall(cand, p.groupBy("url").agg(F.min_by("html", "page_id").alias("content")), F.length("content") >= 1000, 2).select("site", "url", "place")
 
 
 _PAGE_RANK = f"CASE WHEN {_O} IS NOT NULL AND {_P} = '/' THEN 0 ELSE " + "CASE " + " ".join(f"WHEN regexp_matches(lower(url), '{'|'.join(u)}') THEN {p}" for _, p, u, _ in dims.PAGE_CATEGORIES) + " ELSE 5 END END"

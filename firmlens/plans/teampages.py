@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.operators import match, pages
+from firmlens.operators import explore, match, pages
+from firmlens.operators.shared import cut
 from firmlens.plans import columns
 from firmlens.plans.fixtures import view, with_views
 from firmlens.plans.records import GREEDY, NAMED
@@ -110,12 +111,12 @@ def listing_next(spark, d) -> DataFrame:
     return pages.next_page(listing_pages(spark, d)).select("page_id", "next_url")
 
 
-@query(f"{M} SELECT DISTINCT firm_id AS page_id, 'https://firm' || firm_id || '.example.org/' AS site, 'https://www.linkedin.com/company/firm' || firm_id AS linkedin, 'content' AS basis, FALSE AS is_directory, 'Firm' AS title FROM members")
+@query(f"{M} SELECT DISTINCT firm_id AS page_id, 'https://firm' || firm_id || '.example.org/' AS site, 'https://www.linkedin.com/company/the-firm-' || firm_id AS linkedin, 'slug' AS basis, FALSE AS is_directory, 'Firm' AS title FROM members")
 def listing_facts(spark, d) -> DataFrame:
     """J14, J15, J19, I32."""
     from firmlens.functions import text
 
-    p = listing_pages(spark, d)
+    p = listing_pages(spark, d).withColumn("company_name", _s("The Firm, ", F.col("page_id")))
     return pages.own_site(p).join(pages.company_profile(p), "page_id").join(pages.known_directory(p), "page_id").join(p.select("page_id", text.title(F.col("html")).alias("title")), "page_id")
 
 
@@ -125,10 +126,15 @@ def payload_people(spark, d) -> DataFrame:
     return pages.json_people(payloads(spark, d)).select("page_id", "name", "title")
 
 
-@query(f"""{M}, b AS (SELECT firm_id, member_id, name, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS n, trim(regexp_replace(title || ' of the firm, ' || name || ' has been here for years.', '\\s+', ' ', 'g')) AS bio FROM members),
-    r AS (SELECT a.*, o.bio AS told, row_number() OVER (PARTITION BY a.firm_id, a.member_id ORDER BY length(o.bio), o.member_id) AS r FROM b a JOIN b o ON a.firm_id = o.firm_id AND contains(lower(o.bio), lower(a.n)) AND length(o.bio) > length(a.n) + 20) SELECT firm_id AS page_id, member_id, name, told AS bio FROM r WHERE r = 1""")
+#: The text of a card on a team page.
+_CARD = "name || title || ' of the firm, ' || name || ' has been here for years.' || name || CASE WHEN length(linkedin_url) > 0 THEN 'profile' ELSE '' END || 'group'"
+_SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query(f"""{M}, b AS (SELECT firm_id, member_id, name, {_SQUEEZED.format(_CARD)} AS bio FROM members), r AS (SELECT a.firm_id, a.member_id, a.name, o.bio, row_number() OVER (PARTITION BY a.firm_id, a.member_id ORDER BY o.member_id) AS r FROM b a JOIN b o ON a.firm_id = o.firm_id AND contains(lower(o.name), lower(a.name)))
+    SELECT firm_id AS page_id, member_id, name, bio FROM r WHERE r = 1""")
 def team_bios(spark, d) -> DataFrame:
-    """For every member the shortest block that tells of them."""
+    """For every member the card around the first heading that holds their name."""
     m = view(spark, d, "members").select(F.col("firm_id").alias("page_id"), "member_id", "name")
     return m.join(pages.bio_section(team_pages(spark, d), m), ["page_id", "name"]).select("page_id", "member_id", "name", "bio")
 
@@ -141,10 +147,6 @@ def team_page_counts(spark, d) -> DataFrame:
     return m.join(n, "page_id", "left").select("page_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-_CARD = "name || title || ' of the firm, ' || name || ' has been here for years.' || name || CASE WHEN length(linkedin_url) > 0 THEN 'profile' ELSE '' END || 'group'"
-_SQUEEZED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-
-
 @query(f"""{M.replace('WITH', 'WITH RECURSIVE')}, {NAMED}, w AS (SELECT firm_id, string_agg({_CARD}, chr(10) ORDER BY member_id) AS page FROM members GROUP BY 1),
     u AS (SELECT firm_id AS page_id, linkedin_url AS url, left({_SQUEEZED.format(_CARD)}, 200) AS near, left({_SQUEEZED.format('page')}, 500) AS context, member_id AS seq FROM members JOIN w USING (firm_id) WHERE length(linkedin_url) > 0), {GREEDY}""")
 def team_assignment(spark, d) -> DataFrame:
@@ -175,8 +177,84 @@ def directory_pages(spark, d) -> DataFrame:
     return page.select(F.col("firm_id").alias("page_id"), _s("https://list.example.com/f", F.col("firm_id")).alias("url"), html.alias("html"))
 
 
-@query(f"{M}, n AS (SELECT firm_id, count(*) AS c FROM members GROUP BY 1) SELECT firm_id AS page_id, trim(name) AS name, 'https://list.example.com/profile/p' || member_id AS url, CAST(1 + row_number() OVER (PARTITION BY firm_id ORDER BY member_id) + 1 AS BIGINT) AS seq FROM members JOIN n USING (firm_id) WHERE c >= 3")
+@query(f"{M}, n AS (SELECT firm_id, count(*) AS c FROM members GROUP BY 1) SELECT firm_id AS page_id, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, 'https://list.example.com/profile/p' || member_id AS url, CAST(1 + row_number() OVER (PARTITION BY firm_id ORDER BY member_id) + 1 AS BIGINT) AS seq FROM members JOIN n USING (firm_id) WHERE c >= 3")
 def directory_entries(spark, d) -> DataFrame:
     """The entries of each listing that has three or more under one path."""
     got = pages.directory_entries(columns.page_anchors(directory_pages(spark, d)))
     return got.withColumn("seq", F.col("seq").cast("long"))
+
+
+#: Home pages of firms, the same text for both engines: an anchor, structured data, structured data that can't be read before some that can, a sameAs that is no list, nothing.
+_HOME = r"""CASE firm_id % 6
+    WHEN 0 THEN concat('<p>See https://www.linkedin.com/company/other</p><a class="x" href="//www.linkedin.com/company/c', CAST(firm_id AS STRING), '?trk=1#top">in</a><a href="https://linkedin.com/company/later">in</a>')
+    WHEN 1 THEN concat('<script type="application/ld+json">{"@type": "Organization", "sameAs": ["https://twitter.com/x", "https://www.linkedin.com/company/s', CAST(firm_id AS STRING), '"]}</script>')
+    WHEN 2 THEN concat('<script type="application/ld+json">{broken</script><script type="application/ld+json">{"sameAs": ["https://www.linkedin.com/company/t', CAST(firm_id AS STRING), '", "https://www.linkedin.com/company/u"]}</script>')
+    WHEN 3 THEN concat('<script type="application/ld+json">{"sameAs": "https://www.linkedin.com/company/w', CAST(firm_id AS STRING), '"}</script>')
+    WHEN 4 THEN concat('<a href="www.linkedin.com/company/n', CAST(firm_id AS STRING), '#x">in</a>') ELSE '<p>nothing</p>' END"""
+_NAME = "concat('The Ünited & Sons -  Firm ', CAST(firm_id AS STRING))"
+
+
+@query(f"""{with_views('firms')} SELECT firm_id AS page_id, CASE firm_id % 6 WHEN 0 THEN 'https://www.linkedin.com/company/c' || firm_id WHEN 1 THEN 'https://www.linkedin.com/company/s' || firm_id WHEN 2 THEN 'https://www.linkedin.com/company/t' || firm_id WHEN 4 THEN 'https://www.linkedin.com/company/n' || firm_id
+      ELSE 'https://www.linkedin.com/company/the-nited-sons-firm-' || firm_id END AS linkedin, CASE firm_id % 6 WHEN 0 THEN 'anchor' WHEN 4 THEN 'anchor' WHEN 1 THEN 'structured' WHEN 2 THEN 'structured' ELSE 'slug' END AS basis FROM firms""")
+def company_profiles(spark, d) -> DataFrame:
+    """The LinkedIn page of each firm from an anchor, structured data, or its name."""
+    return pages.company_profile(view(spark, d, "firms").selectExpr("firm_id AS page_id", f"{_NAME} AS company_name", f"{_HOME} AS html"))
+
+
+def paged_listings(spark, d) -> DataFrame:
+    """Listings of three pages in markdown, by firm. The second page has more links to news than entries, and the last one only two entries."""
+    f, m = view(spark, d, "firms").select("firm_id"), view(spark, d, "members").select("firm_id", "member_id", "name")
+    at = lambda n: _s("https://dir.example.com/f", F.col("firm_id"), f"?page={n}")
+    line = lambda kind, key: _s("[", F.col("name"), f"](/{kind}/{key}", F.col("member_id"), ")")
+    body = lambda rows, item: _joined(rows, "member_id", item)
+    news = m.filter("member_id % 4 < 2")
+    one = body(news, line("profile", "p"))
+    two = body(m.filter("member_id % 4 = 2"), line("profile", "p")).withColumnRenamed("html", "a").join(body(news, line("news", "n")), "firm_id", "full")
+    out = []
+    for n, rows in ((1, one), (2, two), (3, f.withColumn("html", F.lit("")))):
+        text = F.concat_ws("\n", F.lit("# List\n[About us](/about)\n[Elsewhere](https://elsewhere.example/x)\n[x](/profile/short)"), *([F.col("a")] if n == 2 else []), F.col("html"))
+        fixed = {1: [], 2: [_s("[Extra](/profile/x", F.col("firm_id"), ")")], 3: [_s("[Last one](/profile/y", F.col("firm_id"), ")"), _s("[Last two](/profile/z", F.col("firm_id"), "/)")]}[n]
+        tail = _s("[Next](", at(n % 3 + 1), ")")
+        out.append(f.join(rows, "firm_id", "left").select(F.col("firm_id").alias("page_id"), at(n).alias("url"), F.concat_ws("\n", text, *fixed, tail).alias("html")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""{with_views('firms', 'members')}, c AS (SELECT firm_id, count(*) FILTER (member_id % 4 < 2) AS c1, count(*) FILTER (member_id % 4 = 2) AS c2 FROM members GROUP BY 1),
+    x AS (SELECT firm_id, 1 AS place, trim(name) AS name, 'https://dir.example.com/profile/p' || member_id AS url FROM members JOIN c USING (firm_id) WHERE member_id % 4 < 2 AND c1 >= 3
+      UNION ALL SELECT firm_id, 2, trim(name), 'https://dir.example.com/profile/p' || member_id FROM members JOIN c USING (firm_id) WHERE member_id % 4 = 2 AND c1 >= 3 UNION ALL SELECT firm_id, 2, 'Extra', 'https://dir.example.com/profile/x' || firm_id FROM c WHERE c1 >= 3
+      UNION ALL SELECT firm_id, 3, 'Last one', 'https://dir.example.com/profile/y' || firm_id FROM c WHERE c1 >= 3 AND c2 >= 2 UNION ALL SELECT firm_id, 3, 'Last two', 'https://dir.example.com/profile/z' || firm_id || '/' FROM c WHERE c1 >= 3 AND c2 >= 2)
+    SELECT 'https://dir.example.com/f' || firm_id || '?page=1' AS start, place, name, url FROM x""")
+def followed_entries(spark, d) -> DataFrame:
+    """Listings of three pages are followed; the prefix found on the first page filters the others before any detection, so that
+    neither the many links to news on the second nor the few entries of the last one mislead."""
+    p = cut(paged_listings(spark, d), "listings")
+    by_page = pages.markdown_links(p.select(F.xxhash64("url").alias("page_id"), "url", "html")).join(p.select(F.xxhash64("url").alias("page_id"), "url"), "page_id")
+    links = by_page.filter("text <> ''").select("url", "link", F.col("text").alias("txt"), "seq")
+    starts = p.filter("url LIKE '%page=1'").select(F.col("url").alias("start"))
+    return explore.listing(cut(links, "links"), pages.next_page(p).select("url", "next_url"), starts)
+
+
+def profile_sites(spark, d) -> DataFrame:
+    """Sites of firms: a home page with a meta tag, a team page with anchors, data attributes and links to people, structured data, and a page for each person."""
+    m, f = view(spark, d, "members"), view(spark, d, "firms").select("firm_id")
+    base, li = _s("https://g", F.col("firm_id"), ".example.com"), "https://www.linkedin.com/in/"
+    home = f.select("firm_id", F.lit("/").alias("path"), _s(f'<html><head><meta property="og:see_also" content="{li}home', F.col("firm_id"), '"></head><body><p>Hi</p></body></html>').alias("html"))
+    card = F.when(F.col("member_id") % 3 == 0, _s(f'<div><a href="{li}m', F.col("member_id"), '">in</a></div>')).when(F.col("member_id") % 3 == 1, _s(f'<span data-profile="{li}m', F.col("member_id"), '">x</span>')).otherwise("")
+    team = _joined(m, "member_id", F.concat(card, _s('<a href="/team/p', F.col("member_id"), '">', F.col("name"), "</a>"))).select("firm_id", F.lit("/team").alias("path"), "html")
+    about = f.select("firm_id", F.lit("/about").alias("path"), _s('<script type="application/ld+json">[{"@type": "Person", "name": "Cy", "sameAs": ["https://x.example/cy", "', li, "cy", F.col("firm_id"), '"]}, {"@type": "Thing", "sameAs": "', li, 'no"}]</script>', f'<a href="{li}home', F.col("firm_id"), '">again</a>').alias("html"))
+    own = m.select("firm_id", _s("/team/p", F.col("member_id")).alias("path"), _s(f'<a href="{li}m', F.col("member_id"), '">me</a><script type="application/ld+json">{"@type": "Person", "sameAs": "', li, "p", F.col("member_id"), '"}</script>').alias("html"))
+    every = home.unionByName(team).unionByName(about).unionByName(own)
+    return every.select("firm_id", base.alias("base"), "path", F.xxhash64("firm_id", "path").alias("page_id"), F.concat(base, "path").alias("url"), "html")
+
+
+@query(f"""{with_views('firms', 'members')}, n AS (SELECT *, row_number() OVER (PARTITION BY firm_id ORDER BY member_id) AS nth FROM members), g AS (SELECT firm_id, 'https://g' || firm_id || '.example.com' AS base FROM firms),
+    x AS (SELECT firm_id, 'home' || firm_id AS who, 'meta' AS source, base || '/' AS page FROM g UNION ALL SELECT firm_id, 'm' || member_id, CASE member_id % 3 WHEN 0 THEN 'anchor' ELSE 'data' END, base || '/team' FROM n JOIN g USING (firm_id) WHERE member_id % 3 < 2
+      UNION ALL SELECT firm_id, 'cy' || firm_id, 'jsonld', base || '/about' FROM g UNION ALL SELECT firm_id, 'm' || member_id, 'anchor', base || '/team/p' || member_id FROM n JOIN g USING (firm_id) WHERE member_id % 3 = 2 AND nth <= 20
+      UNION ALL SELECT firm_id, 'p' || member_id, 'jsonld', base || '/team/p' || member_id FROM n JOIN g USING (firm_id) WHERE nth <= 20)
+    SELECT firm_id AS firm, 'https://www.linkedin.com/in/' || who AS link, source, page FROM x""")
+def firm_profile_links(spark, d) -> DataFrame:
+    """The profiles that the pages of a firm and the pages of its people name, each from the first page that has it."""
+    p = cut(profile_sites(spark, d), "sites")
+    place = F.when(F.col("path") == "/", 1).when(F.col("path") == "/team", 2).when(F.col("path") == "/about", 3)
+    site = p.select(F.col("firm_id").alias("firm"), "base", "url", place.alias("place"), (F.col("path") == "/team").alias("is_team")).filter("place IS NOT NULL")
+    return pages.firm_profile_links(site, p.select("page_id", "url", "html"))
