@@ -504,6 +504,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     first = near_classes(docs, key, text).filter("is_first").select(*ids(F.col(key), F.col("node"))).distinct()
     rows = docs.select("*", *ids(F.col(key), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))))
     # whole rows are exchanged once: what drops equal rows deals them out as the join needs them
-    order = [F.to_json(F.struct(c)) if unordered(docs.schema[c].dataType) else F.col(f"`{c}`") for c in docs.columns]
-    one = rows.groupBy(*here).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*order)).alias("row"))
-    return one.join(first, here, "left_semi").select("row.*")
+    # key and text are the same in all rows of a group, so only the other columns are compared
+    col = lambda c: F.col(f"`{c}`")
+    others = [c for c in docs.columns if c not in (key, text)]
+    whole, order = (F.struct(*(f(c).alias(f"c{i}") for i, c in enumerate(others))) for f in (col, lambda c: F.to_json(F.struct(col(c))) if unordered(docs.schema[c].dataType) else col(c)))
+    least = F.min_by(whole, order) if any(unordered(docs.schema[c].dataType) for c in others) else F.min(whole)
+    one = rows.groupBy(*here).agg(*([least.alias("row")] if others else []), *(F.first(col(c)).alias(f"same{i}") for i, c in enumerate((key, text))))
+    kept = [F.col(f"same{(key, text).index(c)}").alias(c) if c in (key, text) else F.col(f"row.c{others.index(c)}").alias(c) for c in docs.columns]
+    return one.join(first, here, "left_semi").select(*kept)
