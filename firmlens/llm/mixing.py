@@ -91,24 +91,62 @@ def tree(leaves: list[tuple[tuple[str, ...], float]], weight: Callable[[int, str
     return root
 
 
-def fitting_budget(root: Node) -> float:
-    """The largest budget at which every domain can give its target share."""
-    total = sum(c.weight for c in root.children)
-    shares = [(c.capacity(), c.weight / total) for c in root.children if c.weight > 0] if total > 0 else []
-    return min((have / share for have, share in shares), default=root.capacity())
+def fitting_budget(node: Node, level: int = 1) -> float:
+    """The largest budget at which every node down to this level (1: domains, 2: their languages, 3: their sources) can give its target share."""
+    total = sum(c.weight for c in node.children)
+    if level < 1 or total <= 0:
+        return node.capacity()
+    return min(fitting_budget(c, level - 1) * total / c.weight for c in node.children if c.weight > 0)
 
 
 def weights(depth: int, name: str) -> float:
     return (DOMAIN_WEIGHTS.get(name, 0.05), LANG_WEIGHTS.get(name, 0.05), 1.0)[depth]
 
 
-#: The tree of budgets is made on the driver: at most so many leaves.
+#: Up to so many leaves the tree of budgets is made on the driver and the plan is broadcast; beyond, budgets are found level by level in Spark and joined.
 MAX_LEAVES = 1_000_000
 
 
-def mix(docs: DataFrame, budget: float | None, weight: Callable[[int, str], float] = weights, max_epochs: int = 1, seed: int = 7, domain: Column | None = None, tokens: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def budgets(leaf: DataFrame, names: list[str], weight: Callable[[int, str], float], max_epochs: int, budget: float | None, level: int = 1) -> DataFrame:
+    """leaf (names, n) with budget: what `allocate` gives each leaf, without a tree on the driver. The children of a node, in the order of capacity over weight, take all
+    that they have as long as that is less than their part of what is left; from the first that has more, all get the same multiple of their weights."""
+    from pyspark.sql.types import DoubleType
+
+    levels = [leaf.select(*names, (F.coalesce("n", F.lit(0)).cast("double") * max_epochs).alias("cap"))]
+    for depth in range(len(names) - 1, 0, -1):
+        levels.insert(0, levels[0].groupBy(*names[:depth]).agg(F.sum("cap").alias("cap")))
+    of = lambda depth: F.udf(lambda name: float(weight(depth, name)), DoubleType())  # noqa: E731  once for each node, and the rule is the caller's
+    levels = [df.withColumn("w", of(depth)(names[depth])) for depth, df in enumerate(levels)]
+    total = levels[0].agg(F.sum("cap")).first()[0] or 0.0
+    if budget is None:
+        fits = levels[level - 1].select(*names[:level], F.col("cap").alias("fits"), "w")
+        for depth in range(level - 1, -1, -1):
+            up = fits.groupBy(*names[:depth]).agg((F.min(F.when(F.col("w") > 0, F.col("fits") / F.col("w"))) * F.sum("w")).alias("fits"))
+            if depth:
+                above = levels[depth - 1].join(up, names[:depth])
+                up = above.select(*names[:depth], F.coalesce("fits", "cap").alias("fits"), "w")
+            fits = up
+        fits = fits.first()["fits"]
+        budget = total if fits is None else fits
+    given = None
+    for depth, df in enumerate(levels):
+        rows = df.withColumn("budget", F.lit(min(float(budget), total))) if given is None else df.join(given, names[:depth])
+        # children without a weight have equal parts of what the others can't take
+        rows = rows.withColumn("w", F.greatest("w", F.lit(1e-12)))
+        above = Window.partitionBy(*names[:depth]) if depth else Window.partitionBy(F.lit(0))  # domains are few
+        order = above.orderBy(F.col("cap") / F.col("w"), names[depth])
+        left = F.col("budget") - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+        rows = rows.withColumn("_level", left / rest)
+        rows = rows.withColumn("_open", F.when(F.col("cap") > F.col("w") * F.col("_level") + 1e-9, F.col("_level")))
+        level = F.first("_open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        given = rows.select(*names[: depth + 1], F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * level)).alias("budget"))
+    return leaf.join(given, names)
+
+
+def mix(docs: DataFrame, budget: float | None, weight: Callable[[int, str], float] = weights, max_epochs: int = 1, seed: int = 7, domain: Column | None = None, tokens: Column | None = None, key: str = "doc_id", text: str = "text", level: int = 1) -> DataFrame:
     """docs with domain, leaf_tokens, leaf_budget, epoch (from 0) and n_tokens: a row for each time that a document is taken. budget: tokens; None: the
-    largest at which every domain can give its target share (`fitting_budget`)."""
+    largest at which every node down to `level` can give its target share (`fitting_budget`)."""
     domain = domain_of(F.col("source")) if domain is None else domain
     tokens = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WS_CLASS), lambda x: x != "")).cast("long") if tokens is None else tokens
     known = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
@@ -119,34 +157,34 @@ def mix(docs: DataFrame, budget: float | None, weight: Callable[[int, str], floa
     place = F.struct(seeded.alias("h"), F.col(key).alias("k"), F.col(t).alias("t"))
     # the texts are read once for their counts; everything up to the last step works on this narrow table
     narrow = cut(df.select(*names, key, t, "n_tokens"), "mix")
-    leaf = narrow.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()  # a row for each leaf
-    if len(leaf) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves: group the sources")
-    root = tree([(tuple(r[x] for x in names), float(r["n"] or 0)) for r in leaf], weight, max_epochs)
-    allocate(root, fitting_budget(root) if budget is None else budget)
-    supply = {tuple(r[x] for x in names): int(r["n"] or 0) for r in leaf}
-    plan = []
-    for path, node in root.leaves():
-        if path in supply:
-            n, want, left = supply[path], int(node.budget + 1e-6), int(node.budget + 1e-6)
-            for e in range(max_epochs):
-                if left > 0 or e == 0 and n == 0:
-                    plan.append((*path, e, n, want, min(left, n)))
-                left -= min(left, n)
-    schema = ", ".join(f"{x} string" for x in names) + f", epoch int, leaf_tokens long, leaf_budget long, {take} long"
+    leaves = cut(narrow.groupBy(*names).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")), "leaves")
+    few = leaves.limit(MAX_LEAVES + 1).count() <= MAX_LEAVES
+    if few:
+        rows = leaves.collect()  # a row for each leaf
+        root = tree([(tuple(r[x] for x in names), float(r["n"])) for r in rows], weight, max_epochs)
+        allocate(root, fitting_budget(root, level) if budget is None else budget)
+        supply = {tuple(r[x] for x in names): r["n"] for r in rows}
+        given = spark.createDataFrame([(*path, supply[path], node.budget) for path, node in root.leaves() if path in supply], ", ".join(f"{x} string" for x in names) + ", n long, budget double")
+    else:
+        given = cut(budgets(leaves, names, weight, max_epochs, budget, level), "budgets")
+    want = F.floor(F.col("budget") + 1e-6).cast("long")
+    # whole epochs first, then what is left
+    taken = F.greatest(F.least(want - F.col("epoch") * F.col("n"), F.col("n")), F.lit(0))
+    plans = given.withColumn("epoch", F.explode(F.array(*map(F.lit, range(max_epochs))))).filter((F.col("epoch") * F.col("n") < want) | ((F.col("epoch") == 0) & (F.col("n") == 0)))
+    plans = plans.select(*names, "epoch", F.col("n").alias("leaf_tokens"), want.alias("leaf_budget"), taken.alias(take))  # leaves x epochs
+    small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     part = [*names, "epoch"]
-    plans = spark.createDataFrame(plan, schema)  # leaves x epochs
-    partial = narrow.join(F.broadcast(plans.filter(F.col(take) < F.col("leaf_tokens"))), names).withColumn(piece, place)
+    partial = narrow.join(small(plans.filter(F.col(take) < F.col("leaf_tokens"))), names).withColumn(piece, place)
     partial = partial.withColumn(bucket, F.shiftright(F.col(piece)["h"], 64 - BUCKET_BITS))  # in the order of the hashes
     # leaves x epochs x 2**BUCKET_BITS rows at most
     sums = partial.groupBy(*part, bucket, take).agg(F.sum("n_tokens").alias(part_sum))
     run = sums.withColumn(before, F.coalesce(F.sum(part_sum).over(Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     edge = run.filter((F.col(before) <= F.col(take)) & (F.col(before) + F.col(part_sum) > F.col(take))).select(*part, bucket, before)
-    inside = partial.join(F.broadcast(edge), [*part, bucket])  # a row for each partial leaf and epoch
+    inside = partial.join(small(edge), [*part, bucket])  # a row for each partial leaf and epoch
     upto = inside.withColumn(upto_here, F.col(before) + F.sum("n_tokens").over(Window.partitionBy(*part).orderBy(piece)))
     last = upto.groupBy(*part, bucket).agg(F.max(F.when(F.col(upto_here) <= F.col(take), F.col(piece))).alias(end))
     ends = plans.join(last, part, "left")
-    chosen = df.join(F.broadcast(ends), names)
+    chosen = df.join(small(ends), names)
     chosen = chosen.filter(
         (F.col(take) >= F.col("leaf_tokens"))
         | (F.shiftright(seeded, 64 - BUCKET_BITS) < F.col(bucket))

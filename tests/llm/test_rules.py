@@ -225,8 +225,11 @@ def brute_budgets(leaves, budget, weight, epochs):
     return pour((), budget)
 
 
-def test_mix_by_hand(spark):
-    """Budgets of the whole tree and the prefix of every leaf, recomputed."""
+@pytest.mark.parametrize("on_driver", [True, False])
+def test_mix_by_hand(spark, monkeypatch, on_driver):
+    """Budgets of the whole tree and the prefix of every leaf, recomputed; the tree may be too large for the driver."""
+    if not on_driver:
+        monkeypatch.setattr(mixing, "MAX_LEAVES", 3)
     rng = random.Random(15)
     rows = [(i, "w " * rng.randint(0, 40), rng.choice(["en", "en", "de", "fr"]), f"src{rng.choice([0, 0, 0, 0, 1, 2, 3, 5])}") for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -268,6 +271,32 @@ def test_mix_by_hand(spark):
             assert all(abs(r["taken_share"] - r["target_share"]) < 0.1 for r in tops.values())
 
 
+def test_budgets_of_any_number_of_leaves(spark):
+    """Random trees: what Spark finds level by level is what the tree on the driver gives."""
+    rng = random.Random(16)
+    weight = lambda depth, name: {"a": 3.0, "b": 1.0, "z": 0.0}.get(name, 0.5)
+    for _ in range(4):
+        leaves = {(rng.choice("abz"), rng.choice("xyz"), f"s{rng.randint(0, 9)}"): rng.choice([0, 1, 7, 100, 5000]) for _ in range(40)}
+        df = spark.createDataFrame([(*p, n) for p, n in leaves.items()], "d string, l string, s string, n long")
+        for budget in (0.0, 500.0, 20_000.0, 1e9, None):
+            root = mixing.tree([(p, float(n)) for p, n in leaves.items()], weight, 2)
+            mixing.allocate(root, mixing.fitting_budget(root) if budget is None else budget)
+            got = {(r["d"], r["l"], r["s"]): r["budget"] for r in mixing.budgets(df, ["d", "l", "s"], weight, 2, budget).collect()}
+            assert got == pytest.approx({p: node.budget for p, node in root.leaves()}, abs=1e-3)
+        for level in (2, 3):
+            mixing.allocate(root, mixing.fitting_budget(root, level))
+            got = {(r["d"], r["l"], r["s"]): r["budget"] for r in mixing.budgets(df, ["d", "l", "s"], weight, 2, None, level).collect()}
+            assert got == pytest.approx({p: node.budget for p, node in root.leaves()}, abs=1e-3)
+
+
+def test_languages_give_their_shares_where_asked(spark):
+    rows = [(i, "w " * 10, lang, "src0") for i, lang in enumerate(["en"] * 100 + ["de"] * 12 + ["fr"] * 50 + ["es"] * 50)] + [(1000 + i, "w " * 10, "en", f"src{i % 3 + 1}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for level, most in ((1, 1.0), (2, 0.03)):
+        off = [abs(r["taken_share"] - r["target_share"]) for r in mixing.shares(mixing.mix(df, None, level=level)).collect() if r["lang"] and r["source"] is None and r["domain"] == "web"]
+        assert max(off) <= most and (level == 2 or max(off) > 0.05)
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
