@@ -6,7 +6,7 @@ window of every document probes it. Matches of a document and an item are then h
 slot's value in the item must go to one value in the document wherever it occurs, and back. What is left
 must cover `COVERAGE` of the item's tokens.
 
-The benchmark is joined in blocks of at most `BLOCK_WINDOWS` windows, the bound of what is broadcast.
+The benchmark is joined in blocks of at most `BLOCK_WINDOWS` windows, the bound of what is broadcast; of several blocks each one's matches are written before the next is made.
 
 The cost of a pair of document and item is linear in their equal windows, however often a text repeats them.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import fresh
+from firmlens.llm.common import cut, fresh
 from firmlens.llm.tokens import _byte_groups
 
 WINDOW = 5
@@ -245,13 +246,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     kinds = [docs.schema[key].dataType, benchmark.schema[item].dataType]
     schema = f"k {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, coverage double, kind string"
     rows = docs.select(key, F.col(text).cast("string").cast("binary").alias("_text"))
-    out = None
-    for block in blocks(benchmark, item, item_text):
+    todo, parts = blocks(benchmark, item, item_text), []
+    block = next(todo, None)
+    while block is not None:
         items = spark.sparkContext.broadcast(Items(block))
         part = rows.mapInArrow(_probe(items, *map(to_arrow_type, kinds)), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+        block = next(todo, None)
+        if parts or block is not None:  # of several blocks each is probed and written before the next one is made, and then let go
+            part = cut(part, "matches")
+            items.destroy()
+        parts.append(part)
+    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     return out.withColumnRenamed("k", key)
 
 
