@@ -27,13 +27,34 @@ SHORT_SHEETS = {
 }
 #: The full export: the columns of its sheets.
 SHEETS = {
-    "VC Firms": "companyName websiteUrl description websiteVerified verificationMessage investorType investorTypeConfidence investorTypeSourceUrl investmentStages investmentStagesConfidence investmentStagesSourceUrl investmentNiches nichesConfidence nichesSourceUrl investmentThesis aum sectorFocus geographicFocus foundedYear headquarters".split(),
-    "Team Members": "vcFirm name title jobFunction specialization linkedinUrl email portfolioCompanies investmentFocus stagePreference checkSizeRange geographicFocus investmentThesis notableInvestments yearsExperience background dataSourceUrl confidenceScore decisionMakerTier tierPriority".split(),
-    "Portfolio Companies": "vcFirm portfolioCompany investmentDate websiteUrl investmentNiche dataSourceUrl confidenceScore recencyScore recencyCategory".split(),
-    "Investment Thesis": "vcFirm websiteUrl investorType primaryFocusAreas emergingInterests preferredStages averageCheckSize recentInvestmentPace keyDecisionMakers totalTeamSize tier1Count tier2Count portfolioSize recentPortfolioCount talkingPoints".split(),
-    "Processing Summary": "firmName website status errorMessage teamMembersFound tier1Count tier2Count tier3Count portfolioCompaniesFound dataCompleteness".split(),
-    "Data Quality": "firmName teamMembersFound linkedInCoverage emailCoverage specializationCoverage tier1Percent tier2Percent tier3Percent portfolioCompanies dataQualityScore extractionNotes".split(),
-}
+    "VC Firms": [
+        "companyName", "websiteUrl", "description", "websiteVerified", "verificationMessage", "investorType", "investorTypeConfidence",
+        "investorTypeSourceUrl", "investmentStages", "investmentStagesConfidence", "investmentStagesSourceUrl", "investmentNiches",
+        "nichesConfidence", "nichesSourceUrl", "investmentThesis", "aum", "sectorFocus", "geographicFocus", "foundedYear", "headquarters",
+    ],
+    "Team Members": [
+        "vcFirm", "name", "title", "jobFunction", "specialization", "linkedinUrl", "email", "portfolioCompanies", "investmentFocus",
+        "stagePreference", "checkSizeRange", "geographicFocus", "investmentThesis", "notableInvestments", "yearsExperience", "background",
+        "dataSourceUrl", "confidenceScore", "decisionMakerTier", "tierPriority",
+    ],
+    "Portfolio Companies": [
+        "vcFirm", "portfolioCompany", "investmentDate", "websiteUrl", "investmentNiche", "dataSourceUrl", "confidenceScore", "recencyScore",
+        "recencyCategory",
+    ],
+    "Investment Thesis": [
+        "vcFirm", "websiteUrl", "investorType", "primaryFocusAreas", "emergingInterests", "preferredStages", "averageCheckSize",
+        "recentInvestmentPace", "keyDecisionMakers", "totalTeamSize", "tier1Count", "tier2Count", "portfolioSize", "recentPortfolioCount",
+        "talkingPoints",
+    ],
+    "Processing Summary": [
+        "firmName", "website", "status", "errorMessage", "teamMembersFound", "tier1Count", "tier2Count", "tier3Count", "portfolioCompaniesFound",
+        "dataCompleteness",
+    ],
+    "Data Quality": [
+        "firmName", "teamMembersFound", "linkedInCoverage", "emailCoverage", "specializationCoverage", "tier1Percent", "tier2Percent",
+        "tier3Percent", "portfolioCompanies", "dataQualityScore", "extractionNotes",
+    ],
+}
 
 
 def snake(label: str) -> str:
