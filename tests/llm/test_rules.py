@@ -106,6 +106,45 @@ def test_url_rules(spark):
     assert urlrules.judge(df.limit(0)).count() == 0
 
 
+def test_tokens_are_derived_from_the_expression():
+    need = urlrules.needed
+    assert need(r"(^|[^a-z0-9])casino([^a-z0-9]|$)") == [["casino"]] * 4
+    assert need(r"/(login|signin|signup)(/|$)") == [[x] for x in ("login", "login", "signin", "signin", "signup", "signup")]
+    assert need(urlrules.host_rule("block", "example.com/en/7").pattern) == [["com", "en", "example"]] * 2
+    # what may go on isn't whole; optional parts may be missing; classes that hold letters are no edges
+    for pattern in (r"casino", r"[a-z]casino/", r"(?i)/casino/", r"/casino", r".casino.", r"/(?:casino)+x"):
+        assert need(pattern) == [[]], pattern
+    assert need(r"/casinos?") == [[], []] and need(r"/casinos?/") == [["casino"], ["casinos"]]
+    assert need(r"/a+b/c/") == [["c"]] and need(r"[/.]ab[^a-z0-9]+cd\b") == [["ab", "cd"]] and need(r"/ab\d/cd/") == [["cd"]]
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 5])
+def test_rules_from_a_table(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urlrules, "BROADCAST_RULES", broadcast)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abAB1") for _ in range(rng.randint(1, 3)))
+    urls = [(i, f"http://{word()}.{word()}.com/{word()}/{word()}-{word()}{rng.choice(['', '/', '?q=1', '/é' + word()])}") for i in range(300)]
+    forms = [r"(^|[^a-z0-9]){0}([^a-z0-9]|$)", r"^([^/]*\.)?{0}\.com/", r"/{0}", r"/({0}|{1})(/|$)", r"\b{0}-{1}", r"[.]{0}[./]{1}?", r"{0}[0-9]*/{1}", r"^{0}$"]
+    rules = sorted({(rng.choice(["allow", "block"]), f"r{i % 90}{'x' * (i % 5)}", rng.choice(forms).format(word(), word()), bool(i % 3)) for i in range(400)})
+    rules = list({r[1]: r for r in rules}.values())
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r["page_id"]: (r["matched"], r["verdict"]) for r in urlrules.judge(df, spark.createDataFrame(rules, "action string, name string, pattern string, listed boolean")).collect()}
+    for k, u in urls:
+        rest = re.split(r"[?#]", u.split("://")[1])[0]
+        host, path = rest[: rest.index("/")].lower(), rest[rest.index("/") :]
+        best = max((r for r in rules if re.search(r[2], host + path)), key=lambda r: (r[3], len(r[1]), r[0], r[1]), default=None)
+        assert got[k] == ((best[1], best[0]) if best else (None, "allow")), u
+    assert urlrules.judge(df, spark.createDataFrame([], "action string, name string, pattern string, listed boolean")).filter("verdict = 'allow' AND matched IS NULL").count() == 300
+
+
+def test_many_rules_are_found_by_their_tokens(spark):
+    """100,000 rules: a list of hosts and one of words, of which a URL meets few."""
+    rules = spark.range(100_000).select(F.lit("block").alias("action"), F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") % 2 == 0, F.concat(F.lit(r"^([^/]*\.)?h"), "id", F.lit(r"\.com/"))).otherwise(F.concat(F.lit("(^|[^a-z0-9])w"), "id", F.lit("([^a-z0-9]|$)"))).alias("pattern"), F.lit(False).alias("listed"))
+    urls = [(0, "http://h10.com/w11"), (1, "http://www.h99998.com/x"), (2, "http://xh10.com/aw11/w11a"), (3, "http://a.org/h10.com/"), (4, "http://a.org/x-w99999"), (5, None)]
+    got = {r["page_id"]: r["matched"] for r in urlrules.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert got == {0: "n11", 1: "n99998", 2: None, 3: None, 4: "n99999", 5: None}
+
+
 def test_shards(spark, tmp_path):
     rng = random.Random(4)
     rows = [(rng.randint(0, 500), "é" * rng.randint(0, 400), "x") for _ in range(1500)] + [(None, None, "y"), (7, "big " * 20000, "z"), (7, "t", "a"), (7, "t", "a")]
