@@ -5,7 +5,7 @@ next one's docs. All but the last return the columns of documents.
 
 Defined results, stage by stage. Quality rules: a null or empty text, and one of fewer than ten words, goes; repeated rows are judged each;
 without labels only the base rule acts. Near duplicates: of each class of texts the row with the smallest doc_id stays (a null id comes last, ties
-are broken by the text's hash), and rows that are equal in id and text are one. Decontamination: a document that holds a benchmark
+are broken by the text's hash), and of rows that are equal in id and text the least by its other columns. Decontamination: a document that holds a benchmark
 item goes; without a benchmark all stay. Mixture: each leaf gives a prefix of its seeded order, within the largest budget at which
 every domain gives its target share; a null source or language is a leaf of its own. Shards: every row gets a shard and a gapless position in it; ties
 in id are numbered by the text's checksum. Very long texts are worked on whole. An empty table gives an empty table in every stage, and other
