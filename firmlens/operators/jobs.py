@@ -56,17 +56,39 @@ def progress(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", left.alias("remaining"), pct.alias("percent"))
 
 
-def eta(logs: DataFrame) -> DataFrame:
-    """Running estimate of the seconds left for each row of a job's log: elapsed / index * remaining. Rows are numbered by ranges: a job
-    with most of the rows lies in many, and what comes before a range is summed from one row for each job and range."""
-    at = F.col("created_at").cast("timestamp")
-    ranged = cut(logs.select("job_id", "log_id", at.alias("at")).repartitionByRange("job_id", "at", "log_id").withColumn("part", F.spark_partition_id()), "ranges")
+#: Rows of a job's log that one task numbers; the rows of larger jobs are numbered by ranges.
+LARGE = 1_000_000
+
+
+def eta(logs: DataFrame, large: int = LARGE) -> DataFrame:
+    """Running estimate of the seconds left for each row of a job's log: elapsed / index * remaining."""
+    rows = logs.select("job_id", "log_id", F.col("created_at").cast("timestamp").alias("at"))
+    many = cut(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("job_id"), "large")
+    if many.isEmpty():
+        return _left(_by_job(rows))
+    # few jobs are large: one for each `large` rows at most
+    hot = F.broadcast(many)
+    return _left(_by_job(rows.join(hot, "job_id", "left_anti")).unionByName(_by_ranges(rows.join(hot, "job_id", "left_semi"))))
+
+
+def _by_job(rows: DataFrame) -> DataFrame:
+    job = Window.partitionBy("job_id")
+    order = job.orderBy("at", "log_id")
+    return rows.withColumns({"i": F.row_number().over(order), "n": F.count(F.lit(1)).over(job), "began": F.min("at").over(job)})
+
+
+def _by_ranges(rows: DataFrame) -> DataFrame:
+    """A job with most of the rows lies in many ranges, and what comes before a range is summed from one row for each job and range."""
+    ranged = cut(rows.repartitionByRange("job_id", "at", "log_id").withColumn("part", F.spark_partition_id()), "ranges")
     parts = ranged.groupBy("job_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     job = Window.partitionBy("job_id")
     before = F.sum("n").over(job.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = parts.select("job_id", "part", F.coalesce(before, F.lit(0)).alias("base"), F.sum("n").over(job).alias("n"), F.min("at").over(job).alias("began"))
     i = F.col("base") + F.row_number().over(Window.partitionBy("job_id", "part").orderBy("at", "log_id"))
-    numbered = ranged.join(base, ["job_id", "part"]).withColumn("i", i)
+    return ranged.join(base, ["job_id", "part"]).select("job_id", "log_id", "at", i.alias("i"), "n", "began")
+
+
+def _left(numbered: DataFrame) -> DataFrame:
     elapsed = (F.unix_micros("at") - F.unix_micros("began")) / 1e6
     return numbered.select("job_id", "log_id", F.col("i").cast("int").alias("i"), (elapsed / F.col("i") * (F.col("n") - F.col("i"))).alias("eta_s"))
 

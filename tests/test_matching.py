@@ -4,7 +4,7 @@ import random
 
 import pytest
 from firmlens.functions import text
-from firmlens.operators import explore, match, pages
+from firmlens.operators import explore, jobs, match, pages
 from firmlens.operators.contain import contained
 from pyspark.sql import functions as F
 from test_operators import brute_explore
@@ -178,3 +178,11 @@ def test_combined_pages(spark):
     p = spark.createDataFrame([("u2", "two"), ("u3", "three"), ("u5", "five"), ("v", "")], "url string, content string")
     got = {r["site"]: tuple(r)[1:] for r in explore.combined(c, p, F.length("content") > 0, 2).collect()}
     assert got == {"s": ("two\n\n---\n\nthree", ["u2", "u3"], 3), "none": ("", [], 1)}
+
+
+def test_rows_of_large_jobs_are_numbered_by_ranges(spark):
+    df = spark.range(900).select((F.col("id") % 7 * (F.col("id") % 3)).alias("job_id"), F.col("id").alias("log_id"), F.timestamp_seconds(F.col("id") * 37 % 500).alias("created_at"))
+    want = rows(jobs.eta(df), "job_id", "log_id", "i", "eta_s")
+    for large in (0, 60):
+        assert rows(jobs.eta(df, large), "job_id", "log_id", "i", "eta_s") == want
+    assert sorted(r[2] for r in want if r[0] == 0) == list(range(1, sum(r[0] == 0 for r in want) + 1))
