@@ -12,7 +12,7 @@ from firmlens.operators import explore, jobs, match
 from firmlens.plans.columns import _H, _VISIBLE
 from firmlens.plans.firms import DATED, SCORED
 from firmlens.plans.fixtures import AS_OF, view, with_views
-from firmlens.plans.registry import query
+from firmlens.plans.registry import ORACLES, QUERIES, query
 from firmlens.sources import export, firm_list
 
 #: Messages by log_id, the same in both engines.
@@ -114,11 +114,23 @@ _fields = lambda sheet: [(export.snake(c), c) for c in export.SHEETS[sheet]]  #
 
 @query(f"{with_views('firms', 'members', 'portfolio')} " + " UNION ALL ".join(f"SELECT '{sheet}' AS sheet, {key} AS row_id, CAST({_sql_cells(have, _fields(sheet))} AS VARCHAR) AS cells FROM {table}" for sheet, (table, have, key) in _FULL.items()))
 def export_sheets(spark, d) -> DataFrame:
-    """B1: the rows of the full export's sheets of firms, members and companies, 20, 20 and 9 columns; thesis, summary and quality have queries of their own."""
+    """B1: the rows of the full export's sheets of firms, members and companies, 20, 20 and 9 columns; report_sheets has the other three."""
     t = _sheets(spark, d)
     return reduce(DataFrame.unionByName, (_rows(sheet, *t[table], _fields(sheet)) for sheet, (table, _, _) in _FULL.items()))
 
 
+#: The other three sheets of the full export: the query that makes them, and its column of names.
+_PERCENT = {"linkedin_coverage": "linkedin_pct", "email_coverage": "email_pct", "specialization_coverage": "special_pct", "tier1_percent": "tier1_pct", "tier2_percent": "tier2_pct", "tier3_percent": "tier3_pct"}
+_REPORTS = {"Investment Thesis": ("firm_thesis", "vc_firm"), "Processing Summary": ("processing_summary", "firm_name"), "Data Quality": ("quality_metrics", "firm_name")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{sheet}' AS sheet, {name} AS row_name, CAST({_sql_cells({f: _PERCENT.get(f, f) for f, _ in _fields(sheet)}, _fields(sheet))} AS VARCHAR) AS cells FROM ({ORACLES[q]})" for sheet, (q, name) in _REPORTS.items()))
+def report_sheets(spark, d) -> DataFrame:
+    """B1: the rows of the full export's sheets of theses, processing and quality, 15, 10 and 11 columns under their labels."""
+    rows = (QUERIES[q](spark, d).select(F.lit(sheet).alias("sheet"), F.col(name).alias("row_name"), "*") for sheet, (q, name) in _REPORTS.items())
+    return reduce(DataFrame.unionByName, (df.select("sheet", "row_name", export.cells(df, {_PERCENT.get(f, f): c for f, c in _fields(sheet)}).alias("cells")) for df, sheet in zip(rows, _REPORTS, strict=True)))
+
+
 _TEMPLATE = {"firms": ("firms", _FIRM_SQL, "firm_id"), "team": ("members", _MEMBER_SQL, "member_id"), "portfolio": ("s", _COMPANY_SQL | {"recency_category": "recency_category"}, "company_id")}
 _template_rows = lambda t, n, labels: f"SELECT '{t}' AS template, '{n}' AS sheet, {_TEMPLATE[n][2]} AS row_id, CAST({_sql_cells(_TEMPLATE[n][1], list(labels.items()))} AS VARCHAR) AS cells FROM {_TEMPLATE[n][0]}"
 
