@@ -103,18 +103,38 @@ def _around(x: dict, n: int) -> str:
     return _squeeze(up.start(n))[:n]
 
 
-def _page_job(pages: DataFrame, walk, schema: str) -> DataFrame:
-    """walk(html, url) yields rows; page_id and seq come first."""
-    import pandas as pd
+#: Rows that a page job holds before it hands them on.
+JOB_ROWS = 1000
 
-    names = [c.split()[0] for c in schema.split(", ")]
+
+def page_rows(walk, names: list[str]):
+    """What a page job does with its batches: pages are taken out of a batch one by one, and rows leave in blocks of JOB_ROWS, so that
+    a task's memory is a batch of pages and one page's elements, however many rows the pages of a batch give."""
 
     def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("page_id", pa.int64()), ("seq", pa.int64()), *((n, pa.string()) for n in names)])
+        block = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows = []
         for b in batches:
-            rows = [(p, i, *r) for p, u, h in zip(b["page_id"], b["url"], b["html"], strict=True) for i, r in enumerate(walk(h, u))]
-            yield pd.DataFrame(rows, columns=["page_id", "seq", *names])
+            for page, url, html in zip(*(b.column(k) for k in range(3)), strict=True):
+                page = page.as_py()
+                for i, r in enumerate(walk(html.as_py(), url.as_py())):
+                    rows.append((page, i, *r))
+                    if len(rows) >= JOB_ROWS:
+                        yield block(rows)
+                        rows = []
+        if rows:
+            yield block(rows)
+
+    return run
+
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, seq long, {schema}")
+def _page_job(pages: DataFrame, walk, *names: str) -> DataFrame:
+    """walk(html, url) yields rows of texts, named by names; page_id and seq come first."""
+    schema = ", ".join(["page_id long", "seq long", *(f"{n} string" for n in names)])
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(page_rows(walk, list(names)), schema)
 
 
 def profile_links(pages: DataFrame) -> DataFrame:
@@ -148,7 +168,7 @@ def profile_links(pages: DataFrame) -> DataFrame:
                 seen.add(f[0])
                 yield f
 
-    return _page_job(pages, walk, "link string, text string, near string, context string, source string")
+    return _page_job(pages, walk, "link", "text", "near", "context", "source")
 
 
 def profile_pages(pages: DataFrame, cap: int = 200) -> DataFrame:
@@ -165,7 +185,7 @@ def profile_pages(pages: DataFrame, cap: int = 200) -> DataFrame:
                 found[href] = _squeeze(x["text"])
         yield from list(found.items())[:cap]
 
-    got = _page_job(pages, walk, "href string, name string")
+    got = _page_job(pages, walk, "href", "name")
     return got.join(pages.select("page_id", "url"), "page_id").select("page_id", "seq", urls.absolute(F.col("href"), F.col("url")).alias("link"), "name")
 
 
@@ -191,7 +211,7 @@ def portfolio_candidates(pages: DataFrame) -> DataFrame:
                 seen.add(key)
                 yield name or host.split(".")[0], link
 
-    return _page_job(pages, walk, "name string, link string")
+    return _page_job(pages, walk, "name", "link")
 
 
 def company_cells(pages: DataFrame) -> DataFrame:
@@ -209,7 +229,7 @@ def company_cells(pages: DataFrame) -> DataFrame:
                 if table and _squeeze(x["text"]) and fits[id(table)]:
                     yield (_squeeze(x["text"]),)
 
-    return _page_job(pages, walk, "name string")
+    return _page_job(pages, walk, "name")
 
 
 def _nearest(x: dict, tag: str) -> dict | None:
@@ -231,7 +251,7 @@ def tab_links(pages: DataFrame) -> DataFrame:
                 found[target] = _squeeze(x["text"])
         yield from found.items()
 
-    got = _page_job(pages, walk, "href string, label string")
+    got = _page_job(pages, walk, "href", "label")
     return got.join(pages.select("page_id", "url"), "page_id").select("page_id", "seq", urls.absolute(F.col("href"), F.col("url")).alias("link"), "label")
 
 
@@ -265,7 +285,7 @@ def bio_section(pages: DataFrame, people: DataFrame) -> DataFrame:
                         if told:
                             yield name, told
 
-    return _page_job(named, walk, "name string, bio string").drop("seq")
+    return _page_job(named, walk, "name", "bio").drop("seq")
 
 
 def contact_of_page(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from firmlens.functions import text
 from firmlens.operators import explore, jobs, match, pages
@@ -186,3 +187,23 @@ def test_rows_of_large_jobs_are_numbered_by_ranges(spark):
     for large in (0, 60):
         assert rows(jobs.eta(df, large), "job_id", "log_id", "i", "eta_s") == want
     assert sorted(r[2] for r in want if r[0] == 0) == list(range(1, sum(r[0] == 0 for r in want) + 1))
+
+
+def test_page_rows_leave_in_blocks(monkeypatch):
+    """A batch of many pages with many rows each is handed on while it is read, not once all of it is."""
+    monkeypatch.setattr(pages, "JOB_ROWS", 100)
+    walked = []
+
+    def walk(html, url):
+        walked.append(html)
+        yield from ((f"{url}{i}", None) for i in range(30))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(49), None]), pa.array(["u"] * 50), pa.array(["h"] * 49 + [None])], ["page_id", "url", "html"])
+    out = pages.page_rows(walk, ["a", "b"])(iter([batch, batch.slice(0, 0), batch]))
+    first = next(out)
+    assert first.num_rows == 100 and len(walked) == 4
+    rest = list(out)
+    assert len(walked) == 100 and max(b.num_rows for b in rest) == 100
+    got = [tuple(r.values()) for b in [first, *rest] for r in b.to_pylist()]
+    assert got == [(k, i, f"u{i}", None) for k in [*range(49), None] * 2 for i in range(30)]
+    assert list(pages.page_rows(walk, ["a", "b"])(iter([]))) == []
