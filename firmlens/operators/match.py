@@ -162,25 +162,34 @@ def cross_validated(labels: DataFrame) -> DataFrame:
 
 
 def profile_candidates(people: DataFrame, nicknames: DataFrame, key: str = "member_id", name: str = "name") -> DataFrame:
-    """URLs that a person's profile may have, first spelling of each slug, with confidence and method, in order."""
-    p = names.parts(F.lower(F.trim(name)))
-    base = people.select(key, p["first"].alias("first"), p["middle"].alias("middle"), F.when(p["last"] == "", p["first"]).otherwise(p["last"]).alias("last")).filter("first <> ''")
-    own = base.withColumns({"f": F.col("first"), "v": F.lit(0)})
+    """URLs that a person's profile may have, first spelling of each slug, with confidence and method, in order.
+
+    All spellings of a name are made in its own row, and the first of each slug is taken there: only names are shuffled, by key, and rows go out as they are made.
+    Only where several rows have a key are their slugs compared between rows."""
+    p = names.parts(F.lower(F.trim("_name")))
+    told = people.select(key, F.col(name).alias("_name")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    base = told.select(key, "_n", p["first"].alias("first"), p["middle"].alias("middle"), F.when(p["last"] == "", p["first"]).otherwise(p["last"]).alias("last")).filter("first <> ''")
     least = nicknames.groupBy("name").agg(F.min("ord").alias("ord"))
-    nick = F.broadcast(nicknames.join(least, ["name", "ord"]))  # a fixed list
-    other = base.join(nick, base["first"] == nick["name"]).select(key, "first", "middle", "last", F.col("variant").alias("f"), (F.col("at") + 1).alias("v"))
-    rows = own.unionByName(other)
-    first, last = F.col("f"), F.col("last")
-    conf = F.when(F.col("v") > 0, "Medium").otherwise("High")
+    # a fixed list, and a row for each of its names
+    nick = F.broadcast(nicknames.join(least, ["name", "ord"]).groupBy("name").agg(F.collect_list(F.struct(F.col("variant").alias("f"), (F.col("at") + 1).alias("v"))).alias("_v")))
+    own = F.array(F.struct(F.col("first").alias("f"), F.lit(0).cast(nicknames.schema["at"].dataType).alias("v")))
+    rows = base.join(nick, base["first"] == nick["name"], "left").select(key, "_n", "middle", "last", F.concat(own, F.coalesce("_v", F.array().cast(nick.schema["_v"].dataType))).alias("_f"))
+    last, lit, join = F.col("last"), F.lit, F.concat
     one = lambda slug, c, m: F.struct(slug.alias("slug"), c.alias("confidence"), F.lit(m).alias("method"))
-    lit, join = F.lit, F.concat
-    fixed = F.array(one(join(first, lit("-"), last), conf, "first-last"), one(join(first, last), lit("Medium"), "firstlast"), one(join(first, lit("."), last), lit("Low"), "first.last"), one(join(F.substring(first, 1, 1), lit("-"), last), lit("Low"), "f-last"))
-    mids = F.filter(F.split("middle", " "), lambda x: x != "")
-    middle = F.flatten(F.transform(mids, lambda x: F.array(one(join(first, lit("-"), x, lit("-"), last), lit("Medium"), "first-middle-last"), one(join(first, lit("-"), F.substring(x, 1, 1), lit("-"), last), lit("Medium"), "first-m-last"))))
-    numbered = F.array(*(one(join(first, lit("-"), last, lit(f"-{i}")), lit("Low"), f"first-last-{i}") for i in (1, 2, 3)))
-    out = rows.select(key, "v", F.posexplode(F.concat(fixed, middle, numbered)).alias("at", "c"))
-    out = out.select(key, (F.col("v") * 100 + F.col("at")).alias("seq"), "c.*")
-    out = out.withColumn("_r", F.row_number().over(Window.partitionBy(key, "slug").orderBy("seq"))).filter("_r = 1")
+
+    def spellings(first: Column, v: Column) -> Column:
+        conf = F.when(v > 0, "Medium").otherwise("High")
+        fixed = F.array(one(join(first, lit("-"), last), conf, "first-last"), one(join(first, last), lit("Medium"), "firstlast"), one(join(first, lit("."), last), lit("Low"), "first.last"), one(join(F.substring(first, 1, 1), lit("-"), last), lit("Low"), "f-last"))
+        mids = F.filter(F.split("middle", " "), lambda x: x != "")
+        middle = F.flatten(F.transform(mids, lambda x: F.array(one(join(first, lit("-"), x, lit("-"), last), lit("Medium"), "first-middle-last"), one(join(first, lit("-"), F.substring(x, 1, 1), lit("-"), last), lit("Medium"), "first-m-last"))))
+        numbered = F.array(*(one(join(first, lit("-"), last, lit(f"-{i}")), lit("Low"), f"first-last-{i}") for i in (1, 2, 3)))
+        return F.transform(F.concat(fixed, middle, numbered), lambda c, at: F.struct(c["slug"].alias("slug"), (v * 100 + at).alias("seq"), c["confidence"].alias("confidence"), c["method"].alias("method")))
+
+    every = rows.select(key, "_n", F.array_sort(F.flatten(F.transform("_f", lambda x: spellings(x["f"], x["v"])))).alias("_c"))
+    firsts = F.filter("_c", lambda c, i: (i == 0) | (F.get("_c", i - 1)["slug"] != c["slug"]))
+    out = every.select(key, "_n", F.explode(firsts).alias("c")).select(key, "_n", "c.*")
+    several = out.filter("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy(key, "slug").orderBy("seq"))).filter("_r = 1").drop("_r")
+    out = out.filter("_n = 1").unionByName(several)
     return out.select(key, F.concat(F.lit("https://www.linkedin.com/in/"), "slug").alias("url"), "confidence", "method", "seq")
 
 

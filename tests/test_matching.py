@@ -1,10 +1,12 @@
 """Matching, assignment, exploration and page rules against brute force and by hand."""
 
 import random
+import re
+from collections import defaultdict
 
 import pyarrow as pa
 import pytest
-from firmlens.functions import text
+from firmlens.functions import dims, text
 from firmlens.operators import explore, jobs, match, pages
 from firmlens.operators.contain import contained
 from pyspark.sql import functions as F
@@ -189,6 +191,41 @@ def test_rows_of_large_jobs_are_numbered_by_ranges(spark):
     assert sorted(r[2] for r in want if r[0] == 0) == list(range(1, sum(r[0] == 0 for r in want) + 1))
 
 
+#: Names with nicknames, one first letter in several spellings, middle names, rows that share a key, and no key.
+SPELLED = [(1, "Robert Q Smith"), (1, "Robert Q Smith"), (1, "Bob R Smith"), (None, "Ann Lee"), (None, "ann  lee"), (2, "  "), (3, None), (4, "Bob"), (5, "Kate A A B Maria"), (6, "x " * 120 + "y")]
+
+
+def test_profile_candidates_are_the_first_of_each_slug(spark):
+    nick = defaultdict(list)
+    for r in dims.nicknames(spark).collect():
+        nick[r["name"]].append(r)
+    want = {}
+    for k, full in SPELLED:
+        w = (full or "").lower().split()
+        if not w:
+            continue
+        first, last, mids = w[0], w[-1], w[1:-1]
+        least = min((r["ord"] for r in nick[first]), default=None)
+        for f, v in [(first, 0), *((r["variant"], r["at"] + 1) for r in nick[first] if r["ord"] == least)]:
+            made = [(f"{f}-{last}", "Medium" if v else "High", "first-last"), (f + last, "Medium", "firstlast"), (f"{f}.{last}", "Low", "first.last"), (f"{f[0]}-{last}", "Low", "f-last")]
+            made += [(f"{f}-{m}-{last}", "Medium", t) for x in mids for m, t in ((x, "first-middle-last"), (x[0], "first-m-last"))]
+            made += [(f"{f}-{last}-{i}", "Low", f"first-last-{i}") for i in (1, 2, 3)]
+            for at, (slug, c, m) in enumerate(made):
+                row = (v * 100 + at, c, m)
+                want[k, slug] = min(want.get((k, slug), row), row)
+    df = match.profile_candidates(spark.createDataFrame(SPELLED, "member_id long, name string"), dims.nicknames(spark))
+    got = sorted(((r["member_id"], r["url"].removeprefix("https://www.linkedin.com/in/"), r["seq"], r["confidence"], r["method"]) for r in df.collect()), key=str)
+    assert got == sorted(((*k, *v) for k, v in want.items()), key=str)
+
+
+def test_profile_candidates_shuffle_names_only(spark):
+    """Slugs are many times the names: they aren't exchanged, and compared between rows only for keys that several rows have."""
+    df = match.profile_candidates(spark.createDataFrame(SPELLED, "member_id long, name string"), dims.nicknames(spark))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*slug", plan)
+    assert all("> 1)" in part for part in plan.split("Window [row_number()")[1:])
+
+
 def test_page_rows_leave_in_blocks(monkeypatch):
     """A batch of many pages with many rows each is handed on while it is read, not once all of it is."""
     monkeypatch.setattr(pages, "JOB_ROWS", 100)
