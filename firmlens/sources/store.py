@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firmlens.functions import tiers
 from firmlens.operators import aggregate
 from firmlens.sources.export import new_rows
 
@@ -100,12 +101,19 @@ class FirmStore:
             new = both.filter("_stored IS NULL").drop("_stored")
         self._write(_nulled(new), "firms", batch)
         owner = ids.select("job_id", F.col("company_name").alias("vc_firm"), F.col("firm_id").alias("_id"), bucket(key, self.buckets).alias("bucket"))
-        tiered = aggregate.with_tier(members)
+        # a batch may come in a few large parts: classing titles is most of its work, and is dealt over all tasks. A filter on a generated column stays
+        # where it stands; else it would go below the exchange, and titles would be classed there and once more above
+        dealt = members.drop("tier", "tier_priority").repartition(*(f.name for f in members.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in ("tier", "tier_priority")))
+        tiered = dealt.select("*", F.explode(F.array(tiers.tier(F.col("title")))).alias("tier"))
         allowed = TIERS[tier_filter]
-        kept = tiered if allowed is None else tiered.filter(F.col("tier").isin(allowed))
-        self._write(_nulled(_owned(kept, owner)), "members", batch)
+        kept = (tiered if allowed is None else tiered.filter(F.col("tier").isin(allowed))).withColumn("tier_priority", tiers.tier_priority(F.col("title")))
+        team = _nulled(_owned(kept, owner))
+        self._write(team, "members", batch)
         self._write(_nulled(_owned(aggregate.with_recency(portfolio, as_of), owner)), "portfolio", batch)
-        counts = kept.groupBy("job_id", F.col("vc_firm").alias("company_name")).agg(F.count(F.lit(1)).alias("team_members_found"))
+        # counted where they are stored, so that no title is classed again; a key that is null there was empty, as null keys have no owner
+        there = self.spark.read.schema(team.select("job_id", "vc_firm").schema).parquet(f"{self._place('members')}/batch=b{batch}")
+        empty = lambda c: F.coalesce(c, F.lit("")) if isinstance(there.schema[c].dataType, T.StringType) else F.col(c)
+        counts = there.groupBy(empty("job_id").alias("job_id"), empty("vc_firm").alias("company_name")).agg(F.count(F.lit(1)).alias("team_members_found"))
         done = ids.join(counts, key, "left").select(*key, "firm_id", F.lit("completed").alias("status"), F.coalesce("team_members_found", F.lit(0)).alias("team_members_found"), bucket(key, self.buckets).alias("bucket"))
         self._write(done, "ledger", batch)
 

@@ -66,6 +66,23 @@ def test_stored_firms_keep_row_and_id(spark, tmp_path):
     assert s.read("firms").count() == 3
 
 
+def test_members_of_one_part_are_dealt_over_tasks(spark, tmp_path):
+    """Members that come in one part are classed and written by several tasks; empty names have counts, and null ones no owner."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s = store.FirmStore(spark, str(tmp_path / "s"), 2)
+        names = ["", "a", "b", None]
+        f = spark.createDataFrame([(1, i, x, "") for i, x in enumerate(names)], FIRMS)
+        m = spark.createDataFrame([(1, x, f"p{i}", t) for x in names for i, t in enumerate(["Partner", "Software Engineer", "Principal"] * 20)], MEMBERS).withColumn("tier", F.lit("clash")).coalesce(1)
+        s.save("1", f, m, spark.createDataFrame([], PORTFOLIO), "tier1-2")
+        files = [x for _, _, fs in os.walk(tmp_path / "s/members") for x in fs if x.startswith("part-")]
+        assert len({x.split("-")[1] for x in files}) > 1
+        assert {(r["company_name"], r["team_members_found"]) for r in s.read("ledger").collect()} == {(None, 0), ("", 40), ("a", 40), ("b", 40)}
+        assert {r["tier"] for r in s.read("members").collect()} == {"Tier 1", "Tier 2"} and s.read("members").count() == 120
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_an_insert_reads_only_its_own_buckets(spark, tmp_path):
     """However large the table is: what a batch of one key reads is one of the buckets."""
     path = str(tmp_path / "t")
