@@ -15,6 +15,14 @@ from firmlens.operators.shared import cut
 ORDER = ("priority", "depth", "found_by", "seq", "url")
 
 
+#: Tables of more rows than this are joined by shuffles. Spark goes by the size of files, which these rows outgrow many times once they are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def _joined_by(df: DataFrame, rows: int) -> DataFrame:
+    return df if rows <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
 def explore(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_pages: int = 20) -> DataFrame:
     """firm, url, depth, visit: in each round every firm visits the page of its frontier with the best (priority, depth, arrival). edges: firm, from_url, to_url,
     priority, seq; roots: firm, url. A link may be found again with a better order: the best one counts.
@@ -23,16 +31,17 @@ def explore(edges: DataFrame, roots: DataFrame, max_depth: int = 3, max_pages: i
     to one task. A round appends what it found to the frontier, and only what was visited since is taken out."""
     order = F.struct(*ORDER)
     parts = [cut(roots.select("firm", "url", F.lit(0).alias("depth"), F.lit(0).alias("priority"), F.lit(0).alias("found_by"), F.lit(0).cast("long").alias("seq")), "frontier")]
-    visited = None
+    visited, seen = None, 0
     for visit in range(1, max_pages + 1):
         rest = reduce(DataFrame.unionByName, parts)
         if visited is not None:
-            rest = rest.join(visited.select("firm", "url"), ["firm", "url"], "left_anti")
+            rest = rest.join(_joined_by(visited.select("firm", "url"), seen), ["firm", "url"], "left_anti")
         now = cut(rest.groupBy("firm").agg(F.min(order).alias("o")).select("firm", "o.url", "o.depth", F.lit(visit).alias("visit")), "visit")
-        if now.isEmpty():
+        found = now.count()
+        if not found:
             break
-        visited = now if visited is None else visited.unionByName(now)
-        new = now.filter(F.col("depth") < max_depth).join(edges, (edges["firm"] == now["firm"]) & (edges["from_url"] == now["url"]))
+        visited, seen = now if visited is None else visited.unionByName(now), seen + found
+        new = _joined_by(now.filter(F.col("depth") < max_depth), found).join(edges, (edges["firm"] == now["firm"]) & (edges["from_url"] == now["url"]))
         new = new.select(now["firm"], F.col("to_url").alias("url"), (F.col("depth") + 1).alias("depth"), edges["priority"], F.lit(visit).alias("found_by"), F.col("seq").cast("long").alias("seq"))
         parts.append(cut(new, "frontier"))
     return visited

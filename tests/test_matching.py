@@ -244,3 +244,14 @@ def test_page_rows_leave_in_blocks(monkeypatch):
     got = [tuple(r.values()) for b in [first, *rest] for r in b.to_pylist()]
     assert got == [(k, i, f"u{i}", None) for k in [*range(49), None] * 2 for i in range(30)]
     assert list(pages.page_rows(walk, ["a", "b"])(iter([]))) == []
+
+
+def test_exploration_broadcasts_bounded_tables(spark, monkeypatch):
+    """Beyond the bound the tables of an exploration aren't sent to the driver; the visits are the same."""
+    monkeypatch.setattr(explore, "BROADCAST_ROWS", 1)
+    edges = spark.createDataFrame([(f, a, b, 1, i) for f in "xy" for i, (a, b) in enumerate([("1", "2"), ("1", "3"), ("3", "1")])], "firm string, from_url string, to_url string, priority int, seq long")
+    hints = []
+    monkeypatch.setattr(type(edges), "hint", lambda self, name, hint=type(edges).hint: hints.append(name) or hint(self, name))
+    got = explore.explore(edges, spark.createDataFrame([("x", "1"), ("y", "1")], "firm string, url string"))
+    assert rows(got, "firm", "url", "depth", "visit") == [(f, u, d, v) for f in "xy" for u, d, v in (("1", 0, 1), ("2", 1, 2), ("3", 1, 3))]
+    assert hints and set(hints) == {"shuffle_hash"}
